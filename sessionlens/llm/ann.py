@@ -154,7 +154,7 @@ def search_index(graphs: DataFrame, queries: DataFrame, k: int, beam: int = 64,
     """
     blocks = max(1, -(-queries.count() // block))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("width", F.size("v"))
-    pairs = graphs.select("shard", "width").distinct()
+    pairs = graphs.select(F.col("shard").alias("shard"), F.col("width").alias("width")).distinct()
     left = asked.join(pairs, "width")
     right = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

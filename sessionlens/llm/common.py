@@ -44,3 +44,20 @@ def word_count(text: Column) -> Column:
 def id_bucket(id_col: str, buckets: int = 5) -> Column:
     """crc32 of the id as text, modulo `buckets`; null ids go as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts and labels to fit a classifier on: up to `most` rows of either class, of at most `longest` code points each.
+
+    Rows of the held-out fifth (`id_bucket` 0) never take part. The rows with the smallest hash of the id are
+    taken, so the choice hangs neither on order nor on partitions, and what reaches the driver is bounded by
+    2 * most * longest. Also gives the number of labelled rows of each class. Null labels and texts take no part.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
+    known = known.where(id_bucket("_id") != 0)
+    totals = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}  # two rows
+    takes = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
+    ids = F.broadcast(takes[0].unionByName(takes[1]))  # 2 * most rows at most
+    rows = docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
+    got = rows.groupBy("_id").agg(F.max("_text").alias("_text"), F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").collect()
+    return [(r["_text"], r["_y"]) for r in got], totals

@@ -93,7 +93,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
     t = materialize(t.withColumn("need", (whole * F.col("blocks") + F.ceil(F.col("rest") / block)).cast("long")), "targets")
 
-    numbered = sized.join(t.select("source", "source_no", "source_size", "target"), F.col("source").eqNullSafe(t["source"])).drop(t["source"])
+    of_source = t.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
+    numbered = sized.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     order = [F.col("_h"), F.col("doc_id"), F.col("size")]
     placed = running_start(numbered, "source_no", F.substring("_h", 1, 3), order, "size", "start")
 

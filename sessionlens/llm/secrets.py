@@ -155,7 +155,9 @@ class Automaton:
 
         Texts are cut at sync bytes, and all segments advance together, one byte at a time, longest first.
         """
-        cuts = np.unique(np.concatenate([bounds, np.flatnonzero(self.sync[data]) + 1]))
+        after = np.flatnonzero(self.sync[data]) + 1
+        after = after[(after < len(data)) & (data[np.minimum(after, len(data) - 1)] & 0xC0 != 0x80)]  # never within a character
+        cuts = np.unique(np.concatenate([bounds, after]))
         start, size = cuts[:-1].astype(np.int64), np.diff(cuts)
         keep = size >= 8
         start, size = start[keep], size[keep]

@@ -235,8 +235,8 @@ def near_links(fps: DataFrame, radius: int = 3, parts: int | None = None, crowde
     seekers = asked.join(sizes, ["part", "key"])
     most = seekers.groupBy("part", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares"))
     seekers = seekers.join(most, ["part", "key"]).withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("shares"))).withColumn("blocks", blocks)
-    left = seekers.select("part", "key", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("j"), "fp")
-    right = members.join(most, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).cast("long").alias("i"), "j", "fp")
+    left = seekers.select("part", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), "fp")
+    right = members.join(most, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("i"), "j", "fp")
     keys = ["part", "key", "i", "j"]
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -261,3 +261,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """`docs` with one row of each component of near copies: that with the smallest id; all columns as they were.
+
+    Rows with a null id are kept, as nothing names them. Of rows that repeat an id that stays, one is kept.
+    """
+    components = simhash_components(docs, id_col, text_col, shingle, radius)
+    stay = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_stay", F.col(id_col).cast("long")).join(stay, "_stay", "left_semi").dropDuplicates(["_stay"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
