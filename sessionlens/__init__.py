@@ -1,0 +1 @@
+"""Analytics of coding-agent session logs on Spark."""
