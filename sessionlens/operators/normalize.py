@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_if_null, parse_time, trimmed
@@ -13,7 +13,7 @@ replace_all boolean, edits array<struct<old_string: string, new_string: string,
 USAGE = "struct<input: bigint, output: bigint, cache_creation: bigint, cache_read: bigint>"
 
 
-def first_filled(name: str) -> F.Column:
+def first_filled(name: str) -> Column:
     """The first value in line order that is not empty."""
     c = blank_if_null(F.col(f"line.{name}"))
     return F.coalesce(F.min_by(F.when(c != "", c), F.when(c != "", F.col("line_no"))), F.lit(""))

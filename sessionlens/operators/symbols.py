@@ -5,23 +5,24 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import code
 from ..functions.text import blank_if_null
 from .predicates import both_diffs, is_file_edit, language_of
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def declared_names(text: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([code.declared(t or "", g) for t, g in zip(text, language, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def candidate_names(text: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([code.candidates(t or "", g) for t, g in zip(text, language, strict=True)])
 
 
-@F.pandas_udf("struct<names: array<string>, wild: boolean>")
+@F.pandas_udf(T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("wild", T.BooleanType())]))
 def imported_names(text: pd.Series, language: pd.Series) -> pd.DataFrame:
     got = [code.imported(t or "", g) for t, g in zip(text, language, strict=True)]
     return pd.DataFrame({"names": [n for n, _ in got], "wild": [w for _, w in got]})

@@ -10,7 +10,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CHAT_KEY, COMPOSER_PREFIX
@@ -52,7 +52,7 @@ def list_workspaces(spark: SparkSession, root: str, cwd: str | None = None) -> D
     return rows.select(F.lit("kvdb").alias("agent"), F.regexp_extract("dir", "[^/]*$", 0).alias("id"), "path", "modified", "size").orderBy(F.desc("modified"), "path")
 
 
-def user_turn(raw: F.Column) -> F.Column:
+def user_turn(raw: Column) -> Column:
     """A turn's raw type token names the user: the string in any letter case, or the number 1."""
     return F.coalesce((F.lower(raw) == '"user"') | (raw == "1"), F.lit(False))
 

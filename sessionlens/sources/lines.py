@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import project_key
 
@@ -92,7 +93,7 @@ def decode_content(message: dict) -> dict:
         return {"content": "other"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(lines: pd.Series) -> pd.Series:
     """Each line's used fields as plain JSON; null for malformed lines."""
     return lines.map(lambda x: None if (d := decode_line(x)) is None else json.dumps(d, ensure_ascii=False))
