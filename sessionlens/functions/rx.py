@@ -20,7 +20,11 @@ def java(pattern: str) -> str:
         c = pattern[i]
         if c == "\\":
             two = pattern[i : i + 2]
-            out.append({r"\b": two if inside else _EDGE, r"\s": _BLANK if inside else f"[{_BLANK}]", r"\S": f"[^{_BLANK}]"}.get(two, two))
+            if two == r"\b" and not inside:
+                out.append(edge(pattern, i))
+                i += 2
+                continue
+            out.append({r"\s": _BLANK if inside else f"[{_BLANK}]", r"\S": f"[^{_BLANK}]"}.get(two, two))
             i += 2
             continue
         if inside:
@@ -46,6 +50,17 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
+def edge(pattern: str, at: int) -> str:
+    """The word boundary at `at`, by one look where a plain word sign stands beside it."""
+    after, then = pattern[at + 2 : at + 3], pattern[at + 3 : at + 4]
+    if after.isascii() and (after.isalnum() or after == "_") and (not then or then not in "?*{|"):
+        return "(?<![A-Za-z0-9_])"
+    before, escaped = pattern[at - 1 : at], pattern[at - 2 : at - 1] == "\\"
+    if at and before.isascii() and (before.isalnum() or before == "_") and not escaped:
+        return "(?![A-Za-z0-9_])"
+    return _EDGE
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 

@@ -32,7 +32,10 @@ def extract_directives(prompts: DataFrame) -> DataFrame:
     In each sentence the fence patterns come first, then the exclusive one; every match counts.
     """
     rows = prompts.select("session_id", "seq", "ts", F.posexplode(split_sentences(F.col("text"))).alias("s", "sentence"))
-    found = [F.transform(F.regexp_extract_all("sentence", F.lit(rx.java(p)), F.lit(1)), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("path"))) for k, p in [*(("fence", p) for p in P.FENCES), ("exclusive", P.EXCLUSIVE)]]
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("sentence", F.lit(rx.java(pattern)), F.lit(1)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("path")))
+
+    found = [*(of("fence", p) for p in P.FENCES), of("exclusive", P.EXCLUSIVE)]
     rows = rows.select("session_id", "seq", "ts", "s", "sentence", F.posexplode(F.concat(*found)).alias("m", "d"))
     rows = rows.select("session_id", "seq", "ts", (F.col("s").cast("long") * 100000 + F.col("m")).alias("n"), "d.kind", clean_path(F.col("d.path")).alias("path"), "sentence")
     return rows.where("path IS NOT NULL")

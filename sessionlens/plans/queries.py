@@ -1,4 +1,272 @@
 """Queries of the engine over the test tables, and the SQL that they equal."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..detectors.base import Frames
+from ..detectors.instructions import Instructions
+from ..detectors.rework import Rework
+from ..detectors.test_integrity import TestIntegrity
+from ..functions import patterns as P
+from ..functions import rx, text
+from ..operators import directives, episodes, lookback, normalize, predicates, weakening
+from ..sources import lines
+from . import report
+from .bindings import BASE, EDITS_SQL, FENCED_SQL, dialogue, edit_log, fenced_log, log_lines, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+EPISODES_SQL = f"""{EDITS_SQL}, runs AS (SELECT *, CASE WHEN lag(file_path) OVER (PARTITION BY session_id ORDER BY seq) IS DISTINCT FROM file_path THEN 1 ELSE 0 END AS starts FROM edits),
+eps AS (SELECT *, sum(starts) OVER (PARTITION BY session_id, file_path ORDER BY seq ROWS UNBOUNDED PRECEDING) AS episode FROM runs)"""
+LOOPS_SQL = f"""{EPISODES_SQL}, files AS (SELECT session_id, file_path, max(episode) AS episodes, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts, count(*) AS n FROM eps GROUP BY ALL),
+turns AS (SELECT j.session_id, j.file_path, min(j.seq) AS undo_seq FROM edits j JOIN edits i ON i.session_id = j.session_id AND i.file_path = j.file_path AND i.seq < j.seq AND j.old = i.new
+  AND (j.new = i.old OR 1 - levenshtein(j.new, i.old) / greatest(length(j.new), length(i.old)) > 0.9) GROUP BY ALL),
+loops AS (SELECT f.*, undo_seq FROM files f LEFT JOIN turns USING (session_id, file_path) WHERE episodes >= 3 OR undo_seq IS NOT NULL)"""
+
+
+@query(f"WITH {EPISODES_SQL} SELECT session_id, seq, file_path, episode::bigint AS episode, starts = 1 AS starts FROM eps")
+def w1_episodes(spark, sf_dir):
+    return episodes.edit_episodes(edit_log(spark, sf_dir)).select("session_id", "seq", "file_path", F.col("episode").cast("long").alias("episode"), "starts")
+
+
+@query(f"WITH {EPISODES_SQL} SELECT session_id, file_path, list(strftime(ts, '%H:%M') ORDER BY seq) AS starts_at FROM eps WHERE starts = 1 GROUP BY ALL")
+def w2_episode_starts(spark, sf_dir):
+    first = episodes.edit_episodes(edit_log(spark, sf_dir)).where("starts")
+    times = F.transform(F.sort_array(F.collect_list(F.struct("seq", "ts"))), lambda x: F.date_format(x["ts"], "HH:mm"))
+    return first.groupBy("session_id", "file_path").agg(times.alias("starts_at"))
+
+
+@query(f"""WITH {LOOPS_SQL} SELECT session_id, file_path, min(undo_seq) AS undo_seq FROM turns GROUP BY ALL""")
+def j4_reversals(spark, sf_dir):
+    return episodes.first_reversals(edit_log(spark, sf_dir)).select("session_id", "file_path", "undo_seq")
+
+
+@query(f"""WITH {LOOPS_SQL} SELECT l.session_id, l.file_path, coalesce(sum(e.fresh), 0)::bigint AS tokens_est FROM loops l
+LEFT JOIN edits e ON e.session_id = l.session_id AND e.ts BETWEEN l.first_ts AND l.last_ts GROUP BY ALL""")
+def j5_tokens_between(spark, sf_dir):
+    return Rework().loops(edit_log(spark, sf_dir)).select("session_id", "file_path", "tokens_est")
+
+
+@query(f"""WITH {LOOPS_SQL}, spent AS (SELECT l.session_id, l.file_path, sum(e.fresh) AS t FROM loops l JOIN edits e ON e.session_id = l.session_id AND e.ts BETWEEN l.first_ts AND l.last_ts GROUP BY ALL),
+said AS (SELECT session_id, file_path, string_agg(strftime(ts, '%H:%M'), ', ' ORDER BY seq) AS times FROM eps WHERE starts = 1 GROUP BY ALL)
+SELECT l.session_id, CASE WHEN undo_seq IS NULL THEN 0 ELSE 1 END AS severity, first_ts AS ts, t::bigint AS tokens_est, n AS edits,
+  parse_filename(l.file_path) || ' rewritten ' || episodes::bigint::varchar || '× (' || times || ')' AS title FROM loops l JOIN spent USING (session_id, file_path) JOIN said USING (session_id, file_path)""")
+def d3_rework(spark, sf_dir):
+    found = Rework().scan(Frames(edit_log(spark, sf_dir), None))
+    return found.select("session_id", "severity", F.col("ts").cast("timestamp_ntz").alias("ts"), "tokens_est", F.size("event_uuids").cast("long").alias("edits"), "title")
+
+
+DIRECTIVES_SQL = f"""{FENCED_SQL}, said AS (SELECT * FROM log WHERE text IS NOT NULL), fences AS (SELECT session_id, seq, ts, 'click.yaml' AS path FROM said WHERE event_type = 'signup'),
+ended AS (SELECT f.session_id, f.seq, arg_min(p.ts, p.seq) AS superseded_at FROM fences f JOIN said p ON p.session_id = f.session_id AND p.seq > f.seq AND p.ts > f.ts
+  AND (contains(lower(p.text), lower(f.path)) OR regexp_matches(p.text, '{P.REOPENING.replace("'", "''")}')) GROUP BY ALL),
+fenced AS (SELECT f.*, superseded_at FROM fences f LEFT JOIN ended USING (session_id, seq))"""
+
+
+@query(f"WITH {DIRECTIVES_SQL} SELECT session_id, seq, path, superseded_at FROM fenced")
+def j2_superseded_directives(spark, sf_dir):
+    return directives.session_directives(fenced_log(spark, sf_dir)).select("session_id", "seq", "path", F.col("superseded_at").cast("timestamp_ntz").alias("superseded_at"))
+
+
+@query(f"""WITH {DIRECTIVES_SQL} SELECT f.session_id, f.seq, e.seq AS e_seq FROM fenced f JOIN log e ON e.session_id = f.session_id AND e.event_type = 'click' AND e.ts > f.ts AND (superseded_at IS NULL OR e.ts <= superseded_at)""")
+def j1_violations(spark, sf_dir):
+    return directives.broken_directives(fenced_log(spark, sf_dir)).select("session_id", "seq", "e_seq")
+
+
+@query(f"""WITH {DIRECTIVES_SQL}, hits AS (SELECT f.session_id, f.seq, e.seq AS e_seq, e.ts FROM fenced f JOIN log e ON e.session_id = f.session_id AND e.event_type = 'click' AND e.ts > f.ts AND (superseded_at IS NULL OR e.ts <= superseded_at))
+SELECT session_id, 2 AS severity, 2 AS confidence, arg_min(ts, e_seq) AS ts, 'You said: "Do not modify click.yaml"' AS title,
+  'Agent edited click.yaml' || CASE WHEN count(*) > 1 THEN ' (' || count(*)::varchar || ' actions)' ELSE '' END AS detail, count(*) AS actions FROM hits GROUP BY session_id, seq""")
+def d1_instructions(spark, sf_dir):
+    found = Instructions().scan(Frames(fenced_log(spark, sf_dir), None))
+    return found.select("session_id", "severity", "confidence", F.col("ts").cast("timestamp_ntz").alias("ts"), "title", "detail", F.size("event_uuids").cast("long").alias("actions"))
+
+
+@query(f"""WITH ev AS (SELECT conv_id::varchar AS session_id, turn AS seq, role, regexp_matches(coalesce(text, ''), '(?i)\\bthe\\b') AND role <> 'system' AS hit FROM conversations)
+SELECT a.session_id, a.seq, coalesce(max(b.seq), -1) AS near_seq FROM ev a LEFT JOIN ev b ON b.session_id = a.session_id AND b.seq < a.seq AND b.seq >= a.seq - 5 AND b.hit GROUP BY ALL""")
+def w3_lookback(spark, sf_dir):
+    ev = dialogue(spark, sf_dir).withColumn("hit", (F.col("kind") != "compaction") & rx.matches(F.col("text"), r"(?i)\bthe\b"))
+    return lookback.nearest_before(ev, "hit").select("session_id", "seq", F.coalesce("near_seq", F.lit(-1)).alias("near_seq"))
+
+
+@query("""SELECT conv_id::varchar AS session_id, turn AS seq, NOT coalesce(bool_or(role = 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+ AND coalesce(bool_or(role = 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS pre_compaction FROM conversations""")
+def w4_compaction_sides(spark, sf_dir):
+    ev = dialogue(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "compaction", "compaction").otherwise(F.col("kind")))
+    return directives.compaction_sides(ev).select("session_id", "seq", "pre_compaction")
+
+
+@query(f"""SELECT conv_id::varchar AS session_id, min(timestamp '{BASE}' + to_minutes(turn)) AS start, max(timestamp '{BASE}' + to_minutes(turn)) AS end_, count(*) AS events,
+ (max(turn) - min(turn)) * 60.0::double AS seconds, bool_or(role NOT IN ('user', 'assistant')) AS compacted FROM conversations GROUP BY ALL""")
+def a1_session_rollup(spark, sf_dir):
+    ev = dialogue(spark, sf_dir).groupBy("session_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("events"), F.bool_or(F.col("kind") == "compaction").alias("compacted"))
+    return ev.select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end_"), "events", report.duration().alias("seconds"), "compacted")
+
+
+@query("SELECT conv_id::varchar AS session_id, turn::bigint * 1000000 AS seq, CASE role WHEN 'user' THEN 'prompt' ELSE 'assistant_text' END AS kind, text FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\\S') AND (role = 'assistant' OR NOT regexp_matches(trim(text), '^(<|Caveat:|\\[Request interrupted)'))")
+def s8_decode_flatten(spark, sf_dir):
+    decoded = normalize.classify(normalize.name_sessions(lines.decode(log_lines(spark, sf_dir))))
+    return normalize.flatten(decoded).where("text <> ''").select("session_id", "seq", "kind", "text")
+
+
+@query("""WITH l AS (SELECT *, role = 'system' AND conv_id % 3 = 0 AS cut, conv_id::varchar || ':' || (turn // 4)::varchar AS mid FROM conversations),
+u AS (SELECT conv_id, length(text) AS i, turn + 1 AS o FROM l WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id, mid ORDER BY turn) = 1),
+s AS (SELECT conv_id, sum(i)::bigint AS input, sum(o)::bigint AS output FROM u GROUP BY ALL)
+SELECT conv_id::varchar AS session_id, count(*) FILTER (cut) AS malformed_lines, count(*) FILTER (role = 'system' AND NOT cut) AS odd_lines,
+ list_sort(list(DISTINCT '2.' || (turn % 3)::varchar || '.7') FILTER (NOT cut)) AS versions, coalesce(any_value(input), 0) AS input, coalesce(any_value(output), 0) AS output
+FROM l LEFT JOIN s USING (conv_id) GROUP BY ALL""")
+def a6_session_diagnostics(spark, sf_dir):
+    # system lines have a message here, and neither a boundary nor metadata: they are ignored unless cut short
+    decoded = normalize.classify(normalize.name_sessions(lines.decode(log_lines(spark, sf_dir))))
+    s = normalize.session_rows(decoded, normalize.flatten(decoded))
+    ignored = decoded.groupBy("session_id").agg(F.count_if(F.col("fate") == "ignored").alias("odd_lines"))
+    return s.join(ignored, "session_id").select("session_id", "malformed_lines", "odd_lines", "versions", "usage.input", "usage.output")
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity FROM o WHERE n = 1""")
+def w5_usage_once(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    return li.withColumn("n", F.row_number().over(order)).where("n = 1").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring documents of a source, by id; texts cut to what the edit distance looks at."""
+    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").withColumn("before", before).where("before IS NOT NULL AND length(text) < 2000 AND length(before) < 2000")
+
+
+@query("""WITH p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents)
+SELECT doc_id, round(CASE WHEN text = before THEN 1 ELSE 1 - levenshtein(text, before) / greatest(strlen(text), strlen(before)) END, 9) AS similarity FROM p WHERE before IS NOT NULL AND length(text) < 2000 AND length(before) < 2000""")
+def x13_similarity(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", F.round(text.similarity(F.col("text"), F.col("before")), 9).alias("similarity"))
+
+
+@query(f"SELECT doc_id, unnest(string_split_regex(text, '{P.SENTENCE_END}')) AS sentence FROM documents")
+def x3_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(directives.split_sentences(F.col("text"))).alias("sentence"))
+
+
+@query("""SELECT user_id::varchar AS session_id, count(*) AS n FROM events WHERE event_type || '_' || (event_id % 7)::varchar || CASE event_id % 4 WHEN 0 THEN '_test.go' WHEN 1 THEN '.spec.ts' WHEN 2 THEN '.go' ELSE '/tests/a.py' END
+ SIMILAR TO '.*(_test\\.go|\\.spec\\.[^/]+|(^|.*/)(tests?|__tests__|spec)/.*)' GROUP BY ALL""")
+def f3_test_files(spark, sf_dir):
+    e, id_ = table(spark, sf_dir, "events"), F.col("event_id")
+    end = F.when(id_ % 4 == 0, "_test.go").when(id_ % 4 == 1, ".spec.ts").when(id_ % 4 == 2, ".go").otherwise("/tests/a.py")
+    return e.where(predicates.is_test_file(F.concat("event_type", F.lit("_"), (id_ % 7).cast("string"), end))).groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_sql(family: tuple[str, ...], column: str) -> str:
+    return " + ".join("len(regexp_extract_all({}, '{}'))".format(column, p.replace("'", "''")) for p in family)
+
+
+OLD_SQL = "repeat('def test_a(self):' || chr(10), (doc_id % 4)::int) || repeat('self.assertEqual(x, 1)' || chr(10), (doc_id % 3)::int) || text"
+NEW_SQL = "repeat('def test_a(self):' || chr(10), (doc_id % 2)::int) || repeat('self.assertTrue(x)' || chr(10), (doc_id % 5)::int) || text"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {OLD_SQL} AS old, {NEW_SQL} AS new FROM documents)
+SELECT doc_id, greatest(0, ({counts_sql(P.DECLARATIONS, 'old')}) - ({counts_sql(P.DECLARATIONS, 'new')})) AS declared, greatest(0, ({counts_sql(P.ASSERTIONS, 'old')}) - ({counts_sql(P.ASSERTIONS, 'new')})) AS asserted,
+ len(regexp_extract_all(old, '\\bassertEqual\\(')) > len(regexp_extract_all(new, '\\bassertEqual\\(')) AND len(regexp_extract_all(new, '\\bassertTrue\\(')) > len(regexp_extract_all(old, '\\bassertTrue\\(')) AS weaker FROM t""")
+def a10_weakened_tests(spark, sf_dir):
+    d, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
+    say = lambda s, n: F.repeat(F.lit(s + "\n"), n.cast("int"))
+    d = d.select("doc_id", F.concat(say("def test_a(self):", id_ % 4), say("self.assertEqual(x, 1)", id_ % 3), "text").alias("old"), F.concat(say("def test_a(self):", id_ % 2), say("self.assertTrue(x)", id_ % 5), "text").alias("new"))
+    old, new = F.col("old"), F.col("new")
+    return d.select("doc_id", weakening.drop(old, new, P.DECLARATIONS).cast("long").alias("declared"), weakening.drop(old, new, P.ASSERTIONS).cast("long").alias("asserted"), F.exists(weakening.reasons(old, new), lambda r: r.startswith("assertion weakened")).alias("weaker"))
+
+
+@query()
+def d2_test_integrity(spark, sf_dir):
+    """Edits of test files built from documents, with conversations' turns between; tests hold it against a hand loop."""
+    d, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
+    from .bindings import as_events
+
+    said = as_events(d, session_id=F.col("source"), seq=id_ * 2, kind=F.lit("prompt"), ts=F.to_timestamp(F.lit(BASE)) + F.make_dt_interval(mins=id_.cast("int")), uuid=F.concat(F.lit("p"), id_.cast("string")), text=F.when(id_ % 9 == 0, "please make the tests pass").otherwise("go on"))
+    edits = as_events(d, session_id=F.col("source"), seq=id_ * 2 + 1, kind=F.lit("tool_call"), tool=F.lit("Edit"), ts=F.to_timestamp(F.lit(BASE)) + F.make_dt_interval(mins=id_.cast("int")), uuid=id_.cast("string"), text=F.lit(""), file_path=F.lit("/repo/a_test.py"), old_string=F.concat(F.lit("self.assertEqual(a, b)\n"), F.substring("text", 1, 200)), new_string=F.substring("text", 1, 200))
+    return TestIntegrity().scan(Frames(said.unionByName(edits), None)).select("session_id", "severity", "confidence", "title", "detail")
+
+
+@query(f"""WITH {LOOPS_SQL}, named AS (SELECT DISTINCT e.session_id, e.uuid FROM edits e JOIN loops l USING (session_id, file_path)),
+per AS (SELECT e.session_id, count(DISTINCT e.uuid) AS n, count(DISTINCT n.uuid) AS named FROM edits e LEFT JOIN named n ON n.session_id = e.session_id AND n.uuid = e.uuid GROUP BY ALL)
+SELECT session_id, n - named AS clean_events FROM per""")
+def j11_clean_events(spark, sf_dir):
+    ev = edit_log(spark, sf_dir)
+    return report.clean_events(ev, Rework().scan(Frames(ev, None)))
+
+
+@query(f"""WITH {LOOPS_SQL}, newest AS (SELECT session_id, max(ts) AS m FROM edits GROUP BY ALL ORDER BY m DESC, session_id LIMIT 20),
+s AS (SELECT session_id, min(ts) AS start, count(*) AS events, sum(fresh)::bigint AS tokens FROM edits WHERE session_id IN (SELECT session_id FROM newest) GROUP BY ALL)
+SELECT session_id, start, events, tokens, (SELECT count(*) FROM loops l WHERE l.session_id = s.session_id) AS rework FROM s""")
+def a11_trend(spark, sf_dir):
+    """The 20 newest sessions (a report's own limit), chosen before any detector runs."""
+    ev = edit_log(spark, sf_dir)
+    new = ev.groupBy("session_id").agg(F.max("ts").alias("m")).orderBy(F.desc("m"), "session_id").limit(20).select("session_id")
+    ev = ev.join(F.broadcast(new), "session_id", "left_semi")
+    sums = [F.sum(f"usage.{c}").alias(c) for c in ("input", "output", "cache_creation", "cache_read")]
+    s = ev.groupBy("session_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("events"), *sums)
+    s = s.select("session_id", F.lit("jsonl").alias("agent"), F.lit("").alias("path"), "start", "end", "events", F.struct("input", "output", "cache_creation", "cache_read").alias("usage"))
+    return report.trend(s, Rework().scan(Frames(ev, None))).select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", "tokens", F.col("rework-loop").alias("rework"))
+
+
+@query(f"WITH {LOOPS_SQL} SELECT count(*) AS rework, sum(CASE WHEN undo_seq IS NULL THEN 0 ELSE 1 END)::bigint AS warned FROM loops")
+def a12_trend_totals(spark, sf_dir):
+    found = Rework().scan(Frames(edit_log(spark, sf_dir), None))
+    return found.agg(F.count(F.lit(1)).alias("rework"), F.sum((F.col("severity") >= 1).cast("long")).alias("warned"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.page'), '') AS page, regexp_replace(event_type || '/' || event_id::varchar, '[^A-Za-z0-9]', '-', 'g') AS key FROM events")
+def s2_project_key(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("")).alias("page"), text.project_key(F.concat("event_type", F.lit("/"), F.col("event_id").cast("string"))).alias("key"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n >= 1000 THEN round_even(n / 1000, 0)::bigint::varchar || 'k' ELSE n::varchar END AS tokens, CASE WHEN n // 60 < 60 THEN (n // 60)::varchar || ' min' ELSE (n // 3600)::varchar || 'h ' || lpad(((n // 60) % 60)::varchar, 2, '0') || 'm' END AS spent,
+ CASE WHEN n >= 1048576 THEN 'large' WHEN n >= 1024 THEN round_even(n / 1024, 0)::bigint::varchar || ' KB' ELSE n::varchar || ' B' END AS size FROM (SELECT o_orderkey, 1 + floor(o_totalprice)::bigint AS n FROM orders)""")
+def x16_human_numbers(spark, sf_dir):
+    n = F.col("n")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.floor("o_totalprice")).cast("long").alias("n"))
+    size = F.when(n >= 1048576, "large").otherwise(text.human_size(n))
+    return o.select("o_orderkey", text.human_tokens(n).alias("tokens"), text.human_duration(n).alias("spent"), size.alias("size"))
+
+
+@query()
+def x12_truncated(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.truncate(F.col("text"), 100).alias("cut"), text.one_line(F.col("text")).alias("line"), text.listing_prompt(F.col("text")).alias("listed"))
+
+
+@query("SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)\\b(rm|mv|tee)\\b') AS mutates, regexp_matches(coalesce(html, ''), '{}') AS pressed FROM pages".format(P.PASS_PRESSURE))
+def f6_text_predicates(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
+    return p.select("page_id", rx.matches(F.col("html"), r"(?i)\b(rm|mv|tee)\b").alias("mutates"), predicates.pass_pressure(F.col("html")).alias("pressed"))
+
+
+@query()
+def x7_declared_names(spark, sf_dir):
+    """Names that small Python and TypeScript files, one built from each page, declare."""
+    from ..operators.symbols import symbol_table
+
+    p = table(spark, sf_dir, "pages")
+    word = F.concat(F.lit("f"), F.col("page_id").cast("string"))
+    py = F.concat(F.lit("def "), word, F.lit("(x):\n    return x  # "), F.substring("url", 1, 40), F.lit("\n"))
+    ts = F.concat(F.lit("const "), word, F.lit("_ts = 1; // "), F.substring("url", 1, 40), F.lit("\n"))
+    even = F.col("page_id") % 2 == 0
+    files = p.select(F.lit("/repo").alias("cwd"), F.concat(F.lit("/repo/"), word, F.when(even, ".py").otherwise(".ts")).alias("path"), F.when(even, py).otherwise(ts).alias("text"))
+    return symbol_table(files)
+
+
+ORACLE_SQL["x7_declared_names"] = "SELECT '/repo' AS cwd, CASE WHEN page_id % 2 = 0 THEN 'python' ELSE 'typescript' END AS language, 'f' || page_id::varchar || CASE WHEN page_id % 2 = 0 THEN '' ELSE '_ts' END AS name FROM pages"
