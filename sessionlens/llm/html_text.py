@@ -162,36 +162,57 @@ def prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-LINES = "page_id long, url string, uid long, host string, path string, marks binary, hashes binary, body binary"
+def keyed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """`k1, k2, page_id, url, html`; rows of one key are equal, so they may share a decision."""
+    cols = [F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")]
+    return pages.select(F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(1), *reversed(cols)).alias("k2"), *cols)
 
 
-def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Per row its lines: marks, hashes, and the texts deflated, so that what is shuffled later is small."""
+def hashed_lines(keyed: DataFrame) -> DataFrame:
+    """`k1, k2, host, path, hashes`: what pairing and aligning need of a page, a few bytes a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                rows = []
-                for page, url, uid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    lines = page_lines(text or "")
-                    raw = [t.encode("utf-8", "replace") for _, t in lines]
-                    host, path = url_key(url)
-                    rows.append((page, url, uid, host, path, bytes(m for m, _ in lines), np.array([xxhash.xxh64_intdigest(x) for x in raw], "<u8").tobytes(), zlib.compress(b"\n".join(raw), 1)))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "uid", "host", "path", "marks", "hashes", "body"])
+                keys = [url_key(u) for u in b.column(3).to_pylist()]
+                hashes = [np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for _, t in page_lines(h or "")], "<u8").tobytes() for h in b.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array(hashes, pa.binary())], ["k1", "k2", "host", "path", "hashes"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.monotonically_increasing_id().alias("uid"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, LINES)
+    return keyed.mapInArrow(run, "k1 long, k2 long, host string, path string, hashes binary")
+
+
+def wanted(marks: bytes) -> int:
+    """The mark of the lines that may be main text."""
+    return MAIN if MAIN in marks else OPEN
+
+
+def packed_lines(keyed: DataFrame) -> DataFrame:
+    """`k1, k2, page_id, url, marks, body`: all lines' marks, and the lines that may be main text, deflated for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                marks, bodies = [], []
+                for h in b.column(4).to_pylist():
+                    lines = page_lines(h or "")
+                    m = bytes(x for x, _ in lines)
+                    marks.append(m)
+                    bodies.append(zlib.compress("\n".join(t for x, t in lines if x == wanted(m)).encode("utf-8", "replace"), 1))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(marks, pa.binary()), pa.array(bodies, pa.binary())], ["k1", "k2", "page_id", "url", "marks", "body"])
+
+    return keyed.mapInArrow(run, "k1 long, k2 long, page_id long, url string, marks binary, body binary")
 
 
 def in_url_order(parsed: DataFrame, tasks: int) -> DataFrame:
-    """`(seq, uid, host, path, hashes)`, numbered from 0 by host, path and uid.
+    """`seq, k1, k2, host, path, hashes`, numbered from 0 by host, path and key.
 
-    Rows are range partitioned with the uid last, so one host or one URL with very many pages spreads over
+    Rows are range partitioned with the key last, so one host or one URL with very many pages spreads over
     tasks; partitions' sizes, one row each, then give the first number of each.
     """
-    light = parsed.select("host", "path", "uid", "hashes").repartitionByRange(tasks, "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
+    order = ["host", "path", "k1", "k2"]
+    light = parsed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     placed = materialize(light.withColumn("at", F.monotonically_increasing_id()), "order")
     part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
@@ -200,7 +221,7 @@ def in_url_order(parsed: DataFrame, tasks: int) -> DataFrame:
         first.append(total)
         total += sizes.get(p, 0)
     offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in first or [0]]), (part + 1).cast("int"))
-    return placed.select((offset + inside).alias("seq"), "uid", "host", "path", "hashes")
+    return placed.select((offset + inside).alias("seq"), "k1", "k2", "host", "path", "hashes")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tasks: int | None = None) -> DataFrame:
@@ -209,29 +230,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     A page with an article or main element gives the lines inside it that no markup marks as a frame part. One
     without gives the lines that no markup marks and that its nearest page of the host does not share; if
     every line would go so (a copy of the neighbour), all stay. Null or empty pages give an empty text; null
-    URLs are one host; rows that repeat are paired like others; an empty table gives no rows; other columns
+    URLs are one host; rows that repeat share one pairing; an empty table gives no rows; other columns
     are ignored.
     """
     spark = pages.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parsed = materialize(parsed_pages(pages, id_col, url_col, html_col), "lines")
-    order = materialize(in_url_order(parsed, tasks), "numbered")
+    keyed = keyed_pages(pages, id_col, url_col, html_col)
+    order = in_url_order(hashed_lines(keyed).distinct(), tasks)
     near = order.select("seq", "host", "path", "hashes")
     before = near.select((F.col("seq") + 1).alias("seq"), F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("hashes").alias("b_hashes"))
     after = near.select((F.col("seq") - 1).alias("seq"), F.col("host").alias("a_host"), F.col("path").alias("a_path"), F.col("hashes").alias("a_hashes"))
-    both = order.join(before, "seq", "left").join(after, "seq", "left").select("uid", "host", "path", "hashes", "b_host", "b_path", "b_hashes", "a_host", "a_path", "a_hashes")
+    both = order.join(before, "seq", "left").join(after, "seq", "left").select("k1", "k2", "host", "path", "hashes", "b_host", "b_path", "b_hashes", "a_host", "a_path", "a_hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, gone = [], []
-            for uid, host, path, own, b_host, b_path, b_own, a_host, a_path, a_own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            gone = []
+            for host, path, own, b_host, b_path, b_own, a_host, a_path, a_own in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
                 sides = [(prefix(path, p), h) for x, p, h in ((b_host, b_path, b_own), (a_host, a_path, a_own)) if x == host]
                 other = max(sides, key=lambda s: s[0])[1] if sides else b""  # the one before, if alike
-                uids.append(uid)
                 gone.append(shared_lines(np.frombuffer(own, "<u8").tolist(), np.frombuffer(other, "<u8").tolist()).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(gone, pa.binary())], ["uid", "shared"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.binary())], ["k1", "k2", "shared"])
 
-    shared = both.mapInArrow(compare, "uid long, shared binary")
+    shared = both.mapInArrow(compare, "k1 long, k2 long, shared binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,14 +259,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = ["\n\n".join(chosen(m, zlib.decompress(z).decode("utf-8").split("\n"), s or b"")) for m, z, s in zip(marks, bodies, common, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = parsed.select("uid", "page_id", "url", "marks", "body").join(shared, "uid", "left").select("page_id", "url", "marks", "body", "shared")
+    rows = packed_lines(keyed).join(shared, ["k1", "k2"], "left").select("page_id", "url", "marks", "body", "shared")
     return rows.mapInArrow(join, "page_id long, url string, text string, n_chars long")
 
 
 def chosen(marks: bytes, lines: list[str], shared: bytes) -> list[str]:
-    """The lines that are main text, from their marks and which of them the neighbour shares."""
-    if MAIN in marks:
-        return [t for m, t in zip(marks, lines, strict=True) if m == MAIN]
-    shared = shared.ljust(len(marks), b"\0")
-    free = [(t, s) for m, t, s in zip(marks, lines, shared, strict=False) if m == OPEN]
-    return [t for t, s in free if not s] or [t for t, _ in free]
+    """The lines that are main text, of those that may be, from all lines' marks and which of them the neighbour shares."""
+    want = wanted(marks)
+    if want == MAIN:
+        return lines if MAIN in marks else []
+    flags = [s for m, s in zip(marks, shared.ljust(len(marks), b"\0"), strict=False) if m == OPEN]
+    if not flags:
+        return []
+    return [t for t, s in zip(lines, flags, strict=True) if not s] or lines
