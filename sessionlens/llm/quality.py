@@ -154,7 +154,7 @@ def fit_chain(rows: list[tuple[str, int]], totals: dict[int, int], rounds: int =
     share = {y: totals.get(y, counts[y]) / max(sum(totals.values()), 1) * len(rows) / counts[y] for y in (0, 1)}
     blocks, sizes, labels, weight = [], [], [], []
     for text, y in rows:
-        x = widen(line_features(text.split("\n"))[0])
+        x = widen(line_features(text.split("\n"))[0]).astype(np.float32)  # half the driver's memory
         for at in range(0, len(x), chunk):
             part = x[at : at + chunk]
             blocks.append(part)
@@ -162,16 +162,17 @@ def fit_chain(rows: list[tuple[str, int]], totals: dict[int, int], rounds: int =
             labels.append(y)
             weight.append(share[y] / (-(-len(x) // chunk) * len(part)))
     x, size, y, weight = np.concatenate(blocks), np.array(sizes), np.array(labels), np.array(weight)
+    blocks.clear()
     starts = np.concatenate(([0], np.cumsum(size)[:-1]))
     y_line, w_line = np.repeat(y, size), np.repeat(weight, size)
     total = float(sum(share[l] for _, l in rows))
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, trans = theta[:wide], theta[wide:].reshape(2, 2)
-        good = x @ w
+        good = (x @ w.astype(np.float32)).astype(np.float64)
         marginal, pairs, z = forward_backward(np.stack([np.zeros(len(good)), good], axis=1), starts, size, trans)
         own = np.add.reduceat(np.where(y_line == 1, good, 0.0), starts) + (size - 1) * trans[y, y]
-        g_w = x.T @ (w_line * (marginal[:, 1] - y_line))
+        g_w = (x.T @ (w_line * (marginal[:, 1] - y_line)).astype(np.float32)).astype(np.float64)
         g_t = np.einsum("s,sab->ab", weight, pairs)
         np.add.at(g_t, (y, y), -weight * (size - 1))
         value = float((weight * (z - own)).sum()) / total + ridge * float(theta @ theta) / 2
@@ -231,18 +232,18 @@ def score_quality(docs: DataFrame, model: ChainModel, id_col: str = "doc_id", te
     return docs.drop("score").mapInArrow(run, schema)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
     """Fit on up to `most` labelled documents of either class, none of the held-out fifth."""
     return fit_chain(*labelled_sample(docs, labels, "quality", most, id_col=id_col, text_col=text_col))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: `doc_id, held_out, score, predicted`; see `score_quality` for edge cases."""
     scored = score_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), fit_quality(docs, labels, most, id_col, text_col))
     return scored.select("doc_id", (id_bucket("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows whose score is below `threshold`, all columns as they were."""
     own = docs.withColumns({"_body": F.col(text_col).cast("string"), "_all": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select("_body", "_all")
     kept = score_quality(own, fit_quality(docs, labels, most, id_col, text_col), text_col="_body").where(F.col("score") >= threshold)
