@@ -23,6 +23,11 @@ from .common import materialize
 from .graph import connected_components
 
 BITS = 64
+#: Work of one probe, which is shuffled and sorted, in candidates, which are compared where they meet.
+PROBE = 30
+#: Bytes of a sketch: as many minimum hashes, one byte kept of each.
+SKETCH = 128
+_DRAW = np.random.default_rng(7).integers(1, 1 << 63, SKETCH + 8, dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -43,19 +48,42 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def sketch(text: str | None, shingle: int = 5) -> bytes:
+    """Minimum hashes of a text's distinct word shingles: two sketches agree in about the texts' Jaccard similarity.
+
+    Fewer words than a shingle are one shingle; no words give zeros.
+    """
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return bytes(SKETCH)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(h))
+    n = len(h) - size + 1
+    mixed = sum((h[i : i + n] * _DRAW[SKETCH + i] for i in range(1, size)), h[:n] * _DRAW[SKETCH])
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _DRAW[0]
+    mixed ^= mixed >> np.uint64(32)
+    least = np.full(SKETCH, ~np.uint64(0))
+    for at in range(0, n, 2048):
+        least = np.minimum(least, (mixed[at : at + 2048, None] * _DRAW[None, :SKETCH]).min(axis=0))
+    return (least >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
 def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """`(doc_id, fp)`, fp as a signed long; whole texts, null as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
+    """`(doc_id, fp)`, fp as a signed long, and `sk`, the text's sketch, if `sketched`; whole texts, null as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
+            out = {"doc_id": b.column(0), "fp": pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)], pa.int64())}
+            if sketched:
+                out["sk"] = pa.array([sketch(t.as_py()) for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", sk binary" * sketched)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -105,7 +133,7 @@ def choose_parts(rows: int, radius: int) -> int:
         width, spare = BITS // parts, radius - parts + 1
         radii = [spare // parts + (i < spare % parts) for i in range(parts)]
         balls = sum(sum(math.comb(width, r) for r in range(t + 1)) for t in radii)
-        return balls + balls * rows / 2.0**width
+        return balls * PROBE + balls * rows / 2.0**width
 
     return min(range(1 if radius == 0 else 2, radius + 2), key=work)
 
@@ -113,7 +141,7 @@ def choose_parts(rows: int, radius: int) -> int:
 def threshold_plan(bits: np.ndarray, ones: np.ndarray, rows: int, groups: list[list[int]], radius: int, heavy: list[dict[int, int]], keys: np.ndarray) -> np.ndarray:
     """Thresholds (fingerprints x partitions) with the least work, summing to radius - partitions + 1.
 
-    Work of a threshold t on a partition: its probes, plus the fingerprints expected within t bits there. That
+    Work of a threshold t on a partition: its probes, `PROBE` each, plus the fingerprints expected within t bits there. That
     estimate is `rows` times the chance of a distance up to t under the bits' frequencies, and at least the
     measured count of the value itself where it is a heavy one.
     """
@@ -131,7 +159,7 @@ def threshold_plan(bits: np.ndarray, ones: np.ndarray, rows: int, groups: list[l
         if heavy[g]:
             near = np.maximum(near, np.array([heavy[g].get(k, 0) for k in keys[:, g].tolist()])[:, None])
         balls = np.cumsum([math.comb(len(members), r) for r in range(radius + 1)])
-        cost[:, g, 1:] = near + balls
+        cost[:, g, 1:] = near + balls * PROBE
     total = radius - parts + 1 + parts  # thresholds shifted by one, so that -1 counts as 0
     best = np.full((n, total + 1), np.inf)
     best[:, 0] = 0
@@ -179,31 +207,43 @@ def probes(fps: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]],
     return fps.select("fp").mapInPandas(run, "part int, key long, fp long")
 
 
-def forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (left, right) within `radius` bits, but only those that join parts not joined yet."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for x in left:
-        near = right[np.bitwise_count(left.dtype.type(x) ^ right) <= radius]
-        a = int(x)
-        for y in near.tolist():
-            if top(a) != top(y):
-                root[top(y)] = top(a)
-                out.append((signed(a), signed(y)))
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+
+
+def forest(left: np.ndarray, right: np.ndarray, radius: int, sketches: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """Links (left, right) within `radius` bits, and alike by `sketches` if given, but only those that join parts not joined yet."""
+    nodes, of = np.unique(np.concatenate([left, right]), return_inverse=True)
+    of_left, of_right, part, out = of[: len(left)], of[len(left) :], np.arange(len(nodes)), []
+    for i, x in enumerate(left):
+        own = part[of_left[i]]
+        near = np.flatnonzero((np.bitwise_count(x ^ right) <= radius) & (part[of_right] != own))
+        if sketches is not None and len(near):
+            near = near[(sketches[1][near] == sketches[0][i]).mean(axis=1) >= similarity]
+        if len(near):
+            met, first = np.unique(part[of_right[near]], return_index=True)
+            out += [(signed(int(x)), signed(int(y))) for y in right[near[first]]]
+            part[np.isin(part, met)] = own
     return out
 
 
-def near_links(fps: DataFrame, radius: int = 3, parts: int | None = None, crowded: int = 256, block: int = 2048) -> DataFrame:
+def alike(links: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """Those links `(a, b)` whose sketches agree in `similarity` of their bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (unpacked(b.column(2).to_pylist()) == unpacked(b.column(3).to_pylist())).mean(axis=1)
+            yield b.select([0, 1]).filter(pa.array(same >= similarity))
+
+    of = lambda end: fps.select(F.col("fp").alias(end), F.col("sk").alias(f"sk_{end}"))
+    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
+
+
+def near_links(fps: DataFrame, radius: int = 3, parts: int | None = None, crowded: int = 256, block: int = 8192, similarity: float | None = None) -> DataFrame:
     """`(a, b)`: links between distinct fingerprints that have the components of all links within `radius` bits.
 
-    `fps` has distinct values in `fp`. A partition value shared by up to `crowded` fingerprints gives all its
+    `fps` has distinct values in `fp`. With a `similarity`, links must also have sketches (`sk`) that agree so
+    far. A partition value shared by up to `crowded` fingerprints gives all its
     verified links. One shared by more is dealt out in blocks of fingerprints, and each pair of blocks gives
     the links of a spanning forest, fewer than its fingerprints: nothing is lost to the components, and no
     group is listed pair by pair or held by one task.
@@ -226,7 +266,7 @@ def near_links(fps: DataFrame, radius: int = 3, parts: int | None = None, crowde
     close = (F.col("p.fp") < F.col("q.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius)
     links = p.join(q.where(F.col("n") <= crowded), same & close).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
     if not any(n > crowded for h in heavy for n in h.values()) and least <= crowded:
-        return links.distinct()
+        return alike(links.distinct(), fps, similarity) if similarity else links.distinct()
 
     big = counted.where(F.col("n") > crowded)
     sizes = big.select("part", "key", "n").distinct()
@@ -238,24 +278,31 @@ def near_links(fps: DataFrame, radius: int = 3, parts: int | None = None, crowde
     left = seekers.select("part", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), "fp")
     right = members.join(most, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("i"), "j", "fp")
     keys = ["part", "key", "i", "j"]
+    if similarity:
+        left, right = (side.join(fps.select("fp", "sk"), "fp") for side in (left, right))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(forest(a["fp"].to_numpy(np.int64).view(np.uint64), b["fp"].to_numpy(np.int64).view(np.uint64), radius), columns=["a", "b"], dtype="int64")
+        sketches = (unpacked(a["sk"].tolist()), unpacked(b["sk"].tolist())) if similarity else None
+        found = forest(a["fp"].to_numpy(np.int64).view(np.uint64), b["fp"].to_numpy(np.int64).view(np.uint64), radius, sketches, similarity or 0.0)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     dense = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "a long, b long")
+    links = alike(links.distinct(), fps, similarity) if similarity else links
     return links.unionByName(dense.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """Per row: `doc_id, fingerprint` (16 lowercase hex digits), `component_id` (smallest doc_id reachable).
 
-    Rows with equal fingerprints are one; links run between distinct ones. Null or empty texts have fingerprint
+    Rows with equal fingerprints are one; links run between distinct ones. With a `similarity`, a link also needs
+    that Jaccard similarity of the texts' five-word shingles, as estimated from sketches. Null or empty texts have fingerprint
     zero and link like any other. Null ids never name a component. Ids repeat as their rows do; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = materialize(near_links(distinct, radius), "near")
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, bool(similarity)), "fingerprints")
+    own = [F.min("doc_id").alias("least"), *([F.min("sk").alias("sk")] if similarity else [])]
+    distinct = materialize(rows.groupBy("fp").agg(*own), "distinct")
+    links = materialize(near_links(distinct, radius, similarity=similarity), "near")
     roots = connected_components(links)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -263,12 +310,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 7, similarity: float | None = 0.8) -> DataFrame:
     """`docs` with one row of each component of near copies: that with the smallest id; all columns as they were.
 
-    Rows with a null id are kept, as nothing names them. Of rows that repeat an id that stays, one is kept.
+    Fingerprints of three words propose, as an edit touches fewer of them; sketches of five words verify. A
+    radius of 7 meets four partitions at one bit each. Rows with a null id are kept, as nothing names them. Of
+    rows that repeat an id that stays, one is kept.
     """
-    components = simhash_components(docs, id_col, text_col, shingle, radius)
+    components = simhash_components(docs, id_col, text_col, shingle, radius, similarity)
     stay = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).withColumn("_stay", F.col(id_col).cast("long")).join(stay, "_stay", "left_semi").dropDuplicates(["_stay"])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sessionlens.llm import ann, exact_dedup, mixing, packing, secrets, simhash
+from sessionlens.llm import ann, exact_dedup, html_text, licenses, mixing, packing, quality, secrets, simhash, toxicity
 from sessionlens.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -57,12 +57,15 @@ def test_simhash(docs):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
 @pytest.mark.parametrize("crowded", [2, 256])
-def test_near_links_have_all_components(spark, crowded):
+def test_near_links_have_all_components(spark, crowded, similarity):
     r = np.random.default_rng(1)
     base = r.integers(-(2**62), 2**62, 12)
     values = {int(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in r.choice(60, r.integers(0, 4), False)] or [np.int64(0)])) for b in base for _ in range(12)}
-    links = {tuple(x) for x in simhash.near_links(spark.createDataFrame([(v,) for v in values], "fp long"), crowded=crowded, block=3).collect()}
+    sketches = {v: bytes(int(x) for x in np.where(r.random(simhash.SKETCH) < 0.9, 5, r.integers(0, 255, simhash.SKETCH))) for v in values}
+    fps = spark.createDataFrame(list(sketches.items()), "fp long, sk binary")
+    links = {tuple(x) for x in simhash.near_links(fps, crowded=crowded, block=3, similarity=similarity).collect()}
 
     def parts(pairs):
         root = {v: v for v in values}
@@ -71,8 +74,28 @@ def test_near_links_have_all_components(spark, crowded):
                 root[a] = root[b] = min(root[a], root[b])
         return root
 
-    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert links <= want and parts(links) == parts(want)
+    def alike(a, b):
+        return similarity is None or np.mean([x == y for x, y in zip(sketches[a], sketches[b], strict=True)]) >= similarity
+
+    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3 and alike(a, b)}
+    assert want and links <= want and parts(links) == parts(want)
+
+
+def test_drop_near_copies_by_similarity(spark):
+    r = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in r.integers(0, 4000, 300)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for i, w in enumerate(texts):  # one word changed of 300 (similarity 0.97); 60 changed (below 0.3)
+        near, far = list(w), list(w)
+        near[150] = "changed"
+        for k in range(0, 300, 5):
+            far[k] = "far"
+        rows += [(100 + i, " ".join(near)), (200 + i, " ".join(far))]
+    rows += [(None, "no id"), (400, None), (401, ""), (402, "one two"), (402, "one two")]
+    kept = [x["doc_id"] for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len([i for i in kept if i is not None and 100 <= i < 200]) <= 1  # within 7 bits but for rare chance
+    assert {i for i in kept if i is not None and not 100 <= i < 200} == {*range(30), *range(200, 230), 400, 402}
+    assert kept.count(None) == 1 and kept.count(402) == 1
 
 
 def test_secrets(docs, spark):
@@ -137,3 +160,50 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_dedup(e).count() == simhash.simhash_components(e).count() == secrets.scan_secrets(e).count() == 0
     assert mixing.mix_sources(e).documents.count() == packing.pack_documents(e, tokenizer_path()).count() == 0
+
+
+@pytest.fixture(scope="module")
+def rough(spark):
+    """Nulls in every column, empty and very long texts, ties and repeated rows."""
+    long = " ".join(f"word{i % 977} token:abc{i}" for i in range(60_000))
+    rows = [(None, "some text", "en", "s"), (None, None, None, None), (1, long, "en", None), (2, "", None, "s"), (3, "same", "en", "s"), (3, "same", "en", "s"), (4, "same", None, "t")]
+    return spark.createDataFrame([(*r, None, 7, "x") for r in rows], SCHEMA).repartition(3).cache()
+
+
+def test_rough_rows(rough):
+    n = rough.count()
+    dedup = exact_dedup.exact_dedup(rough).collect()
+    assert len(dedup) == n and sum(r["kept"] for r in dedup) == 4 and {r["group_size"] for r in dedup if r["doc_id"] in (3, 4)} == {3}
+    parts = simhash.simhash_components(rough).collect()
+    assert len(parts) == n and {r["component_id"] for r in parts if r["doc_id"] in (3, 4)} == {3}
+    found = secrets.scan_secrets(rough).collect()
+    assert len(found) == n and sum(len(r["spans"]) for r in found) == sum(len(f"abc{i}") >= 6 for i in range(60_000))
+    mix = mixing.mix_sources(rough).documents.collect()
+    assert len(mix) == n and all(r["taken"] <= 2 * r["size"] for r in mix)
+    assert mixing.apply_mix(rough, mixing.mix_sources(rough)).columns == rough.columns
+    pieces = packing.pack_documents(rough, tokenizer_path()).collect()
+    totals = {}
+    for p in pieces:
+        totals[p["doc_id"]] = totals.get(p["doc_id"], 0) + p["length"]
+    assert totals[2] == 1 and totals[1] == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 1)
+
+
+def test_licenses_inherit_from_the_nearest_directory(spark):
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    rows = [("a/LICENSE", mit), ("a/b/LICENSE", "x\n" + apache), ("a/b/c/one.txt", "plain"), ("a/two.txt", None), ("a/b/own.py", mit), ("z/three.txt", ""), (None, mit), ("a/two.txt", None), ("a/b/COPYING", "no notice")]
+    got = licenses.scan_licenses(spark.createDataFrame([(*r, 1.0) for r in rows], "path string, text string, score double")).collect()
+    assert len(got) == len(rows)
+    by = {r["path"]: (r["license"], r["how"], r["from_dir"]) for r in got}
+    assert by["a/b/c/one.txt"] == ("Apache-2.0", "inherited", "a/b") and by["a/two.txt"] == ("MIT", "inherited", "a")
+    assert by["a/b/own.py"] == ("MIT", "header", None) and by["z/three.txt"] == by[None] == (None, "none", None)
+
+
+def test_classifiers_and_pages_on_rough_rows(spark, rough):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    for got in (quality.classify_quality(rough, labels), toxicity.classify_toxicity(rough, labels), quality.classify_quality(rough, labels.limit(0)), toxicity.classify_toxicity(rough, labels.limit(0))):
+        rows = got.collect()
+        assert len(rows) == rough.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.keep_good(rough, labels.limit(0)).columns == rough.columns
+    pages = spark.createDataFrame([(1, None, "<p>a</p>"), (2, "http://h/x", None), (2, "http://h/x", None), (None, "http://[", ""), (3, "http://h/y", "<p>" + "word " * 200_000 + "</p>")], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html_text.main_text(pages).collect())
+    assert got == [(0, 0), (1, 1), (2, 0), (2, 0), (3, 5 * 200_000 - 1)]
