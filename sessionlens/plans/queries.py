@@ -145,10 +145,25 @@ def w5_usage_once(spark, sf_dir):
     return li.withColumn("n", F.row_number().over(order)).where("n = 1").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+def neighbours(docs: DataFrame, block: int = 512) -> DataFrame:
+    """`doc_id, text, before`: each document with the whole text of the one before it in its source, by id.
+
+    A source's first document has none and gives no row, nor does one after a null text. The lag runs within
+    `block` ids of a source; a block's first document meets the last one of the block before by a join on ids,
+    so no window holds a source's texts. Ids are distinct.
+    """
+    d = docs.select("doc_id", "source", "text", F.floor(F.col("doc_id") / block).alias("block"))
+    before = F.lag("text").over(Window.partitionBy("source", "block").orderBy("doc_id"))
+    inside = d.withColumn("before", before).select("doc_id", "text", "before")
+    ends = d.groupBy("source", "block").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    edges = ends.select("doc_id", F.lag("last").over(Window.partitionBy("source").orderBy("block")).alias("last"))
+    edges = edges.join(d.select(F.col("doc_id").alias("last"), F.col("text").alias("before")), "last").join(d.select("doc_id", "text"), "doc_id")
+    return inside.unionByName(edges.select("doc_id", "text", "before")).where("before IS NOT NULL")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring documents of a source, by id; texts cut to what the edit distance looks at."""
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").withColumn("before", before).where("before IS NOT NULL AND length(text) < 2000 AND length(before) < 2000")
+    """Neighbouring documents of a source, by id: every pair, with whole texts, of which the edit distance looks at 4,096 bytes."""
+    return neighbours(table(spark, sf_dir, "documents"))
 
 
 @query("""WITH p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents)
