@@ -204,15 +204,22 @@ def a10_weakened_tests(spark, sf_dir):
     return d.select("doc_id", weakening.drop(old, new, P.DECLARATIONS).cast("long").alias("declared"), weakening.drop(old, new, P.ASSERTIONS).cast("long").alias("asserted"), F.exists(weakening.reasons(old, new), lambda r: r.startswith("assertion weakened")).alias("weaker"))
 
 
+def weakening_edits(docs: DataFrame, block: int = 512) -> DataFrame:
+    """A prompt and an edit of a test file from each document's whole text; `block` ids of a source are a session."""
+    from .bindings import as_events
+
+    id_, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    shared = {"session_id": F.concat_ws(":", F.col("source"), F.floor(id_ / block).cast("string")), "ts": F.to_timestamp(F.lit(BASE)) + F.make_dt_interval(mins=id_.cast("int"))}
+    said = as_events(docs, **shared, seq=id_ * 2, kind=F.lit("prompt"), uuid=F.concat(F.lit("p"), id_.cast("string")), text=F.when(id_ % 9 == 0, "please make the tests pass").otherwise("go on"))
+    edits = as_events(docs, **shared, seq=id_ * 2 + 1, kind=F.lit("tool_call"), tool=F.lit("Edit"), uuid=id_.cast("string"), text=F.lit(""), file_path=F.lit("/repo/a_test.py"), old_string=F.concat(F.lit("self.assertEqual(a, b)\n"), whole), new_string=whole)
+    return said.unionByName(edits)
+
+
 @query()
 def d2_test_integrity(spark, sf_dir):
     """Edits of test files built from documents, with conversations' turns between; tests hold it against a hand loop."""
-    d, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
-    from .bindings import as_events
-
-    said = as_events(d, session_id=F.col("source"), seq=id_ * 2, kind=F.lit("prompt"), ts=F.to_timestamp(F.lit(BASE)) + F.make_dt_interval(mins=id_.cast("int")), uuid=F.concat(F.lit("p"), id_.cast("string")), text=F.when(id_ % 9 == 0, "please make the tests pass").otherwise("go on"))
-    edits = as_events(d, session_id=F.col("source"), seq=id_ * 2 + 1, kind=F.lit("tool_call"), tool=F.lit("Edit"), ts=F.to_timestamp(F.lit(BASE)) + F.make_dt_interval(mins=id_.cast("int")), uuid=id_.cast("string"), text=F.lit(""), file_path=F.lit("/repo/a_test.py"), old_string=F.concat(F.lit("self.assertEqual(a, b)\n"), F.substring("text", 1, 200)), new_string=F.substring("text", 1, 200))
-    return TestIntegrity().scan(Frames(said.unionByName(edits), None)).select("session_id", "severity", "confidence", "title", "detail")
+    events = weakening_edits(table(spark, sf_dir, "documents"))
+    return TestIntegrity().scan(Frames(events, None)).select("session_id", "severity", "confidence", "title", "detail")
 
 
 @query(f"""WITH {LOOPS_SQL}, named AS (SELECT DISTINCT e.session_id, e.uuid FROM edits e JOIN loops l USING (session_id, file_path)),
@@ -270,18 +277,21 @@ def f6_text_predicates(spark, sf_dir):
     return p.select("page_id", rx.matches(F.col("html"), r"(?i)\b(rm|mv|tee)\b").alias("mutates"), predicates.pass_pressure(F.col("html")).alias("pressed"))
 
 
+def page_files(pages: DataFrame) -> DataFrame:
+    """A Python or TypeScript file from each page: one declaration, then the whole html as comments."""
+    word = F.concat(F.lit("f"), F.col("page_id").cast("string"))
+    even, html = F.col("page_id") % 2 == 0, F.coalesce("html", F.lit(""))
+    py = F.concat(F.lit("def "), word, F.lit("(x):\n    return x\n# "), F.replace(html, F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
+    ts = F.concat(F.lit("const "), word, F.lit("_ts = 1;\n// "), F.replace(html, F.lit("\n"), F.lit("\n// ")), F.lit("\n"))
+    return pages.select(F.lit("/repo").alias("cwd"), F.concat(F.lit("/repo/"), word, F.when(even, ".py").otherwise(".ts")).alias("path"), F.when(even, py).otherwise(ts).alias("text"))
+
+
 @query()
 def x7_declared_names(spark, sf_dir):
-    """Names that small Python and TypeScript files, one built from each page, declare."""
+    """Names that Python and TypeScript files, one built from each page, declare."""
     from ..operators.symbols import symbol_table
 
-    p = table(spark, sf_dir, "pages")
-    word = F.concat(F.lit("f"), F.col("page_id").cast("string"))
-    py = F.concat(F.lit("def "), word, F.lit("(x):\n    return x  # "), F.substring("url", 1, 40), F.lit("\n"))
-    ts = F.concat(F.lit("const "), word, F.lit("_ts = 1; // "), F.substring("url", 1, 40), F.lit("\n"))
-    even = F.col("page_id") % 2 == 0
-    files = p.select(F.lit("/repo").alias("cwd"), F.concat(F.lit("/repo/"), word, F.when(even, ".py").otherwise(".ts")).alias("path"), F.when(even, py).otherwise(ts).alias("text"))
-    return symbol_table(files)
+    return symbol_table(page_files(table(spark, sf_dir, "pages")))
 
 
 ORACLE_SQL["x7_declared_names"] = "SELECT '/repo' AS cwd, CASE WHEN page_id % 2 = 0 THEN 'python' ELSE 'typescript' END AS language, 'f' || page_id::varchar || CASE WHEN page_id % 2 = 0 THEN '' ELSE '_ts' END AS name FROM pages"
