@@ -77,20 +77,22 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, path_
     """Per row of `files`: `path, license, score, how, from_dir`, with how one of header, inherited, none.
 
     A file's own notice wins; else that of the nearest directory above it that holds a licence file
-    (`LICENCE_FILE`) with a notice. Of several such files in a directory the smallest path speaks. Directories
+    (`LICENCE_FILE`) with a notice, up to the top of a relative or an absolute tree (both are '' in from_dir). Of several such files in a directory the smallest path speaks. Directories
     meet their ancestors once each, before files join, so a hot directory is one row. Null paths give none;
     repeated rows are kept, with equal results; an empty table gives no rows.
     """
     own = materialize(notice_scores(files, templates, path_col, text_col, threshold), "notices")
     parent = lambda p: F.regexp_replace(p, "/?[^/]*$", "")
+    rooted = F.col("path").startswith("/").alias("rooted")
     base = F.regexp_extract("path", "[^/]*$", 0)
-    holders = own.where(base.rlike(LICENCE_FILE)).withColumn("dir", parent(F.col("path")))
-    by_dir = holders.groupBy("dir").agg(F.min(F.struct("path", "license", "score")).alias("h")).select(F.col("dir").alias("above"), "h.license", "h.score")
-    rows = files.select(F.col(path_col).alias("path")).withColumn("dir", parent(F.col("path")))
+    holders = own.where(base.rlike(LICENCE_FILE)).select("*", rooted, parent(F.col("path")).alias("dir"))
+    by_dir = holders.groupBy("dir", "rooted").agg(F.min(F.struct("path", "license", "score")).alias("h")).select(F.col("dir").alias("above"), "rooted", "h.license", "h.score")
+    rows = files.select(F.col(path_col).alias("path")).select("path", rooted, parent(F.col("path")).alias("dir"))
     parts = F.split("dir", "/")
-    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    dirs = rows.where("dir IS NOT NULL").select("dir").distinct().withColumn("above", F.explode(ups))
-    near = dirs.join(by_dir, "above").groupBy("dir").agg(F.max_by(F.struct("above", "license", "score"), F.length("above")).alias("near"))
-    out = rows.join(own, "path", "left").join(near, "dir", "left")
+    ups = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), lambda x: x != "")
+    dirs = rows.where("dir IS NOT NULL").select("dir", "rooted").distinct().withColumn("above", F.explode(ups))
+    near = dirs.join(by_dir, ["above", "rooted"]).groupBy("dir", "rooted").agg(F.max_by(F.struct("above", "license", "score"), F.length("above")).alias("near"))
+    top = F.broadcast(by_dir.where("above = ''").select("rooted", F.struct("above", "license", "score").alias("top")))  # two rows at most
+    out = rows.join(own, "path", "left").join(near, ["dir", "rooted"], "left").join(top, "rooted", "left").withColumn("near", F.coalesce("near", "top"))
     how = F.when(F.col("license").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select("path", F.coalesce("license", "near.license").alias("license"), F.coalesce("score", "near.score").alias("score"), how.alias("how"), F.when(how == "inherited", F.col("near.above")).alias("from_dir"))
