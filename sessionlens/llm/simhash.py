@@ -3,7 +3,8 @@
 Bits that correlate share a partition of the fingerprint. Two fingerprints within `radius` bits are within the
 threshold of at least one partition whenever the thresholds sum to radius - partitions + 1, so every
 fingerprint may choose its own: a dynamic program picks those with the least estimated work. It then probes
-the partition values within its thresholds, and what it meets is verified on all 64 bits.
+the partition values within its thresholds, and what it meets is verified on all 64 bits. A partition value that
+many fingerprints share is split by the same principle once more, on the bits that are left.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -26,15 +27,28 @@ BITS = 64
 #: Work of one probe, which is shuffled and sorted, in candidates, which are compared where they meet.
 PROBE = 30
 #: Bytes of a sketch: as many minimum hashes, one byte kept of each.
-SKETCH = 128
+SKETCH = 256
+#: Rows of a table that may be broadcast; beyond it joins go by salted keys.
+SMALL = 100_000
+SALTS = 16
 _DRAW = np.random.default_rng(7).integers(1, 1 << 63, SKETCH + 8, dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64 majority bits of the XXH64 hashes of a text's word shingles; 0 without words."""
+def majority(h: np.ndarray) -> tuple[np.ndarray, int]:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64), len(h)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, distinct: bool = False) -> int:
+    """The 64 majority bits of the XXH64 hashes of a text's word shingles; 0 without words.
+
+    `distinct` takes the set of its words instead, so that neither a line that repeats nor an edit in few places weighs much.
+    """
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, and ASCII white space
     if not words:
         return 0
+    if distinct:
+        ones, n = majority(np.array([xxhash.xxh64_intdigest(w, seed) for w in set(words)], np.uint64))
+        return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
     whole, size = b" ".join(words), len(words)
     if size < shingle:
         return xxhash.xxh64_intdigest(whole, seed)
@@ -43,8 +57,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     ends, digest = ends[shingle - 1 :].tolist(), xxhash.xxh64_intdigest
     ones, n = np.zeros(BITS, np.int64), len(starts)
     for at in range(0, n, 32768):
-        h = np.array([digest(whole[s:e], seed) for s, e in zip(starts[at : at + 32768], ends[at : at + 32768], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += majority(np.array([digest(whole[s:e], seed) for s, e in zip(starts[at : at + 32768], ends[at : at + 32768], strict=True)], np.uint64))[0]
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -73,11 +86,11 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
-    """`(doc_id, fp)`, fp as a signed long, and `sk`, the text's sketch, if `sketched`; whole texts, null as empty."""
+    """`(doc_id, fp)`, fp as a signed long; whole texts, null as empty. `sketched`: fp of distinct words, and `sk`, the text's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {"doc_id": b.column(0), "fp": pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)], pa.int64())}
+            out = {"doc_id": b.column(0), "fp": pa.array([signed(fingerprint(t.as_py(), shingle, distinct=sketched)) for t in b.column(1)], pa.int64())}
             if sketched:
                 out["sk"] = pa.array([sketch(t.as_py()) for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
@@ -126,16 +139,36 @@ def correlated_groups(rows: int, both: np.ndarray, parts: int) -> list[list[int]
     return groups
 
 
-def choose_parts(rows: int, radius: int) -> int:
-    """Partitions with the least probes and expected candidates a fingerprint, were bits even: 2 for very many rows, 4 for few."""
+def masks_of(groups: list[list[int]]) -> list[int]:
+    return [signed(sum(1 << b for b in g)) for g in groups]
+
+
+def values(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """`(part, key, node, fp)`: each fingerprint's value in every partition."""
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    return nodes.select("node", "fp", F.explode(keys).alias("k")).select("k.part", "k.key", "node", "fp")
+
+
+def choose_groups(nodes: DataFrame, rows: int, both: np.ndarray, radius: int, most: int = 5) -> list[list[int]]:
+    """The partitions with the least work a fingerprint: probes, `PROBE` each, and the candidates that a probe meets.
 
-    def work(parts: int) -> float:
-        width, spare = BITS // parts, radius - parts + 1
-        radii = [spare // parts + (i < spare % parts) for i in range(parts)]
-        balls = sum(sum(math.comb(width, r) for r in range(t + 1)) for t in radii)
-        return balls * PROBE + balls * rows / 2.0**width
+    Candidates are measured: the sum of squares of a partition's value counts, over all fingerprints. Wider and
+    fewer partitions win as fingerprints become many.
+    """
+    options = [correlated_groups(rows, both, parts) for parts in range(1 if radius == 0 else 2, min(radius + 1, most) + 1)]
+    flat = values(nodes, [m for groups in options for m in masks_of(groups)])
+    squares = {r.part: float(r.s) for r in flat.groupBy("part", "key").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("part").agg(F.sum(F.col("n") * F.col("n")).alias("s")).collect()}  # a row a partition
+
+    def work(at: int, groups: list[list[int]]) -> float:
+        spare, out = radius - len(groups) + 1, 0.0
+        for i, g in enumerate(groups):
+            t = spare // len(groups) + (i >= len(groups) - spare % len(groups))
+            balls = sum(math.comb(len(g), r) for r in range(t + 1))
+            out += balls * (PROBE + squares[at + i] / rows)
+        return out
 
-    return min(range(1 if radius == 0 else 2, radius + 2), key=work)
+    firsts = np.cumsum([0, *map(len, options)]).tolist()
+    return min(zip(firsts, options, strict=False), key=lambda x: work(*x))[1]
 
 
 def threshold_plan(bits: np.ndarray, ones: np.ndarray, rows: int, groups: list[list[int]], radius: int, heavy: list[dict[int, int]], keys: np.ndarray) -> np.ndarray:
@@ -179,8 +212,8 @@ def threshold_plan(bits: np.ndarray, ones: np.ndarray, rows: int, groups: list[l
     return out
 
 
-def probes(fps: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]], radius: int, heavy: list[dict[int, int]]) -> DataFrame:
-    """`(part, key, fp)`: the partition values that each fingerprint has to look up."""
+def probes(nodes: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]], radius: int, heavy: list[dict[int, int]]) -> DataFrame:
+    """`(part, key, node, fp)`: the partition values that each fingerprint has to look up."""
     ones = np.clip(np.diag(both) / max(rows, 1), 1e-6, 1 - 1e-6)
     masks = np.array([sum(1 << b for b in g) for g in groups], np.uint64)
 
@@ -192,6 +225,7 @@ def probes(fps: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]],
         for whole in frames:
             for at in range(0, len(whole), 4096):
                 fp = whole["fp"].to_numpy(np.int64)[at : at + 4096].view(np.uint64)
+                node = whole["node"].to_numpy(np.int64)[at : at + 4096]
                 bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 keys = fp[:, None] & masks[None, :]
                 plan = threshold_plan(bits, ones, rows, groups, radius, heavy, keys.view(np.int64))
@@ -202,32 +236,36 @@ def probes(fps: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]],
                             if (g, t) not in made:
                                 made[g, t] = flips(members, t)
                             key = (keys[of, g][:, None] ^ made[g, t][None, :]).ravel()
-                            yield pd.DataFrame({"part": np.full(len(key), g, np.int32), "key": key.view(np.int64), "fp": np.repeat(fp[of].view(np.int64), len(made[g, t]))})
+                            yield pd.DataFrame({"part": np.full(len(key), g, np.int32), "key": key.view(np.int64), "node": np.repeat(node[of], len(made[g, t])), "fp": np.repeat(fp[of].view(np.int64), len(made[g, t]))})
 
-    return fps.select("fp").mapInPandas(run, "part int, key long, fp long")
+    return nodes.select("node", "fp").mapInPandas(run, "part int, key long, node long, fp long")
 
 
 def unpacked(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
 
-def forest(left: np.ndarray, right: np.ndarray, radius: int, sketches: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
-    """Links (left, right) within `radius` bits, and alike by `sketches` if given, but only those that join parts not joined yet."""
-    nodes, of = np.unique(np.concatenate([left, right]), return_inverse=True)
-    of_left, of_right, part, out = of[: len(left)], of[len(left) :], np.arange(len(nodes)), []
-    for i, x in enumerate(left):
+def forest(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
+    """Links of nodes of `left` with nodes of `right` within `radius` bits, and alike if asked, but only those that join parts not joined yet."""
+    if not len(left) or not len(right):
+        return []
+    a, b = (side["fp"].to_numpy(np.int64).view(np.uint64) for side in (left, right))
+    nodes, of = np.unique(np.concatenate([left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)]), return_inverse=True)
+    of_left, of_right, part, out = of[: len(a)], of[len(a) :], np.arange(len(nodes)), []
+    sketches = (unpacked(left["sk"].tolist()), unpacked(right["sk"].tolist())) if similarity else None
+    for i, x in enumerate(a):
         own = part[of_left[i]]
-        near = np.flatnonzero((np.bitwise_count(x ^ right) <= radius) & (part[of_right] != own))
+        near = np.flatnonzero((np.bitwise_count(x ^ b) <= radius) & (part[of_right] != own))
         if sketches is not None and len(near):
             near = near[(sketches[1][near] == sketches[0][i]).mean(axis=1) >= similarity]
         if len(near):
             met, first = np.unique(part[of_right[near]], return_index=True)
-            out += [(signed(int(x)), signed(int(y))) for y in right[near[first]]]
+            out += [(int(nodes[of_left[i]]), int(nodes[of_right[y]])) for y in near[first]]
             part[np.isin(part, met)] = own
     return out
 
 
-def alike(links: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+def alike(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those links `(a, b)` whose sketches agree in `similarity` of their bytes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,89 +273,129 @@ def alike(links: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
             same = (unpacked(b.column(2).to_pylist()) == unpacked(b.column(3).to_pylist())).mean(axis=1)
             yield b.select([0, 1]).filter(pa.array(same >= similarity))
 
-    of = lambda end: fps.select(F.col("fp").alias(end), F.col("sk").alias(f"sk_{end}"))
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("sk").alias(f"sk_{end}"))
     return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
 
 
-def near_links(fps: DataFrame, radius: int = 3, parts: int | None = None, crowded: int = 256, block: int = 8192, similarity: float | None = None) -> DataFrame:
-    """`(a, b)`: links between distinct fingerprints that have the components of all links within `radius` bits.
+def marked(rows: DataFrame, marks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """`rows` left-joined to `marks`, of `size` rows: broadcast up to `SMALL`, else by salted keys, so a hot key is no task's alone."""
+    if size <= SMALL:
+        return rows.join(F.broadcast(marks), keys, "left")
+    salted = marks.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
+VALUE, CELL = ["part", "key"], ["part", "key", "sub", "subkey"]
+
+
+def sub_cells(rows: DataFrame, groups: list[list[int]], radius: int) -> DataFrame:
+    """`rows` of crowded values once for each slice of the other bits: of radius + 1 slices one at least is equal in a linked pair."""
+    slices = []
+    for g in groups:
+        rest = [b for other in groups if other is not g for b in other]
+        slices.append([rest[i :: radius + 1] for i in range(radius + 1)])
+    masks = F.array(*[F.array(*[F.lit(m) for m in masks_of(x)]) for x in slices])
+    out = rows.drop("sub", "subkey").select("*", F.posexplode(F.element_at(masks, F.col("part") + 1)).alias("sub", "_mask"))
+    return out.withColumn("subkey", F.col("fp").bitwiseAND(F.col("_mask"))).drop("_mask")
+
+
+def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, crowded: int = 1024, block: int = 16384, similarity: float | None = None) -> DataFrame:
+    """`(a, b)`: links between nodes that have the components of all links within `radius` bits.
 
-    `fps` has distinct values in `fp`. With a `similarity`, links must also have sketches (`sk`) that agree so
-    far. A partition value shared by up to `crowded` fingerprints gives all its
-    verified links. One shared by more is dealt out in blocks of fingerprints, and each pair of blocks gives
-    the links of a spanning forest, fewer than its fingerprints: nothing is lost to the components, and no
+    `nodes` has a distinct `node` for each fingerprint `fp`. With a `similarity`, links must also have sketches
+    (`sk`) that agree so far. A partition value shared by up to `crowded` nodes gives all its verified links. A
+    value shared by more is split on the other bits (`sub_cells`) where that shrinks the pairs to compare fourfold.
+    What stays crowded is a dense neighbourhood: it is dealt out in blocks, and each pair of blocks gives the
+    links of a spanning forest, fewer than its nodes. Nothing is lost to the components, and no
     group is listed pair by pair or held by one task.
     """
-    rows, both = bit_counts(fps)
-    empty = fps.sparkSession.createDataFrame([], "a long, b long")
+    rows, both = bit_counts(nodes)
+    empty = nodes.sparkSession.createDataFrame([], "a long, b long")
     if rows < 2:
         return empty
-    groups = correlated_groups(rows, both, parts or choose_parts(rows, radius))
-    masks = [signed(sum(1 << b for b in g)) for g in groups]
-    index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("k.part", "k.key", "fp")
+    groups = correlated_groups(rows, both, parts) if parts else choose_groups(nodes, rows, both, radius)
+    index = values(nodes, masks_of(groups))
     least = max(64, rows // 1000)  # at most 1000 heavy values a partition
+    counts = materialize(index.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(least, crowded + 1)), "values")
     heavy: list[dict[int, int]] = [{} for _ in groups]
-    for r in index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect():
+    for r in counts.where(F.col("n") >= least).collect():
         heavy[r.part][r.key] = r.n
-    counted = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part", "key")))
-    asked = materialize(probes(fps, rows, both, groups, radius, heavy), "probes")
-    p, q = asked.alias("p"), counted.alias("q")
-    same = (F.col("p.part") == F.col("q.part")) & (F.col("p.key") == F.col("q.key"))
-    close = (F.col("p.fp") < F.col("q.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius)
-    links = p.join(q.where(F.col("n") <= crowded), same & close).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
-    if not any(n > crowded for h in heavy for n in h.values()) and least <= crowded:
-        return alike(links.distinct(), fps, similarity) if similarity else links.distinct()
-
-    big = counted.where(F.col("n") > crowded)
-    sizes = big.select("part", "key", "n").distinct()
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    members = big.withColumn("blocks", blocks).withColumn("j", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    seekers = asked.join(sizes, ["part", "key"])
-    most = seekers.groupBy("part", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares"))
-    seekers = seekers.join(most, ["part", "key"]).withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("shares"))).withColumn("blocks", blocks)
-    left = seekers.select("part", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), "fp")
-    right = members.join(most, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("i"), "j", "fp")
-    keys = ["part", "key", "i", "j"]
+    asked = materialize(probes(nodes, rows, both, groups, radius, heavy), "probes")
+    crowd = counts.where(F.col("n") > crowded)
+    many = crowd.count()
+
+    def verified(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
+        p, q = p.alias("p"), q.alias("q")
+        same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]
+        close = (F.col("p.node") < F.col("q.node")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius)
+        links = p.join(q, [*same, close]).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+        return alike(links, nodes, similarity) if similarity else links
+
+    if not many:
+        return verified(asked, index, VALUE)
+
+    members = marked(index, crowd, VALUE, many).where("n IS NOT NULL").drop("n")
+    cells = materialize(sub_cells(members, groups, radius).groupBy(*CELL).agg(F.count(F.lit(1)).alias("m")), "cells")
+    squares = cells.groupBy(*VALUE).agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("_after"))
+    n = F.col("n").cast("double")
+    state = materialize(crowd.join(squares, VALUE).select(*VALUE, "n", (F.col("_after") * 4 < n * n).alias("split")), "crowded")
+    full = materialize(cells.where(F.col("m") > crowded), "full_cells")
+    full_many = full.count()
+
+    def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows in cells of up to `crowded` members, and those in dense cells, with the number of members `m`."""
+        of = marked(rows, state, VALUE, many).withColumns({"sub": F.lit(-1), "subkey": F.lit(0).cast("long")})
+        cols = [*CELL, "node", "fp"]
+        parts_ = marked(sub_cells(of.where("split"), groups, radius).select(*cols), full, CELL, full_many)
+        light = of.where("n IS NULL").select(*cols).unionByName(parts_.where("m IS NULL").select(*cols))
+        dense = of.where("NOT split").select(*cols, F.col("n").alias("m")).unionByName(parts_.where("m IS NOT NULL").select(*cols, "m"))
+        return light, dense
+
+    light_p, left = kinds(asked)
+    light_q, right = kinds(index)
+    links = verified(light_p, light_q, CELL)
+    shares = materialize(left.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares")), "shares")
+    of_right = shares.select(*[F.col(c).alias(c) for c in CELL], F.col("shares").alias("blocks"))
+    n_cells, keys = shares.count(), [*CELL, "i", "j"]
+    spread = lambda upto: F.explode(F.sequence(F.lit(0), upto.cast("int") - 1))
+    left = marked(left, shares, CELL, n_cells).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).cast("int")).withColumn("j", spread(F.ceil(F.col("m") / block))).select(*keys, "node", "fp")
+    right = marked(right, of_right, CELL, n_cells).where("blocks IS NOT NULL").withColumn("j", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block)).cast("int")).withColumn("i", spread(F.col("blocks"))).select(*keys, "node", "fp")
     if similarity:
-        left, right = (side.join(fps.select("fp", "sk"), "fp") for side in (left, right))
+        left, right = (side.join(nodes.select("node", "sk"), "node") for side in (left, right))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sketches = (unpacked(a["sk"].tolist()), unpacked(b["sk"].tolist())) if similarity else None
-        found = forest(a["fp"].to_numpy(np.int64).view(np.uint64), b["fp"].to_numpy(np.int64).view(np.uint64), radius, sketches, similarity or 0.0)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(forest(a, b, radius, similarity), columns=["a", "b"], dtype="int64")
 
-    dense = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "a long, b long")
-    links = alike(links.distinct(), fps, similarity) if similarity else links
-    return links.unionByName(dense.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "a long, b long")
+    return links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """Per row: `doc_id, fingerprint` (16 lowercase hex digits), `component_id` (smallest doc_id reachable).
 
-    Rows with equal fingerprints are one; links run between distinct ones. With a `similarity`, a link also needs
-    that Jaccard similarity of the texts' five-word shingles, as estimated from sketches. Null or empty texts have fingerprint
+    Without a `similarity`, rows with equal fingerprints are one node, and links run between distinct ones. With a
+    `similarity`, fingerprints are of distinct words, rows are one node only if their sketches are equal too, and
+    a link also needs that Jaccard similarity of the texts' five-word shingles, as estimated from sketches. Null or empty texts have fingerprint
     zero and link like any other. Null ids never name a component. Ids repeat as their rows do; an empty table
     gives no rows; other columns are ignored.
     """
+    same = ["fp", "sk"] if similarity else ["fp"]
     rows = materialize(fingerprints(docs, id_col, text_col, shingle, bool(similarity)), "fingerprints")
-    own = [F.min("doc_id").alias("least"), *([F.min("sk").alias("sk")] if similarity else [])]
-    distinct = materialize(rows.groupBy("fp").agg(*own), "distinct")
-    links = materialize(near_links(distinct, radius, similarity=similarity), "near")
-    roots = connected_components(links)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    links = materialize(near_links(nodes, radius, similarity=similarity), "near")
+    named = nodes.join(connected_components(links), "node", "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_text = named.join(least, "root").select(*same, "component_id")
+    return rows.join(by_text, same).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 7, similarity: float | None = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each component of near copies: that with the smallest id; all columns as they were.
 
-    Fingerprints of three words propose, as an edit touches fewer of them; sketches of five words verify. A
-    radius of 7 meets four partitions at one bit each. Rows with a null id are kept, as nothing names them. Of
-    rows that repeat an id that stays, one is kept.
+    Fingerprints of distinct words propose, as an edit changes few of them; sketches of five-word shingles verify.
+    Rows with a null id are kept, as nothing names them. Of rows that repeat an id that stays, one is kept.
     """
-    components = simhash_components(docs, id_col, text_col, shingle, radius, similarity)
+    components = simhash_components(docs, id_col, text_col, radius=radius, similarity=similarity)
     stay = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).withColumn("_stay", F.col(id_col).cast("long")).join(stay, "_stay", "left_semi").dropDuplicates(["_stay"])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

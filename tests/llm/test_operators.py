@@ -57,18 +57,18 @@ def test_simhash(docs):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
 
 
-@pytest.mark.parametrize("similarity", [None, 0.8])
-@pytest.mark.parametrize("crowded", [2, 256])
-def test_near_links_have_all_components(spark, crowded, similarity):
+@pytest.mark.parametrize(("radius", "crowded", "similarity", "small"), [(3, 8, None, 100_000), (3, 12, 0.8, 0), (6, 256, 0.8, 100_000)])
+def test_near_links_have_all_components(spark, monkeypatch, radius, crowded, similarity, small):
+    monkeypatch.setattr(simhash, "SMALL", small)  # 0: joins go by salted keys
     r = np.random.default_rng(1)
-    base = r.integers(-(2**62), 2**62, 12)
-    values = {int(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in r.choice(60, r.integers(0, 4), False)] or [np.int64(0)])) for b in base for _ in range(12)}
-    sketches = {v: bytes(int(x) for x in np.where(r.random(simhash.SKETCH) < 0.9, 5, r.integers(0, 255, simhash.SKETCH))) for v in values}
-    fps = spark.createDataFrame(list(sketches.items()), "fp long, sk binary")
-    links = {tuple(x) for x in simhash.near_links(fps, crowded=crowded, block=3, similarity=similarity).collect()}
+    base = [*r.integers(-(2**62), 2**62, 4), *(r.integers(0, 2**20, 8) << 40)]  # values that share 40 bits are crowded, and split on the others
+    fps = [int(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in r.choice(60, r.integers(0, 4), False)] or [np.int64(0)])) for b in base for _ in range(8)]
+    sketches = [bytes(int(x) for x in np.where(r.random(simhash.SKETCH) < 0.9, 5, r.integers(0, 255, simhash.SKETCH))) for _ in fps]
+    nodes = spark.createDataFrame(list(zip(range(len(fps)), fps, sketches, strict=True)), "node long, fp long, sk binary")
+    links = {tuple(x) for x in simhash.near_links(nodes, radius, crowded=crowded, block=8, similarity=similarity).collect()}
 
     def parts(pairs):
-        root = {v: v for v in values}
+        root = list(range(len(fps)))
         for _ in range(40):
             for a, b in pairs:
                 root[a] = root[b] = min(root[a], root[b])
@@ -77,10 +77,18 @@ def test_near_links_have_all_components(spark, crowded, similarity):
     def alike(a, b):
         return similarity is None or np.mean([x == y for x, y in zip(sketches[a], sketches[b], strict=True)]) >= similarity
 
-    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3 and alike(a, b)}
+    n = range(len(fps))
+    want = {(a, b) for a in n for b in n if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= radius and alike(a, b)}
     assert want and links <= want and parts(links) == parts(want)
 
 
+def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
+    line = " ".join(f"word{i}" for i in range(9))
+    texts = [" ".join([line] * 40 + [f"{c}{i}" for i in range(100)]) for c in "abcd"]
+    got = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity=0.8)
+    assert got.count() == 4
+
+
 def test_drop_near_copies_by_similarity(spark):
     r = np.random.default_rng(3)
     texts = [[f"w{x}" for x in r.integers(0, 4000, 300)] for _ in range(30)]
