@@ -15,7 +15,12 @@ GOLDEN = 0.6180339887498949
 
 @dataclass
 class Mix:
-    """`documents`: doc_id, source, size, source_size, target, taken. `schedule`: position, source_no, block, epoch, words."""
+    """The mixture.
+
+    `documents`: doc_id, source, size, source_size, target, taken, first_position, slots, copies (an array of epoch,
+    position, words: each pass that takes words of the document, and the schedule's position of its first slot), text_hash.
+    `schedule`: position, source_no, rank, block, epoch, words.
+    """
 
     documents: DataFrame
     schedule: DataFrame
@@ -54,7 +59,7 @@ def running_start(rows: DataFrame, key: str, bucket: Column, order: list[Column]
     return inside.join(sums.select(key, "_bucket", offset.alias("_offset")), [key, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_in")).drop("_offset", "_in")
 
 
-def slot_schedule(sources: DataFrame, slots: int, cells: int = 1024, chunk: int = 65536) -> DataFrame:
+def slot_schedule(sources: DataFrame, slots: int, cells: int = 1024, chunks: int = 4096) -> DataFrame:
     """`(position, source_no, rank)` of every slot that `sources(source_no, need)` calls for.
 
     Point t is frac((t+1) * GOLDEN), mapped through the cumulative shares of `need` by a join on `cells` equal
@@ -68,7 +73,7 @@ def slot_schedule(sources: DataFrame, slots: int, cells: int = 1024, chunk: int
     at = (F.col("id") + 1).cast("double") * F.lit(GOLDEN)
     points = spark.range(slots).withColumn("at", at - F.floor(at)).withColumn("cell", F.floor(F.col("at") * cells))
     hit = points.join(spread, "cell").where("at >= lo AND at < hi").select("id", "source_no", "need", F.lit(1).alias("one"))
-    ranked = running_start(hit, "source_no", F.floor(F.col("id") / chunk), [F.col("id")], "one", "rank")
+    ranked = running_start(hit, "source_no", F.floor(F.col("id") / max(256, -(-slots // chunks))), [F.col("id")], "one", "rank")
     used = ranked.where("rank < need").select(F.col("id").alias("position"), "source_no", "rank")
     got = used.groupBy("source_no").agg(F.count(F.lit(1)).alias("got"))
     missed = s.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
@@ -81,11 +86,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A source's documents, shuffled by md5 of the id, form one stream of words cut into blocks of `block`; slot
     rank r of the source takes block r mod blocks in epoch r div blocks, the last slot only the words that are
-    left to the target. A document's `taken` sums its words in the blocks taken, repeats counted. Null or empty
-    texts have size 0 and take 0; a null source is a source of its own; rows that repeat an id count one by one.
+    left to the target. What a document gives, and where, is read off the slots that hold its blocks: `taken`
+    sums its words in them, repeats counted, and each epoch's first slot places that copy. Null or empty
+    texts have size 0, take 0 and have no position; a null source is a source of its own; rows that repeat an id
+    count one by one; an empty table gives no rows; other columns are ignored.
     """
     md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), md5.alias("_h")), "sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), md5.alias("_h"), text_hash(text_col).alias("text_hash")), "sizes")
     targets = source_targets(sized, weights, share, max_epochs)
     words = F.floor(F.col("target") + 0.5)
     t = targets.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("words", F.least(words, F.col("source_size") * max_epochs))
@@ -95,7 +102,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     of_source = t.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     numbered = sized.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = [F.col("_h"), F.col("doc_id"), F.col("size")]
+    order = [F.col("_h"), F.col("doc_id"), F.col("size"), F.col("text_hash")]
     placed = running_start(numbered, "source_no", F.substring("_h", 1, 3), order, "size", "start")
 
     slots = t.agg(F.sum("need")).first()[0] or 0
@@ -103,34 +110,42 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schedule = schedule.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("epoch", F.floor(F.col("rank") / F.col("blocks")))
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     last = (F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0)
-    schedule = schedule.select("position", "source_no", "block", "epoch", F.when(last, F.col("rest") - F.col("block") * block).otherwise(length).alias("words"), length.alias("_length"))
+    schedule = schedule.select("position", "source_no", "rank", "block", "epoch", F.when(last, F.col("rest") - F.col("block") * block).otherwise(length).alias("words"))
 
-    times = schedule.groupBy("source_no", "block").agg(F.sum(F.when(F.col("words") == F.col("_length"), 1).otherwise(0)).alias("full"), F.max(F.when(F.col("words") < F.col("_length"), F.col("words")).otherwise(0)).alias("part"))
-    key = ["source_no", "_bucket", "_nth"]
+    key, kept = ["source_no", "_bucket", "_nth"], ["doc_id", "source", "size", "source_size", "target", "text_hash"]
     empty, some = placed.where("size = 0"), placed.where("size > 0")
     pieces = some.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     lo, hi = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    took = F.coalesce("full", F.lit(0)) * (hi - lo) + F.greatest(F.least(hi, F.coalesce("part", F.lit(0))) - lo, F.lit(0))
-    pieces = pieces.join(times, ["source_no", "block"], "left").withColumn("took", took)
-    each = pieces.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")], F.sum("took").cast("long").alias("taken"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return Mix(each.select(*cols).unionByName(empty.withColumn("taken", F.lit(0).cast("long")).select(*cols)), schedule.drop("_length"))
+    took = F.greatest(F.least(hi, F.coalesce("words", F.lit(0))) - lo, F.lit(0))
+    pieces = pieces.join(schedule.select("source_no", "block", "epoch", "position", "words"), ["source_no", "block"], "left").withColumn("took", took)
+    used, of = F.col("took") > 0, lambda e: (F.col("took") > 0) & (F.col("epoch") == e)
+    sums = [F.sum("took").cast("long").alias("taken"), F.min(F.when(used, F.col("position"))).alias("first_position"), F.count_if(used).alias("slots")]
+    passes = [F.struct(F.lit(e).alias("epoch"), F.min(F.when(of(e), F.col("position"))).alias("position"), F.coalesce(F.sum(F.when(of(e), F.col("took"))), F.lit(0)).cast("long").alias("words")) for e in range(max_epochs)]
+    each = pieces.groupBy(*key).agg(*[F.first(c).alias(c) for c in kept], *sums, F.filter(F.array(*passes), lambda x: x["words"] > 0).alias("copies"))
+    none = empty.withColumns({"taken": F.lit(0).cast("long"), "first_position": F.lit(None).cast("long"), "slots": F.lit(0).cast("long"), "copies": F.array().cast("array<struct<epoch: int, position: bigint, words: bigint>>")})
+    cols = [*kept, "taken", "first_position", "slots", "copies"]
+    return Mix(each.select(*cols).unionByName(none.select(*cols)), schedule)
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` as mixed: whole copies for each full pass over a document, then the first words of a last part pass.
+    """`docs` as mixed, in the schedule's order: each pass over a document is a row, at the position of its first slot.
 
-    A document with nothing taken goes, one without words stays as it is. A part pass joins its words by one
-    space. Rows that share an id share its taken words in proportion to their sizes.
+    The last pass may hold only the first words, which are then joined by one space. A document with nothing
+    taken goes, one without words stays as it is, ahead of all others. Rows that share id and text share their copies out in turn. Rows are range partitioned by
+    position and sorted, so written files keep the order.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    taken = mix.documents.groupBy(key("doc_id").alias("_k")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_all"))
-    rows = docs.withColumn("_k", key(id_col)).withColumn("_size", word_count(F.col(text_col))).join(taken, "_k", "left")
-    own = F.floor(F.coalesce(F.col("_taken"), F.lit(0)) * F.col("_size") / F.greatest(F.col("_all"), F.lit(1)))
-    full, part = F.floor(own / F.col("_size")), own % F.col("_size")
+    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    copies = mix.documents.where("taken > 0").groupBy(id_key("doc_id").alias("_k"), F.col("text_hash").alias("_t")).agg(F.array_sort(F.flatten(F.collect_list(F.transform("copies", lambda x: F.struct(x["position"].alias("position"), x["words"].alias("words")))))).alias("_copies"), F.count(F.lit(1)).alias("_n"))
+    rows = docs.withColumns({"_k": id_key(id_col), "_t": text_hash(text_col), "_size": word_count(F.col(text_col))}).join(copies, ["_k", "_t"], "left")
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_k")) - 1)
+    stays = F.array(F.struct(F.lit(-1).cast("long").alias("position"), F.lit(0).cast("long").alias("words")))
+    own = F.when(F.col("_size") == 0, stays).otherwise(F.filter("_copies", lambda x, i: i % F.col("_n") == F.col("_i")))
+    out = rows.withColumn("_c", F.explode(own))
     split = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    copies = F.when(F.col("_size") == 0, F.array(F.col(text_col))).otherwise(
-        F.concat(F.array_repeat(F.col(text_col), full.cast("int")), F.when(part > 0, F.array(F.array_join(F.slice(split, F.lit(1), part.cast("int")), " "))).otherwise(F.array().cast("array<string>")))
-    )
-    out = rows.withColumn("_text", F.explode(copies))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("_c.words") >= F.col("_size"), F.col(text_col)).when(F.col("_size") == 0, F.col(text_col)).otherwise(F.array_join(F.slice(split, F.lit(1), F.col("_c.words").cast("int")), " "))
+    out = out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("_c.position").alias("_position"))
+    return out.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")

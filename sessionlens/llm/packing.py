@@ -197,13 +197,15 @@ def segments(histogram: np.ndarray, units: int) -> tuple[list[tuple[int, int, in
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, units: int = 128, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`.
+    """Per piece: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row`.
+
+    `row` numbers the input rows, so that copies of a document, which share its id, can be told apart.
 
     Full windows of a document stand alone. What is left of each is a length in `units` steps of the window;
     NNLS finds how often each combination of up to three lengths that fills a window repeats, ranks within a
     length pick the documents, and the residual documents follow each other, cut at window ends, so that only
     the last residual sequence and the rounding to steps are padded. Null or empty texts are the end id alone;
-    rows that repeat an id are packed one by one; an empty table gives no rows. The driver sees the histogram
+    rows that repeat an id are packed one by one; an empty table gives no rows; other columns are ignored. The driver sees the histogram
     (`units` rows), never documents.
     """
     spark, step = docs.sparkSession, window // units
@@ -220,31 +222,31 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, uni
 
     start = F.col("doc_tokens") - F.col("left")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    combined = placed.where("sequence_id IS NOT NULL").select("doc_id", start.alias("start"), F.col("left").alias("length"), F.col("left_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", F.coalesce(F.sum("left").over(before), F.lit(0)).alias("offset"))
+    combined = placed.where("sequence_id IS NOT NULL").select("uid", "doc_id", start.alias("start"), F.col("left").alias("length"), F.col("left_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", F.coalesce(F.sum("left").over(before), F.lit(0)).alias("offset"))
 
     rest = running_start(placed.where("sequence_id IS NULL").select("uid", "doc_id", "doc_tokens", "left", "left_crc", "one"), "one", part, [F.col("uid")], "left", "at")
     rest = rest.withColumn("seq", F.lit(sequences) + F.floor(F.col("at") / window)).withColumn("offset", F.col("at") % window)
-    uncut = rest.where(F.col("offset") + F.col("left") <= window).select("doc_id", start.alias("start"), F.col("left").alias("length"), F.col("left_crc").alias("ids_crc32"), "doc_tokens", F.col("seq").alias("sequence_id"), "offset")
-    cut = rest.where(F.col("offset") + F.col("left") > window).select("uid", "seq", "offset").join(tok.select("uid", "doc_id", "doc_tokens", "left", "rest"), "uid").select("doc_id", "doc_tokens", "left", "rest", "seq", "offset")
+    uncut = rest.where(F.col("offset") + F.col("left") <= window).select("uid", "doc_id", start.alias("start"), F.col("left").alias("length"), F.col("left_crc").alias("ids_crc32"), "doc_tokens", F.col("seq").alias("sequence_id"), "offset")
+    cut = rest.where(F.col("offset") + F.col("left") > window).select("uid", "seq", "offset").join(tok.select("uid", "doc_id", "doc_tokens", "left", "rest"), "uid").select("uid", "doc_id", "doc_tokens", "left", "rest", "seq", "offset")
     width = np.dtype(tokenizer(tokenizer_path).dtype)
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, n, left, ids, seq, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for uid, doc, n, left, ids, seq, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, first = np.frombuffer(ids, width), window - offset
-                out.append((doc, n - left, first, crc(ids[:first]), n, seq, offset))
-                out.append((doc, n - left + first, left - first, crc(ids[first:]), n, seq + 1, 0))
+                out.append((uid, doc, n - left, first, crc(ids[:first]), n, seq, offset))
+                out.append((uid, doc, n - left + first, left - first, crc(ids[first:]), n, seq + 1, 0))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    cut = cut.mapInArrow(halves, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = cut.mapInArrow(halves, "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     residual = histogram.copy()
     for u, lo, hi, *_ in plan:
         residual[u - 1] -= hi - lo
     beyond = sequences + int(residual.sum())  # no residual piece is longer than a window, so these ids are free
     full = tok.where(F.size("crcs") > 0).select("uid", "doc_id", "doc_tokens", "crcs", F.size("crcs").alias("n"), F.lit(1).alias("one"))
-    full = running_start(full, "one", part, [F.col("uid")], "n", "at").select("doc_id", "doc_tokens", "at", F.posexplode("crcs").alias("i", "ids_crc32"))
-    full = full.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(beyond) + F.col("at") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long"), F.col("offset").cast("long")]
+    full = running_start(full, "one", part, [F.col("uid")], "n", "at").select("uid", "doc_id", "doc_tokens", "at", F.posexplode("crcs").alias("i", "ids_crc32"))
+    full = full.select("uid", "doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(beyond) + F.col("at") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long"), F.col("offset").cast("long"), F.col("uid").alias("row")]
     return combined.select(cols).unionByName(uncut.select(cols)).unionByName(cut.select(cols)).unionByName(full.select(cols))

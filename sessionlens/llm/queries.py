@@ -59,7 +59,8 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).documents
+    """Besides the contract's columns: where the schedule first takes the document, and in how many slots."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.drop("copies", "text_hash")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,6 +125,7 @@ def test_packing_round_trip(docs):
     of, seq = {}, {}
     for p in pieces:
         of.setdefault(p["doc_id"], []).append(p)
+        assert p["row"] == of[p["doc_id"]][0]["row"]
         seq.setdefault(p["sequence_id"], []).append(p)
     assert of.keys() == ids.keys()
     for i, ps in of.items():
@@ -139,15 +141,49 @@ def test_packing_round_trip(docs):
             assert p["offset"] == at
             at += p["length"]
         assert at <= 2048
+    tokens = sum(map(len, ids.values()))
+    assert len(seq) * 2048 <= 1.05 * tokens + 2048  # padding of a twentieth at most
 
 
 def test_mixing(docs):
-    rows = mixing.mix_sources(docs).documents.collect()
+    mix = mixing.mix_sources(docs, block=16)
+    rows = mix.documents.collect()
     assert len(rows) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
-    for s in {r["source"] for r in rows}:
-        own = [r for r in rows if r["source"] == s]
+    slots = sorted(mix.schedule.collect(), key=lambda r: r["position"])
+    need = Counter(r["source_no"] for r in slots)
+    seen, total = Counter(), len(slots)
+    for t, r in enumerate(slots, 1):  # every prefix of the schedule holds each source's share, within a few slots
+        seen[r["source_no"]] += 1
+        assert all(abs(seen[s] - t * n / total) <= 4 for s, n in need.items())
+
+    # by hand: a source's words in shuffled order, its slots in theirs
+    names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    of_slot = {(r["source_no"], r["rank"]): r for r in slots}
+    assert len(of_slot) == total
+    sizes = {r["doc_id"]: r["size"] for r in rows}
+    for no, s in enumerate(names):
+        own = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]))
         assert own[0]["source_size"] == sum(r["size"] for r in own)
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+        stream = [r["doc_id"] for r in own for _ in range(r["size"])]
+        blocks = -(-len(stream) // 16)
+        taken, first, copies = Counter(), {}, {}
+        for rank in range(need[no]):
+            slot = of_slot[no, rank]
+            for d in stream[rank % blocks * 16 :][: slot["words"]]:
+                taken[d] += 1
+                first[d] = min(first.get(d, slot["position"]), slot["position"])
+                e = copies.setdefault(d, {}).setdefault(rank // blocks, [slot["position"], 0])
+                e[0], e[1] = min(e[0], slot["position"]), e[1] + 1
+        assert {r["doc_id"]: (r["taken"], r["first_position"]) for r in own} == {r["doc_id"]: (taken[r["doc_id"]], first.get(r["doc_id"])) for r in own}
+        assert all([(c["epoch"], c["position"], c["words"]) for c in r["copies"]] == [(e, *v) for e, v in sorted(copies.get(r["doc_id"], {}).items())] for r in own)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = sorted([(c["position"], r["doc_id"], c["words"]) for r in rows for c in r["copies"]] + [(-1, r["doc_id"], 0) for r in rows if not r["size"]])
+    got = mixing.apply_mix(docs, mix).collect()
+    assert [r["doc_id"] for r in got] == [d for _, d, _ in want]
+    for r, (_, d, n) in zip(got, want, strict=True):
+        assert r["text"] == texts[d] if n == sizes[d] else r["text"].split(" ") == [w for w in re.split(r"[\x20\x09-\x0D]+", texts[d]) if w][:n]
 
 
 def test_nearest_recall(spark):
