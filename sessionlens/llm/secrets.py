@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
 from re import _constants as op
@@ -24,18 +23,19 @@ def either_case(words: tuple[str, ...]) -> str:
 VALUE = "[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"(?:{either_case(KEYWORDS)})[\"']?\x20*[:=]\x20*[\"']?"
 
-#: kind -> (pattern, group whose length counts, least length, core). A match that is too short is used up and dropped.
-#: The core is the shortest text that every passing match holds; the automaton is built of the cores, so it stops
-#: counting once a run is long enough, and the pattern then finds a candidate's exact ends.
-RULES: dict[str, tuple[str, int, int, str]] = {
-    "assign": (f"{ASSIGN}({VALUE}+)", 1, 6, f"{ASSIGN}{VALUE}{{6}}"),
-    "access": ("AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{16}"),
-    "hex": ("[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
-    "github": ("gh[pousr]_[A-Za-z0-9]+", 0, 40, "gh[pousr]_[A-Za-z0-9]{8}"),
-    "slack": ("xox[abprs]-[A-Za-z0-9-]+", 0, 15, "xox[abprs]-[A-Za-z0-9-]{4}"),
-    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27, "-----BEGIN [A-Z]"),
+#: kind -> (pattern, least length, whether that counts only from the first byte on which a match may end).
+#: A match that is too short is used up and dropped. Lengths are checked after the run, so the automaton never counts.
+RULES: dict[str, tuple[str, int, bool]] = {
+    "assign": (f"{ASSIGN}{VALUE}+", 6, True),
+    "access": ("AKIA[A-Z0-9]+", 20, False),
+    "hex": ("[0-9a-f]+", 24, False),
+    "github": ("gh[pousr]_[A-Za-z0-9]+", 40, False),
+    "slack": ("xox[abprs]-[A-Za-z0-9-]+", 15, False),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 27, False),
 }
 BASE = ("assign", "access", "hex")
+#: Segments longer than this are scanned by themselves, byte by byte; shorter ones advance together.
+LONG = 2048
 
 
 class Nfa:
@@ -104,117 +104,179 @@ class Nfa:
         return frozenset(seen)
 
 
+def dfa(nfa: Nfa, start: int, samples: list[int], restart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Moves (states x byte classes) and accepted rules of each state, by subset construction and minimisation; 0 is the start.
+
+    With `restart` a rule may begin at any byte, else only at the first.
+    """
+    first = nfa.closure({start})
+    number, todo, rows = {first: 0}, [first], []
+    while todo:
+        now, row = todo.pop(0), []
+        for b in samples:
+            to = nfa.closure({t for s in now for chars, t in nfa.on[s] if b in chars} | ({start} if restart else set()))
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row.append(number[to])
+        rows.append(row)
+    table = np.array(rows)
+    accepts = np.array([sum({nfa.accept[s] for s in states if s in nfa.accept}) for states in number])
+    block = np.unique(accepts, return_inverse=True)[1]
+    while True:  # states stay together while they accept alike and move to blocks alike
+        after = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)[1].ravel()
+        if after.max() == block.max():
+            break
+        block = after
+    names = np.unique(block[np.argsort(block != block[0], kind="stable")], return_index=True)
+    order = np.concatenate(([block[0]], [k for k in names[0] if k != block[0]])).astype(int)
+    place = np.argsort(order)
+    one = np.array([np.flatnonzero(block == k)[0] for k in order])
+    return place[block[table[one]]], accepts[one]
+
+
 class Automaton:
-    """`table[state * width + class_of[byte]]` is the next state, `accepts[state]` the rules that match up to here.
+    """All rules as one deterministic automaton over byte classes, in transition arrays.
 
-    Built from all rules at once by subset construction and minimised by partition refinement. A byte that
-    leads every state back to the start is a sync byte: no match contains it, so text splits there.
+    `moves[state * width + class_of[byte]]` is the next state of the scan, in which a rule may begin at any byte,
+    and `accepts[state]` the rules that match up to here. `rows` is the same automaton begun at one place only,
+    `ends` its accepted rules and `live` those it may still come to. A byte that leads every state of the scan back to the start is a
+    sync byte: no match contains it, so text splits there.
     """
 
-    def __init__(self, rules: dict[str, tuple[str, int, int, str]]):
-        nfa, start = Nfa(), 0
+    def __init__(self, rules: dict[str, tuple[str, int, bool]]):
+        if len(rules) > 31:
+            raise ValueError("31 rules at most go into one automaton")
+        nfa = Nfa()
         start = nfa.state()
         for i, rule in enumerate(rules.values()):
-            nfa.accept[nfa.add(list(sre.parse(rule[3])), start)] = 1 << i
+            nfa.accept[nfa.add(list(sre.parse(rule[0])), start)] = 1 << i
         sets = {chars for moves in nfa.on for chars, _ in moves}
         signature = [tuple(b in s for s in sets) for b in range(256)]
         kinds = {s: i for i, s in enumerate(dict.fromkeys(signature))}
         self.class_of = np.array([kinds[s] for s in signature], np.uint8)
-        sample = [signature.index(s) for s in kinds]
-        self.width = len(kinds)
-
-        first = nfa.closure({start})
-        number, todo, rows = {first: 0}, [first], []
-        while todo:
-            now = todo.pop(0)
-            row = []
-            for b in sample:
-                to = nfa.closure({t for s in now for chars, t in nfa.on[s] if b in chars} | {start})
-                if to not in number:
-                    number[to] = len(number)
-                    todo.append(to)
-                row.append(number[to])
-            rows.append(row)
-        table = np.array(rows)
-        accepts = np.array([sum({nfa.accept[s] for s in states if s in nfa.accept}) for states in number])
-        block = np.unique(accepts, return_inverse=True)[1]
-        while True:  # states stay together while they accept alike and move to blocks alike
-            after = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)[1].ravel()
-            if after.max() == block.max():
+        self.classes, self.width = self.class_of.tobytes(), len(kinds)
+        samples = [signature.index(s) for s in kinds]
+
+        scan, accepts = dfa(nfa, start, samples, restart=True)
+        self.states, self.moves, self.accepts = len(scan), scan.astype(np.int32).ravel(), accepts.astype(np.int32)
+        self.sync = ((scan == 0).all(axis=0) & (accepts[0] == 0))[self.class_of]
+        self.scan_rows, self.scan_accepts = scan.tolist(), accepts.tolist()
+
+        anchored, ends = dfa(nfa, start, samples, restart=False)
+        live = ends.copy()
+        while True:
+            after = live | np.bitwise_or.reduce(live[anchored], axis=1)
+            if (after == live).all():
                 break
-            block = after
-        one = np.array([np.flatnonzero(block == k)[0] for k in range(block.max() + 1)])
-        self.states, self.start = len(one), int(block[0])
-        self.table = block[table[one]].astype(np.int32).ravel()
-        self.accepts = accepts[one].astype(np.uint8)
-        to_start = (self.table.reshape(-1, self.width) == self.start).all(axis=0) & (self.accepts[self.start] == 0)
-        self.sync = to_start[self.class_of]
-
-    def candidates(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments (start, end, rules accepted within) of `data` that hold a match. `bounds`: where texts start, and the end.
-
-        Texts are cut at sync bytes, and all segments advance together, one byte at a time, longest first.
+            live = after
+        self.rows, self.ends, self.live = anchored.tolist(), ends.tolist(), live.tolist()
+        opens = live[anchored[0]]  # rules that a byte class may begin
+        self.begins = [re.compile(b"[" + re.escape(bytes(c for c in range(self.width) if opens[c] >> i & 1)) + b"]") for i in range(len(rules))]
+        self.limits = [(least, tail) for _, least, tail in rules.values()]
+
+    def hits(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments (start, end, rules accepted within) of `data` that hold a match, in one pass. `bounds`: where texts start, and the end.
+
+        Texts are cut at sync bytes. All segments advance together, one byte at a time, longest first; long ones
+        are stepped through alone.
         """
         after = np.flatnonzero(self.sync[data]) + 1
         after = after[(after < len(data)) & (data[np.minimum(after, len(data) - 1)] & 0xC0 != 0x80)]  # never within a character
         cuts = np.unique(np.concatenate([bounds, after]))
         start, size = cuts[:-1].astype(np.int64), np.diff(cuts)
-        keep = size >= 8
-        start, size = start[keep], size[keep]
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        kind, state, found = self.class_of[data], np.full(len(start), self.start, np.int32), np.zeros(len(start), np.uint8)
-        falling = -size
-        for t in range(int(size[0]) if len(size) else 0):
+        found = np.zeros(len(start), np.int32)
+        lone = int(np.searchsorted(-size, -LONG))  # segments longer than LONG
+        for i in range(lone):
+            state, seen = 0, 0
+            rows, accepts = self.scan_rows, self.scan_accepts
+            for c in data[start[i] : start[i] + size[i]].tobytes().translate(self.classes):
+                state = rows[state][c]
+                seen |= accepts[state]
+            found[i] = seen
+        kind, state, at = self.class_of[data], np.zeros(len(start) - lone, np.int32), start[lone:]
+        falling, own = -size[lone:], found[lone:]
+        for t in range(int(size[lone]) if len(at) else 0):
             k = int(np.searchsorted(falling, -t))  # segments longer than t
-            now = self.table[state[:k] * self.width + kind[start[:k] + t]]
+            now = self.moves[state[:k] * self.width + kind[at[:k] + t]]
             state[:k] = now
-            found[:k] |= self.accepts[now]
+            own[:k] |= self.accepts[now]
         hit = np.flatnonzero(found)
         hit = hit[np.argsort(start[hit])]
         return start[hit], start[hit] + size[hit], found[hit]
 
+    def spans(self, segment: bytes, rule: int) -> list[tuple[int, int]]:
+        """The rule's leftmost longest matches in a segment that do not overlap, too short ones used up and dropped.
+
+        From each byte that may begin one, the automaton runs until it can no longer come to the rule.
+        """
+        text, out, bit, at = segment.translate(self.classes), [], 1 << rule, 0
+        least, tail = self.limits[rule]
+        rows, ends, live, begins = self.rows, self.ends, self.live, self.begins[rule]
+        while m := begins.search(text, at):
+            i = at = m.start()
+            state, first, last = 0, -1, -1
+            for i in range(at, len(text)):
+                state = rows[state][text[i]]
+                if not live[state] & bit:
+                    break
+                if ends[state] & bit:
+                    last = i + 1
+                    if first < 0:
+                        first = i
+            if last < 0:
+                at += 1
+                continue
+            if last - (first if tail else at) >= least:
+                out.append((at, last))
+            at = last
+        return out
+
 
 @functools.lru_cache(maxsize=4)
-def build(rules: tuple[tuple[str, tuple[str, int, int, str]], ...]) -> Automaton:
+def build(rules: tuple[tuple[str, tuple[str, int, bool]], ...]) -> Automaton:
     return Automaton(dict(rules))
 
 
-def spans_in(data: bytes, segments: list[tuple[int, int, int]], rules: dict[str, tuple[str, int, int, str]], compiled: dict[str, re.Pattern]) -> list[tuple[int, str, int]]:
-    """`(start, kind, end)` in code points: each rule's leftmost matches in the segments where the automaton accepted it."""
+def spans_in(data: bytes, segments: list[tuple[int, int, int]], kinds: list[str], auto: Automaton) -> list[tuple[int, str, int]]:
+    """`(start, kind, end)` in code points of every match in the segments, of the rules that the scan accepted there."""
     out, chars, upto = [], 0, 0
     for lo, hi, mask in segments:
         chars, upto = chars + len(data[upto:lo].decode("utf-8")), lo
-        text = data[lo:hi].decode("utf-8")
-        for i, (kind, (_, group, least, _)) in enumerate(rules.items()):
+        segment = data[lo:hi]
+        for i, kind in enumerate(kinds):
             if mask >> i & 1:
-                out += [(chars + m.start(), kind, chars + m.end()) for m in compiled[kind].finditer(text) if len(m[group]) >= least]
+                for s, e in auto.spans(segment, i):
+                    at = chars + (s if segment.isascii() else len(segment[:s].decode("utf-8")))
+                    out.append((at, kind, at + e - s))  # rules are over ASCII: a byte is a code point
     return out
 
 
-def scan_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, int, str]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, bool]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: `doc_id, spans array<struct<start,kind,end>>`, by start, then in the order of `rules`.
 
-    Spans are in code points, end exclusive, over whole texts; per kind they are the leftmost matches that do
-    not overlap, those too short dropped after they are matched. Null and empty texts have no spans; ids
-    repeat as rows do; an empty table gives no rows. Memory follows an Arrow batch, never a group.
+    Spans are in code points, end exclusive, over whole texts; per kind they are the leftmost longest matches that do
+    not overlap, those too short dropped after they are matched. One pass of the combined automaton finds the
+    stretches that hold a match, and runs of it from there the exact ends. Null and empty texts have no spans; null
+    ids pass through and ids repeat as rows do; an empty table gives no rows; other columns are ignored. Memory follows an Arrow batch, never a group.
     """
     frozen, kinds = tuple(rules.items()), list(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = build(frozen)
-        compiled = {k: re.compile(p, re.ASCII) for k, (p, _, _, _) in rules.items()}
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 raw = [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
                 bounds = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-                start, end, found = auto.candidates(np.frombuffer(b"".join(raw), np.uint8), bounds)
+                start, end, found = auto.hits(np.frombuffer(b"".join(raw), np.uint8), bounds)
                 of = np.searchsorted(bounds, start, side="right") - 1
                 segments: dict[int, list[tuple[int, int, int]]] = {}
                 for d, lo, hi, mask in zip(of.tolist(), start.tolist(), end.tolist(), found.tolist(), strict=True):
                     segments.setdefault(d, []).append((lo - int(bounds[d]), hi - int(bounds[d]), mask))
-                spans = [sorted(spans_in(raw[d], segments[d], rules, compiled), key=lambda s: (s[0], kinds.index(s[1]))) if d in segments else [] for d in range(len(raw))]
+                spans = [sorted(spans_in(raw[d], segments[d], kinds, auto), key=lambda s: (s[0], kinds.index(s[1]))) if d in segments else [] for d in range(len(raw))]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans], kind)], ["doc_id", "spans"])
 
@@ -228,14 +290,3 @@ def secret_digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(say(base), 256).alias("base_sha256"), say(F.col("spans")).alias("spans"))
-
-
-def brute_spans(text: str, rules: dict[str, tuple[str, int, int, str]] = RULES) -> str:
-    """What `secret_digest` calls spans, by Python's regex engine over the text; for tests."""
-    kinds = list(rules)
-    out = [(m.start(), kinds.index(k), m.end()) for k, (p, g, n, _) in rules.items() for m in re.compile(p, re.ASCII).finditer(text) if len(m[g]) >= n]
-    return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(out))
-
-
-def digest_of(spans: str) -> str:
-    return hashlib.sha256(",".join(s for s in spans.split(",") if s.split(":")[0] in BASE).encode()).hexdigest()

@@ -107,15 +107,6 @@ def test_drop_near_copies_by_similarity(spark):
     assert kept.count(None) == 1 and kept.count(402) == 1
 
 
-def test_secrets(docs, spark):
-    odd = [(1, 'é password = "abc123" AKIA' + "A" * 16), (2, "token:abc"), (3, "0" * 24 + "é" + "a" * 23), (4, None), (5, "API_KEY='q/w+e.r'")]
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string").withColumn("doc_id", F.col("doc_id") + 9000))
-    got = collected(secrets.secret_digest(secrets.scan_secrets(df)))
-    for r in df.collect():
-        want = secrets.brute_spans(r["text"] or "")
-        assert got[r["doc_id"]]["spans"] == want and got[r["doc_id"]]["base_sha256"] == secrets.digest_of(want)
-
-
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
@@ -186,20 +177,6 @@ def test_mixing(docs):
         assert r["text"] == texts[d] if n == sizes[d] else r["text"].split(" ") == [w for w in re.split(r"[\x20\x09-\x0D]+", texts[d]) if w][:n]
 
 
-def test_nearest_recall(spark):
-    v = spark.read.parquet(f"{SF}/embeddings.parquet")
-    odd = spark.createDataFrame([(90000, None, None), (90100, [], None), (90200, [0.0] * len(v.first()["embedding"]), None)], v.schema)
-    x = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
-    both = v.unionByName(odd)
-    got = ann.nearest(both, both.where("vec_id % 100 = 0")).collect()
-    hits = total = 0
-    for q in {r["query_id"] for r in got}:
-        want = sorted((float(np.sqrt(((x[q] - y) ** 2).sum())), i) for i, y in x.items() if i != q)[:10]
-        hits += len({i for _, i in want} & {r["vec_id"] for r in got if r["query_id"] == q})
-        total += 10
-    assert total and hits / total >= 0.9
-
-
 def test_empty_tables(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_dedup(e).count() == simhash.simhash_components(e).count() == secrets.scan_secrets(e).count() == 0
