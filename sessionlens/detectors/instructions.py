@@ -27,7 +27,7 @@ class Instructions:
         file = blank_if_null(first["file_path"])
         target = base_name(F.when(file == "", F.col("path")).otherwise(file))
         many = F.when(F.size("acts") > 1, F.concat(F.lit(" ("), F.size("acts").cast("string"), F.lit(" actions)"))).otherwise("")
-        late = F.when(F.col("pre_compaction"), " (directive issued before context compaction — reduced confidence)").otherwise("")
+        late = F.when(F.col("pre_compaction"), " (said before the context was compacted, so less certain)").otherwise("")
         sure = F.when((F.col("directives_kind") == "exclusive") | (first["tool"] == "Bash"), CONFIDENCE["medium"]).otherwise(CONFIDENCE["high"])
         actions = F.transform(F.slice("acts", 1, 5), lambda a: evidence("agent action", a["ts"], a["content"]))
         out = self.hits(frames.events).select(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..detectors.api import HallucinatedApi
 from ..detectors.base import Frames
 from ..detectors.instructions import Instructions
 from ..detectors.rework import Rework
@@ -137,12 +138,13 @@ def a6_session_diagnostics(spark, sf_dir):
     return s.join(ignored, "session_id").select("session_id", "malformed_lines", "odd_lines", "versions", "usage.input", "usage.output")
 
 
-@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_quantity FROM o WHERE n = 1""")
+@query("""SELECT l_orderkey::varchar AS session_id, l_linenumber AS line_no FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber) = 1""")
 def w5_usage_once(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    return li.withColumn("n", F.row_number().over(order)).where("n = 1").select("l_orderkey", "l_linenumber", "l_quantity")
+    """Order lines as a session's lines with usage; three message ids an order, one of them empty, whose lines go by a uuid they share."""
+    id_ = (F.col("l_partkey") % 3).cast("string")
+    line = F.struct(F.lit("assistant").alias("type"), F.when(id_ == "0", "").otherwise(id_).alias("message_id"), F.lit("u").alias("uuid"), F.struct(F.lit(1).alias("input")).alias("usage"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("l_linenumber").alias("line_no"), F.lit("event").alias("fate"), line.alias("line"))
+    return normalize.usage_once(li).drop("counts")
 
 
 def neighbours(docs: DataFrame, block: int = 512) -> DataFrame:
@@ -166,9 +168,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "documents"))
 
 
-@query("""WITH p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents)
-SELECT doc_id, round(CASE WHEN text = before THEN 1 ELSE 1 - levenshtein(text, before) / greatest(strlen(text), strlen(before)) END, 9) AS similarity FROM p WHERE before IS NOT NULL AND length(text) < 2000 AND length(before) < 2000""")
+@query()
 def x13_similarity(spark, sf_dir):
+    """Whole table; no SQL, as DuckDB takes minutes for the edit distances. `tests/test_neighbours.py` has the slow twin."""
     return pairs(spark, sf_dir).select("doc_id", F.round(text.similarity(F.col("text"), F.col("before")), 9).alias("similarity"))
 
 
@@ -222,6 +224,38 @@ def d2_test_integrity(spark, sf_dir):
     return TestIntegrity().scan(Frames(events, None)).select("session_id", "severity", "confidence", "title", "detail")
 
 
+@query("""SELECT session_id, CASE WHEN pressed THEN 2 ELSE 1 END AS severity, 2 AS confidence, 'a_test.py: 1 assertion(s) removed' AS title,
+ CASE WHEN pressed THEN 'near "make the tests pass" context: please make the tests pass' ELSE '' END AS detail
+FROM (SELECT source || ':' || (doc_id // 512)::varchar AS session_id, bool_or(doc_id % 9 = 0) OVER (PARTITION BY source, doc_id // 512 ORDER BY doc_id RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS pressed FROM documents)""")
+def d2_test_integrity(spark, sf_dir):
+    """An edit of a test file from each document, which takes one assertion away; its whole text is on both sides."""
+    events = weakening_edits(table(spark, sf_dir, "documents"))
+    return TestIntegrity().scan(Frames(events, None)).select("session_id", "severity", "confidence", "title", "detail")
+
+
+def calling_edits(pages: DataFrame) -> Frames:
+    """Each page's edit calls the function of the page after it; every third page's file declares its own, every fifth imports the one it calls."""
+    from .bindings import as_events
+
+    id_ = F.col("page_id")
+    name = lambda n: F.concat(F.lit("call_"), n.cast("string"))
+    path = F.concat(F.lit("/repo/p"), id_.cast("string"), F.lit(".py"))
+    called = name(id_ + 1)
+    html = F.concat(F.lit("# "), F.replace(F.coalesce("html", F.lit("")), F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
+    body = F.concat(html, F.when(id_ % 3 == 0, F.concat(F.lit("def "), name(id_), F.lit("(x):\n    return x\n"))).otherwise(""), F.when(id_ % 5 == 0, F.concat(F.lit("from other import "), called, F.lit("\n"))).otherwise(""))
+    session = F.floor(id_ / 256).cast("string")
+    events = as_events(pages, session_id=session, seq=id_, kind=F.lit("tool_call"), tool=F.lit("Edit"), ts=F.to_timestamp(F.lit(BASE)), uuid=id_.cast("string"), text=F.lit(""), file_path=path, old_string=F.lit("x"), new_string=F.concat(html, called, F.lit("(1)\nprint(len(str(2)))\n")))
+    sessions = pages.select(session.alias("session_id"), F.lit("/repo").alias("cwd")).distinct()
+    return Frames(events, sessions, pages.select(F.lit("/repo").alias("cwd"), path.alias("path"), body.alias("text")))
+
+
+@query("""SELECT (page_id // 256)::varchar AS session_id, 1 AS severity, 0 AS confidence, 'call_' || (page_id + 1)::varchar || '(...) is not defined anywhere in the repo' AS title
+FROM pages WHERE page_id % 5 <> 0 AND NOT ((page_id + 1) % 3 = 0 AND page_id + 1 IN (SELECT page_id FROM pages))""")
+def d4_undefined_calls(spark, sf_dir):
+    """Calls that no file declares and the edited file does not import; each page's html stands as comments in file and edit."""
+    return HallucinatedApi().scan(calling_edits(table(spark, sf_dir, "pages"))).select("session_id", "severity", "confidence", "title")
+
+
 @query(f"""WITH {LOOPS_SQL}, named AS (SELECT DISTINCT e.session_id, e.uuid FROM edits e JOIN loops l USING (session_id, file_path)),
 per AS (SELECT e.session_id, count(DISTINCT e.uuid) AS n, count(DISTINCT n.uuid) AS named FROM edits e LEFT JOIN named n ON n.session_id = e.session_id AND n.uuid = e.uuid GROUP BY ALL)
 SELECT session_id, n - named AS clean_events FROM per""")
@@ -238,16 +272,21 @@ def a11_trend(spark, sf_dir):
     ev = edit_log(spark, sf_dir)
     new = ev.groupBy("session_id").agg(F.max("ts").alias("m")).orderBy(F.desc("m"), "session_id").limit(20).select("session_id")
     ev = ev.join(F.broadcast(new), "session_id", "left_semi")
+    return report.trend(edit_sessions(ev), Rework().scan(Frames(ev, None))).select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", "tokens", F.col("rework-loop").alias("rework"))
+
+
+def edit_sessions(ev: DataFrame) -> DataFrame:
     sums = [F.sum(f"usage.{c}").alias(c) for c in ("input", "output", "cache_creation", "cache_read")]
     s = ev.groupBy("session_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("events"), *sums)
-    s = s.select("session_id", F.lit("jsonl").alias("agent"), F.lit("").alias("path"), "start", "end", "events", F.struct("input", "output", "cache_creation", "cache_read").alias("usage"))
-    return report.trend(s, Rework().scan(Frames(ev, None))).select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", "tokens", F.col("rework-loop").alias("rework"))
+    return s.select("session_id", F.lit("jsonl").alias("agent"), F.lit("").alias("path"), "start", "end", "events", F.struct("input", "output", "cache_creation", "cache_read").alias("usage"))
 
 
 @query(f"WITH {LOOPS_SQL} SELECT count(*) AS rework, sum(CASE WHEN undo_seq IS NULL THEN 0 ELSE 1 END)::bigint AS warned FROM loops")
 def a12_trend_totals(spark, sf_dir):
-    found = Rework().scan(Frames(edit_log(spark, sf_dir), None))
-    return found.agg(F.count(F.lit(1)).alias("rework"), F.sum((F.col("severity") >= 1).cast("long")).alias("warned"))
+    ev = edit_log(spark, sf_dir)
+    found = Rework().scan(Frames(ev, None))
+    totals = report.trend_totals(report.trend(edit_sessions(ev), found)).select(F.col("rework-loop").alias("rework"))
+    return totals.crossJoin(found.agg(F.sum((F.col("severity") >= 1).cast("long")).alias("warned")))  # one row each
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.page'), '') AS page, regexp_replace(event_type || '/' || event_id::varchar, '[^A-Za-z0-9]', '-', 'g') AS key FROM events")
@@ -271,10 +310,11 @@ def x12_truncated(spark, sf_dir):
     return d.select("doc_id", text.truncate(F.col("text"), 100).alias("cut"), text.one_line(F.col("text")).alias("line"), text.listing_prompt(F.col("text")).alias("listed"))
 
 
-@query("SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)\\b(rm|mv|tee)\\b') AS mutates, regexp_matches(coalesce(html, ''), '{}') AS pressed FROM pages".format(P.PASS_PRESSURE))
+@query("SELECT page_id, contains(coalesce(html, ''), 'div') AND regexp_matches(coalesce(html, ''), '{}') AS mutates, regexp_matches(coalesce(html, ''), '{}') AS pressed FROM pages".format(P.MUTATING, P.PASS_PRESSURE))
 def f6_text_predicates(spark, sf_dir):
+    """Each page's html as a shell command on a file named div, and as talk of passing tests."""
     p = table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
-    return p.select("page_id", rx.matches(F.col("html"), r"(?i)\b(rm|mv|tee)\b").alias("mutates"), predicates.pass_pressure(F.col("html")).alias("pressed"))
+    return p.select("page_id", predicates.shell_mutates(F.col("html"), F.lit("div")).alias("mutates"), predicates.pass_pressure(F.col("html")).alias("pressed"))
 
 
 def page_files(pages: DataFrame) -> DataFrame:

@@ -42,10 +42,10 @@ def warnings(experimental: Column) -> Column:
     said = [
         F.when(experimental, F.lit(EXPERIMENTAL)),
         F.when(F.size(drift) > 0, F.concat(F.lit("agent versions "), F.array_join(drift, ", "), F.lit(f" are not among the tested ones ({', '.join(P.TESTED_VERSIONS)}); some events may be missed"))),
-        F.when(F.col("sidechain_events") > 0, F.concat(s(F.col("sidechain_events")), F.lit(" subagent events detected, not analyzed"))),
-        F.when(F.col("compacted"), F.lit("session was compacted — directives issued before compaction are analyzed with reduced confidence")),
-        F.when(odd > 0, F.concat(s(odd), F.lit(" unrecognized events skipped ("), listed, F.lit(")"))),
-        F.when(F.col("malformed_lines") > 0, F.concat(s(F.col("malformed_lines")), F.lit(" malformed lines skipped"))),
+        F.when(F.col("sidechain_events") > 0, F.concat(s(F.col("sidechain_events")), F.lit(" events of subagents are left out"))),
+        F.when(F.col("compacted"), F.lit("the context was compacted: what was said before counts with less confidence")),
+        F.when(odd > 0, F.concat(s(odd), F.lit(" events of unknown types left out ("), listed, F.lit(")"))),
+        F.when(F.col("malformed_lines") > 0, F.concat(s(F.col("malformed_lines")), F.lit(" lines could not be read"))),
     ]
     return F.array_compact(F.array(*said))
 

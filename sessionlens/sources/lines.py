@@ -1,18 +1,20 @@
 """Session logs as lines of JSON: discovery, scan, and strict but tolerant decoding.
 
 A line that is not JSON, or has a field of the wrong type, is malformed: counted, never fatal. Only the fields
-that are used are looked at. Checking is a small Arrow function over batches of lines; everything after it is
-column expressions.
+that are used are looked at. Checking is a small Arrow function over batches of lines, which gives the fields as
+a struct, so a line is parsed once; everything after it is column expressions.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import project_key
 
@@ -25,6 +27,7 @@ usage: struct<input: bigint, output: bigint, cache_creation: bigint, cache_read:
 _LINE = {**dict.fromkeys(("type", "subtype", "uuid", "timestamp", "sessionId", "cwd", "gitBranch", "version"), str), **dict.fromkeys(("isSidechain", "isMeta", "isCompactSummary"), bool)}
 _USAGE = {"input_tokens": "input", "output_tokens": "output", "cache_creation_input_tokens": "cache_creation", "cache_read_input_tokens": "cache_read"}
 _BLOCK = dict.fromkeys(("type", "text", "id", "name", "tool_use_id"), str)
+_USED = {*_LINE, *_USAGE, *_BLOCK, "compactMetadata", "message", "role", "usage", "content", "input"}
 
 
 class Mismatch(ValueError):
@@ -35,14 +38,16 @@ def _no(name: str) -> None:
     raise Mismatch(name)
 
 
-def field(obj: dict, name: str, kind: type | None):
+def other_case(obj: dict) -> dict:
+    """What an object has under names that are not spelled as the used ones are, by lower-cased name; the first counts."""
+    odd = obj.keys() - _USED
+    return {k.lower(): obj[k] for k in reversed(obj) if k in odd} if odd else {}
+
+
+def field(obj: dict, other: dict, name: str, kind: type | None):
     """A field by name, or by name in other letter case; null counts as left out. Raises on another type."""
-    if name in obj:
-        value = obj[name]
-    else:
-        low = name.lower()
-        value = next((obj[k] for k in obj if k.lower() == low), None)
-    if value is not None and kind is not None and (type(value) is not kind):
+    value = obj[name] if name in obj else other.get(name.lower())
+    if value is not None and kind is not None and type(value) is not kind:
         raise Mismatch(name)
     return value
 
@@ -55,27 +60,31 @@ def decode_line(line: str) -> dict | None:
             obj = {}
         if not isinstance(obj, dict):
             return None
-        out = {k: field(obj, k, t) for k, t in _LINE.items()}
-        out["compacts"] = any(k.lower() == "compactmetadata" for k in obj)
-        message = field(obj, "message", dict)
+        other = other_case(obj)
+        out = {k: field(obj, other, k, t) for k, t in _LINE.items()}
+        out["compacts"] = "compactMetadata" in obj or "compactmetadata" in other
+        message = field(obj, other, "message", dict)
         out["has_message"] = message is not None
         if message is not None:
-            out["message_id"] = field(message, "id", str)
-            field(message, "role", str)
-            usage = field(message, "usage", dict)
+            other = other_case(message)
+            out["message_id"] = field(message, other, "id", str)
+            field(message, other, "role", str)
+            usage = field(message, other, "usage", dict)
             if usage is not None:
-                out["usage"] = {to: field(usage, name, int) or 0 for name, to in _USAGE.items()}
-            out |= decode_content(message)
+                out["usage"] = {to: field(usage, other_case(usage), name, int) or 0 for name, to in _USAGE.items()}
+                if not all(-(1 << 63) <= n < 1 << 63 for n in out["usage"].values()):
+                    return None
+            out |= decode_content(message, other)
         return out
     except (ValueError, RecursionError):
         return None
 
 
-def decode_content(message: dict) -> dict:
+def decode_content(message: dict, other: dict) -> dict:
     """What the content is (text, blocks, null, missing or other), and its text or blocks."""
-    if not any(k.lower() == "content" for k in message):
+    if "content" not in message and "content" not in other:
         return {"content": "missing"}
-    content = field(message, "content", None)
+    content = field(message, other, "content", None)
     if content is None:
         return {"content": "null"}
     if isinstance(content, str):
@@ -86,23 +95,41 @@ def decode_content(message: dict) -> dict:
         blocks = []
         for b in content:
             b = b or {}
-            raw = field(b, "input", None)
-            blocks.append({k: field(b, k, t) for k, t in _BLOCK.items()} | {"input": None if raw is None else json.dumps(raw, ensure_ascii=False)})
+            other = other_case(b)
+            raw = field(b, other, "input", None)
+            blocks.append({k: field(b, other, k, t) for k, t in _BLOCK.items()} | {"input": None if raw is None else json.dumps(raw, ensure_ascii=False)})
         return {"content": "blocks", "blocks": blocks}
     except Mismatch:
         return {"content": "other"}
 
 
-@F.pandas_udf(T.StringType())
-def canonical(lines: pd.Series) -> pd.Series:
-    """Each line's used fields as plain JSON; null for malformed lines."""
-    return lines.map(lambda x: None if (d := decode_line(x)) is None else json.dumps(d, ensure_ascii=False))
+def well_formed(x):
+    """Strings without lone surrogates, each of which becomes U+FFFD."""
+    if isinstance(x, str):
+        return x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(x, dict):
+        return {k: well_formed(v) for k, v in x.items()}
+    return [well_formed(v) for v in x] if isinstance(x, list) else x
 
 
 def decode(lines: DataFrame) -> DataFrame:
-    """`lines(session_path, line_no, value)` with `line`, the decoded struct; null where malformed. Blank lines go."""
-    # white space as the scan trims it; from_json reads what the check has written, so every type fits
-    return lines.withColumn("value", F.regexp_replace("value", r"^[\s\u0085 ]+|[\s\u0085 ]+$", "")).where("value <> ''").withColumn("line", F.from_json(canonical("value"), DECODED)).drop("value")
+    """`lines(session_path, line_no, value)` with `line`, the decoded struct, for `value`; null where malformed. Blank lines go."""
+    # white space as the scan trims it
+    rows = lines.withColumn("value", F.regexp_replace("value", r"^[\s\u0085 ]+|[\s\u0085 ]+$", "")).where("value <> ''")
+    kept = rows.drop("value")
+    kind = T.DataType.fromDDL(DECODED)
+    schema, arrow = T.StructType([*kept.schema.fields, T.StructField("line", kind)]), to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [decode_line(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            try:
+                line = pa.array(found, arrow)
+            except UnicodeEncodeError:
+                line = pa.array(well_formed(found), arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], line], [*b.schema.names[:-1], "line"])
+
+    return rows.select(*kept.columns, "value").mapInArrow(run, schema)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
