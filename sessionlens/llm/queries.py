@@ -22,14 +22,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: a hundred neighbouring ids of a source and language make a directory, whose first id is its licence file."""
-    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    folder = F.concat_ws("/", F.lit("corpus"), (F.floor(F.col("doc_id") / 10000)).cast("string"), (F.floor(F.col("doc_id") / 100)).cast("string"))
-    return docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    """Documents as files of a tree: a thousand ids a directory, a hundred and ten of them in those below.
+
+    Every second text that speaks of a license is a licence file: of its hundred, or each fourth one of its thousand.
+    """
+    id_ = F.col("doc_id")
+    say = lambda n: F.floor(n).cast("string")
+    thousand = F.concat(F.lit("corpus/"), say(id_ / 1000))
+    hundred = F.concat(thousand, F.lit("/"), say(id_ / 100))
+    holds = F.coalesce(F.col("text").contains("icense"), F.lit(False)) & (id_ % 2 == 0)
+    file = F.concat(F.when(id_ % 4 == 0, thousand).otherwise(hundred), F.lit("/LICENSE-"), say(id_))
+    return docs.select("doc_id", F.when(holds, file).otherwise(F.concat(hundred, F.lit("/"), say(id_ / 10), F.lit("/"), say(id_), F.lit(".txt"))).alias("path"), "text")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A licence file at every hundredth document speaks for its directory; `document_files` gives the paths."""
+    """Licence files speak for the directories below theirs; `document_files` gives the paths."""
     return licenses.scan_licenses(document_files(table(spark, sf_dir, "documents")))
 
 
@@ -74,23 +81,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def license_sql() -> str:
     rows, idf, unseen = licenses.template_vectors(licenses.TEMPLATES)
-    vectors = ", ".join(f"('{k}', '{t}', {w!r}::double)" for k, t, w in rows)
+    vectors = ", ".join(f"('{k}', {i}, '{t}', {w!r}::double)" for k, i, t, w in rows)
     known = ", ".join(f"('{t}', {w!r}::double)" for t, w in idf.items())
     return f"""
-WITH vectors(license, term, weight) AS (VALUES {vectors}), known(term, idf) AS (VALUES {known}),
-files AS (SELECT 'corpus/' || (doc_id // 10000)::varchar || '/' || (doc_id // 100)::varchar AS dir, doc_id, text,
-  dir || '/' || CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id::varchar || '.txt' END AS path FROM documents),
-lines AS (SELECT path, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
-terms AS (SELECT path, line, unnest(regexp_extract_all(lower(value), '{licenses.TERM}')) AS term FROM lines WHERE regexp_matches(value, '{licenses.GATE}')),
-weighed AS (SELECT path, line, term, count(*) * coalesce(any_value(idf), {unseen!r}) AS w FROM terms LEFT JOIN known USING (term) GROUP BY path, line, term),
-norms AS (SELECT path, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY path, line),
-cosine AS (SELECT path, license, round(sum(w * weight) / any_value(norm), 6) AS score FROM weighed JOIN vectors USING (term) JOIN norms USING (path, line) GROUP BY path, line, license),
+WITH vectors(license, nth, term, weight) AS (VALUES {vectors}), known(term, idf) AS (VALUES {known}),
+files AS (SELECT doc_id, text, 'corpus/' || (doc_id // 1000)::varchar AS up, up || '/' || (doc_id // 100)::varchar AS here,
+  CASE WHEN coalesce(contains(text, 'icense'), false) AND doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN up ELSE here END || '/LICENSE-' || doc_id::varchar
+  ELSE here || '/' || (doc_id // 10)::varchar || '/' || doc_id::varchar || '.txt' END AS path, regexp_replace(path, '/[^/]*$', '') AS dir FROM documents),
+parts AS (SELECT DISTINCT path, unnest(string_split(text, chr(10)) || string_split_regex(text, '{licenses.BLOCK_END}') || [text]) AS value FROM files),
+terms AS (SELECT path, value, unnest(regexp_extract_all(lower(value), '{licenses.TERM}')) AS term FROM parts),
+weighed AS (SELECT path, value, term, (1 + ln(count(*))) * coalesce(any_value(idf), {unseen!r}) AS w FROM terms LEFT JOIN known USING (term) GROUP BY path, value, term),
+norms AS (SELECT path, value, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY path, value),
+cosine AS (SELECT path, license, round(sum(w * weight) / any_value(norm), 6) AS score FROM weighed JOIN vectors USING (term) JOIN norms USING (path, value) GROUP BY path, value, license, nth),
 own AS (SELECT path, license, score FROM cosine WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
-holders AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, score FROM own WHERE path LIKE '%/LICENSE')
-SELECT path, coalesce(own.license, h.license) AS license, coalesce(own.score, h.score) AS score,
-  CASE WHEN own.license IS NOT NULL THEN 'header' WHEN h.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
-  CASE WHEN own.license IS NULL THEN h.dir END AS from_dir
-FROM files LEFT JOIN own USING (path) LEFT JOIN holders h ON h.dir = files.dir"""
+holders AS (SELECT dir, license, score FROM own JOIN files USING (path) WHERE path LIKE '%/LICENSE-%' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1),
+near AS (SELECT f.dir, h.dir AS above, h.license, h.score FROM (SELECT DISTINCT dir FROM files) f JOIN holders h ON starts_with(f.dir || '/', h.dir || '/') QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY length(h.dir) DESC) = 1)
+SELECT path, coalesce(own.license, near.license) AS license, coalesce(own.score, near.score) AS score,
+  CASE WHEN own.license IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN own.license IS NULL THEN above END AS from_dir
+FROM files LEFT JOIN own USING (path) LEFT JOIN near USING (dir)"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from sessionlens.llm import licenses
 
-MIT, GPL = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+MIT, GPL = licenses.NOTICES["MIT"], licenses.NOTICES["GPL-3.0"]
 
 
 def scan(spark, files):
@@ -28,3 +28,21 @@ def test_top_level_licence_of_a_relative_tree(spark):
 def test_top_level_licence_of_an_absolute_tree(spark):
     got = scan(spark, [("/LICENSE", GPL), ("/src/deep/b.py", ""), ("/c.py", ""), ("src/a.py", "")])
     assert got["/src/deep/b.py"] == got["/c.py"] == ("GPL-3.0", "inherited", "") and got["src/a.py"] == (None, "none", None)
+
+
+def test_usual_headers_and_licence_files(spark):
+    mit = licenses.TEXTS["MIT"].replace("Copyright (c)", "\n\nCopyright (c) 2021 Some Body\n\n").replace(", ", ",\n")
+    bsd = licenses.TEXTS["BSD-3-Clause"].replace("reserved.", "reserved.\n\n").replace("; ", ";\n")
+    apache = licenses.TEXTS["Apache-2.0"].replace(";", ";\n *").replace(". You", ".\n * You").replace(" at ", " at\n *\n *    ")
+    files = [("m/LICENSE", mit), ("m/x/y/z.py", "x"), ("b/COPYING", bsd), ("a/a.c", f"/*\n * Copyright Some Body\n *\n * {apache}\n */\nint x;"), ("g/LICENSE", "   GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\n Preamble"), ("s.py", "#!/bin/x\n# SPDX-License-Identifier: BSD-2-Clause\n" + "word " * 100_000), ("z.py", "# SPDX-License-Identifier: Zlib"), ("p.txt", "the license of the driver was revoked")]
+    got = scan(spark, files)
+    assert got == {"m/LICENSE": ("MIT", "header", None), "m/x/y/z.py": ("MIT", "inherited", "m"), "b/COPYING": ("BSD-3-Clause", "header", None), "a/a.c": ("Apache-2.0", "header", None), "g/LICENSE": ("GPL-3.0", "header", None), "s.py": ("BSD-2-Clause", "header", None), "z.py": (None, "none", None), "p.txt": (None, "none", None)}
+
+
+def test_signature_loses_nothing_and_empty_table(spark):
+    rows, idf, _ = licenses.template_vectors(licenses.TEMPLATES)
+    must = set(licenses.signature(rows, 0.8))
+    for k in {(k, i) for k, i, _, _ in rows}:
+        assert sum(w * w for a, i, t, w in rows if (a, i) == k and t in must) > 1 - 0.8**2
+    empty = spark.createDataFrame([], "path string, text string")
+    assert licenses.scan_licenses(empty).count() == 0 and scan(spark, [("a", None), ("b", "")]) == {"a": (None, "none", None), "b": (None, "none", None)}

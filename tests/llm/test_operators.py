@@ -66,7 +66,7 @@ def test_near_links_have_all_components(spark, monkeypatch, radius, crowded, sim
     fps = [int(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in r.choice(60, r.integers(0, 4), False)] or [np.int64(0)])) for b in base for _ in range(8)]
     sketches = [bytes(int(x) for x in np.where(r.random(simhash.SKETCH) < 0.9, 5, r.integers(0, 255, simhash.SKETCH))) for _ in fps]
     nodes = spark.createDataFrame(list(zip(range(len(fps)), fps, sketches, strict=True)), "node long, fp long, sk binary")
-    links = {tuple(x) for x in simhash.near_links(nodes, radius, crowded=crowded, block=8, similarity=similarity).collect()}
+    links = {tuple(x) for x in simhash.near_links(nodes, radius, pairs=4 * crowded, crowded=crowded, block=16, similarity=similarity).collect()}
 
     def parts(pairs):
         root = list(range(len(fps)))
@@ -210,7 +210,7 @@ def test_rough_rows(rough):
 
 
 def test_licenses_inherit_from_the_nearest_directory(spark):
-    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    mit, apache = licenses.NOTICES["MIT"], licenses.NOTICES["Apache-2.0"]
     rows = [("a/LICENSE", mit), ("a/b/LICENSE", "x\n" + apache), ("a/b/c/one.txt", "plain"), ("a/two.txt", None), ("a/b/own.py", mit), ("z/three.txt", ""), (None, mit), ("a/two.txt", None), ("a/b/COPYING", "no notice")]
     got = licenses.scan_licenses(spark.createDataFrame([(*r, 1.0) for r in rows], "path string, text string, score double")).collect()
     assert len(got) == len(rows)
