@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -131,8 +131,7 @@ def correlated_groups(rows: int, both: np.ndarray, parts: int) -> list[list[int]
     while left:
         rest = sorted(left)
         group = [rest[int(np.argmax(corr[np.ix_(rest, rest)].sum(axis=1)))]]
-        while len(group) < min(width, len(rest)):
-            rest = sorted(left - set(group))
+        while len(group) < width and (rest := sorted(left - set(group))):
             group.append(rest[int(np.argmax(corr[np.ix_(rest, group)].mean(axis=1)))])
         left -= set(group)
         groups.append(sorted(group))
@@ -299,14 +298,15 @@ def sub_cells(rows: DataFrame, groups: list[list[int]], radius: int) -> DataFram
     return out.withColumn("subkey", F.col("fp").bitwiseAND(F.col("_mask"))).drop("_mask")
 
 
-def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, crowded: int = 1024, block: int = 16384, similarity: float | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pairs: int = 1 << 14, crowded: int = 2048, block: int = 16384, similarity: float | None = None) -> DataFrame:
     """`(a, b)`: links between nodes that have the components of all links within `radius` bits.
 
     `nodes` has a distinct `node` for each fingerprint `fp`. With a `similarity`, links must also have sketches
-    (`sk`) that agree so far. A partition value shared by up to `crowded` nodes gives all its verified links. A
-    value shared by more is split on the other bits (`sub_cells`) where that shrinks the pairs to compare fourfold.
-    What stays crowded is a dense neighbourhood: it is dealt out in blocks, and each pair of blocks gives the
-    links of a spanning forest, fewer than its nodes. Nothing is lost to the components, and no
+    (`sk`) that agree so far. A partition value gives all its verified links unless its members times its probes
+    exceed `pairs`, or it has under 16 members. Beyond that it is dense, mostly a group of near copies: a task takes its members and
+    probes and gives the links of a spanning forest, fewer than its nodes. Dense values of over `crowded` members are
+    first split on the other bits (`sub_cells`) where that shrinks the pairs to compare fourfold, and what has over
+    `block` rows is dealt out in blocks, each pair of blocks with a forest of its own. Nothing is lost to the components, and no
     group is listed pair by pair or held by one task.
     """
     rows, both = bit_counts(nodes)
@@ -315,14 +315,15 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, crow
         return empty
     groups = correlated_groups(rows, both, parts) if parts else choose_groups(nodes, rows, both, radius)
     index = values(nodes, masks_of(groups))
-    least = max(64, rows // 1000)  # at most 1000 heavy values a partition
-    counts = materialize(index.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(least, crowded + 1)), "values")
+    least, few = max(64, rows // 1000), min(16, pairs)  # at most 1000 heavy values a partition
+    counts = materialize(index.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= few), "values")
     heavy: list[dict[int, int]] = [{} for _ in groups]
     for r in counts.where(F.col("n") >= least).collect():
         heavy[r.part][r.key] = r.n
     asked = materialize(probes(nodes, rows, both, groups, radius, heavy), "probes")
-    crowd = counts.where(F.col("n") > crowded)
-    many = crowd.count()
+    sought = marked(asked, counts, VALUE, counts.count()).where("n IS NOT NULL").groupBy(*VALUE, "n").agg(F.count(F.lit(1)).alias("p"))
+    dense = materialize(sought.where(F.col("n") * F.col("p") > pairs).drop("p"), "dense")
+    many = dense.count()
 
     def verified(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
         p, q = p.alias("p"), q.alias("q")
@@ -334,22 +335,21 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, crow
     if not many:
         return verified(asked, index, VALUE)
 
-    members = marked(index, crowd, VALUE, many).where("n IS NOT NULL").drop("n")
+    members = marked(index, dense, VALUE, many).where(F.col("n") > crowded).drop("n")
     cells = materialize(sub_cells(members, groups, radius).groupBy(*CELL).agg(F.count(F.lit(1)).alias("m")), "cells")
     squares = cells.groupBy(*VALUE).agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("_after"))
     n = F.col("n").cast("double")
-    state = materialize(crowd.join(squares, VALUE).select(*VALUE, "n", (F.col("_after") * 4 < n * n).alias("split")), "crowded")
-    full = materialize(cells.where(F.col("m") > crowded), "full_cells")
+    state = materialize(dense.join(squares, VALUE, "left").select(*VALUE, "n", F.coalesce(F.col("_after") * 4 < n * n, F.lit(False)).alias("split")), "crowded")
+    full = materialize(cells.where(F.col("m") * F.col("m") > pairs), "full_cells")
     full_many = full.count()
 
     def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows in cells of up to `crowded` members, and those in dense cells, with the number of members `m`."""
+        """The rows in light cells, and those in dense ones, with the number of members `m`."""
         of = marked(rows, state, VALUE, many).withColumns({"sub": F.lit(-1), "subkey": F.lit(0).cast("long")})
         cols = [*CELL, "node", "fp"]
-        parts_ = marked(sub_cells(of.where("split"), groups, radius).select(*cols), full, CELL, full_many)
-        light = of.where("n IS NULL").select(*cols).unionByName(parts_.where("m IS NULL").select(*cols))
-        dense = of.where("NOT split").select(*cols, F.col("n").alias("m")).unionByName(parts_.where("m IS NOT NULL").select(*cols, "m"))
-        return light, dense
+        parted = marked(sub_cells(of.where("split"), groups, radius).select(*cols), full, CELL, full_many)
+        light = of.where("n IS NULL").select(*cols).unionByName(parted.where("m IS NULL").select(*cols))
+        return light, of.where("NOT split").select(*cols, F.col("n").alias("m")).unionByName(parted.where("m IS NOT NULL").select(*cols, "m"))
 
     light_p, left = kinds(asked)
     light_q, right = kinds(index)
@@ -357,9 +357,16 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, crow
     shares = materialize(left.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares")), "shares")
     of_right = shares.select(*[F.col(c).alias(c) for c in CELL], F.col("shares").alias("blocks"))
     n_cells, keys = shares.count(), [*CELL, "i", "j"]
-    spread = lambda upto: F.explode(F.sequence(F.lit(0), upto.cast("int") - 1))
-    left = marked(left, shares, CELL, n_cells).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).cast("int")).withColumn("j", spread(F.ceil(F.col("m") / block))).select(*keys, "node", "fp")
-    right = marked(right, of_right, CELL, n_cells).where("blocks IS NOT NULL").withColumn("j", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block)).cast("int")).withColumn("i", spread(F.col("blocks"))).select(*keys, "node", "fp")
+
+    def dealt(rows: DataFrame, own: str, other: str, blocks: Column, others: Column) -> DataFrame:
+        """Each row in its own block, once for each block of the other side."""
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int"))
+        one = rows.where(others == 1).withColumn(other, F.lit(0))
+        return one.unionByName(rows.where(others > 1).withColumn(other, F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))).select(*keys, "node", "fp")
+
+    by_size = F.ceil(F.col("m") / block)
+    left = dealt(marked(left, shares, CELL, n_cells), "i", "j", F.col("shares"), by_size)
+    right = dealt(marked(right, of_right, CELL, n_cells).where("blocks IS NOT NULL"), "j", "i", by_size, F.col("blocks"))
     if similarity:
         left, right = (side.join(nodes.select("node", "sk"), "node") for side in (left, right))
 
