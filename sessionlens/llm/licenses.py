@@ -73,6 +73,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {k: tuple(dict.fromkeys([v, f"SPDX-Licen
 TERM = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
 #: Terms that ordinary prose is full of; the search for a signature takes them last.
 COMMON = frozenset("a all an and any are at be but can data direct do either even by code file following for form free from holder however i if in including into is it its kind later list met may means must name names no non nor not notice of on one or other program person provided see shall so source style subject terms that the this to under universal use used v version was with without work you".split())
+#: The commonest of all, which come after even those.
+COMMONEST = frozenset("a and as i in is it of that the to was".split())
 #: What parts the blocks of a text: lines without a letter or digit, such as blank or bare comment lines.
 BLOCK_END = r"\n(?:[^a-zA-Z0-9\n]*\n)+"
 #: File names that hold the licence of their directory.
@@ -104,7 +106,7 @@ def signature(rows: list[tuple[str, int, str, float]], threshold: float) -> list
         of.setdefault((k, i), []).append((w, t))
     for terms in of.values():
         got = 0.0
-        for w, t in sorted(terms, key=lambda x: (x[1] in COMMON or len(x[1]) < 4 and x[1][0].isdigit(), -x[0], x[1])):
+        for w, t in sorted(terms, key=lambda x: (x[1] in COMMONEST, x[1] in COMMON or len(x[1]) < 4 and x[1][0].isdigit(), -x[0], x[1])):
             if got > 1 - threshold * threshold + 1e-9:
                 break
             out.add(t)
