@@ -174,6 +174,15 @@ class Automaton:
         opens = live[anchored[0]]  # rules that a byte class may begin
         self.begins = [re.compile(b"[" + re.escape(bytes(c for c in range(self.width) if opens[c] >> i & 1)) + b"]") for i in range(len(rules))]
         self.limits = [(least, tail) for _, least, tail in rules.values()]
+        self.steady = [(1 << i, least) for i, (_, least, _) in enumerate(rules.values()) if self.at_every_byte(1 << i, anchored, ends, live)]
+        self.others = ~sum(bit for bit, _ in self.steady)
+
+    @staticmethod
+    def at_every_byte(bit: int, anchored: np.ndarray, ends: np.ndarray, live: np.ndarray) -> bool:
+        """Whether a rule that has begun may end at every byte from its first on, so that a match is a run of accepting bytes."""
+        on = np.flatnonzero(live & bit)
+        to = anchored[on]
+        return bool(((live[to] & bit == 0) | (ends[to] & bit != 0)).all())
 
     def hits(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments (start, end, rules accepted within) of `data` that hold a match, in one pass. `bounds`: where texts start, and the end.
@@ -198,11 +207,16 @@ class Automaton:
             found[i] = seen
         kind, state, at = self.class_of[data], np.zeros(len(start) - lone, np.int32), start[lone:]
         falling, own = -size[lone:], found[lone:]
+        runs = [np.zeros(len(at), np.int32) for _ in self.steady]
         for t in range(int(size[lone]) if len(at) else 0):
             k = int(np.searchsorted(falling, -t))  # segments longer than t
             now = self.moves[state[:k] * self.width + kind[at[:k] + t]]
             state[:k] = now
-            own[:k] |= self.accepts[now]
+            accepts = self.accepts[now]
+            own[:k] |= accepts & self.others
+            for run, (bit, least) in zip(runs, self.steady, strict=True):  # single letters begin such rules, so too short runs are left out here
+                run[:k] = (run[:k] + 1) * ((accepts & bit) != 0)
+                own[:k] |= np.where(run[:k] >= least, bit, 0).astype(np.int32)
         hit = np.flatnonzero(found)
         hit = hit[np.argsort(start[hit])]
         return start[hit], start[hit] + size[hit], found[hit]

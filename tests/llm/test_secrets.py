@@ -44,4 +44,4 @@ def test_automaton_is_small_and_linear():
         start, end, found = auto.hits(secrets.np.frombuffer(text, secrets.np.uint8), secrets.np.array([0, len(text)]))
         got = [secrets.spans_in(text, [(int(a), int(b), int(m))], list(secrets.RULES), auto) for a, b, m in zip(start, end, found, strict=True)]
         assert time.process_time() - began < 20
-        assert got == ([[(0, "hex", len(text))]] if text[0] == 48 else [])
+        assert sum(got, []) == ([(0, "hex", len(text))] if text[0] == 48 else [])
