@@ -1,19 +1,21 @@
-"""Main text of web pages by differencing each page with its nearest neighbour by URL.
+"""Main text of web pages by differencing each page with its nearest neighbours by URL.
 
-Pages of a host are ordered by URL path; each is paired with the neighbour that shares the longer path prefix,
-the text lines of the two are aligned by longest common subsequence, and shared lines go: what pages of a site
-repeat is its frame. Markup that names a part (menu, footer, advert, form, comments) goes as well, since such
-parts may differ from page to page, and lines inside an article or main element stay even if a neighbour has
-them, since articles may quote each other or be copies.
+Pages of a host are ordered by URL path; each is compared with up to two pages before and two after it. A line is
+its text and its place (the boxes around it, with their class and id), the lines of two pages are aligned by longest
+common subsequence, and what over half of these pages share is the site's frame. Frame lines go, and a box goes whole
+when at least half of its lines are frame, so parts that vary a little go with their box. No class or id has a meaning
+of its own; only elements that are never text (`nav`, `form`, `script`, ...) and landmark roles are known by name.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -30,31 +32,40 @@ DROPPED = frozenset("script style noscript template svg math iframe object canva
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stay within a line; every other tag parts lines.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words of a class, id or role that name a part outside the text.
-PART = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar|aside|cookies?|consent|notices?|popup|modal|newsletter|subscribe|comments?|disqus|replies|respond|share|social|related|widget|search|login|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Elements that make a box: lines of one box are judged together.
+BOX = frozenset("html body div section article main header ul ol dl table details fieldset center".split())
+#: Landmark roles whose elements are no text, as their element names.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title")}
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
-#: What the tags around a line say: it is the text, it is not, or nothing.
+#: What the tags around a line say: it is in an article or main element, it is no text, or nothing.
 MAIN, PART_OF_FRAME, OPEN = 1, 2, 0
-
-
-def page_lines(page: str) -> list[tuple[int, str]]:
-    """`(mark, text)` of a page's lines in order; character references decoded, white space made one space, empty lines left out."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+#: What the nearest pages say of a line: most share it; most have its box.
+SHARED, BOX_REPEATS = 1, 2
+#: Pages compared with on either side.
+REACH = 2
+#: Boxes told apart by their place; those nested deeper count as part of the last one.
+DEPTH = 32
+
+
+def page_lines(page: str) -> list[tuple[int, tuple[int, ...], str]]:
+    """`(mark, boxes, text)` of the lines that may be text, in order; boxes from the outermost, by hash of name, class and id. Character references decoded, white space made one space, empty lines left out."""
+    out: list[tuple[int, tuple[int, ...], str]] = []
+    stack: list[tuple[str, int, tuple[int, ...]]] = []
     opened: Counter[str] = Counter()
     held: list[str] = []
     mark, at = OPEN, 0
+    boxes: tuple[int, ...] = ()
 
     def end_line() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
+        text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ") if mark != PART_OF_FRAME else ""
         held.clear()
         if text:
-            out.append((mark, text))
+            out.append((mark, boxes, text))
 
     while True:
         m = _TAG.search(page, at)
@@ -72,10 +83,10 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         end_line()
         if m[1]:
             while opened[name]:
-                top, outer = stack.pop()
+                top, *outer = stack.pop()
                 opened[top] -= 1
                 if top == name:
-                    mark = outer
+                    mark, boxes = outer
                     break
             continue
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -85,13 +96,14 @@ def page_lines(page: str) -> list[tuple[int, str]]:
             at = close.end() if close else len(page)
             continue
         if stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"):  # their end tags may be left out
-            top, mark = stack.pop()
+            top, mark, boxes = stack.pop()
             opened[top] -= 1
-        stack.append((name, mark))
+        stack.append((name, mark, boxes))
         opened[name] += 1
-        said = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])) if m[3] else ""
-        frame = name in DROPPED or (name == "header" and mark != MAIN) or (said and name not in ("html", "body", "article", "main") and PART.search(said)) or (m[3] and _HIDDEN.search(m[3]))
-        if frame:
+        named = {k.lower(): (a or b or c) for k, a, b, c in _NAMED.findall(m[3])} if m[3] else {}
+        if name in BOX and len(boxes) < DEPTH:
+            boxes = (*boxes, xxhash.xxh64_intdigest(f"{name} {named.get('class', '')} {named.get('id', '')}".encode("utf-8", "replace")))
+        if name in DROPPED or (name == "header" and mark != MAIN) or named.get("role", "").lower() in ROLES or (m[3] and _HIDDEN.search(m[3])):
             mark = PART_OF_FRAME
         elif name in ("article", "main") and mark == OPEN:
             mark = MAIN
@@ -157,17 +169,19 @@ def url_key(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def prefix(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
-
-
 def keyed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """`k1, k2, page_id, url, html`; rows of one key are equal, so they may share a decision."""
     cols = [F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")]
     return pages.select(F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(1), *reversed(cols)).alias("k2"), *cols)
 
 
+def digests(page: str | None) -> bytes:
+    """Of each line, the hash of its place and text, then that of its place alone; all of the first kind come first."""
+    lines = page_lines(page or "")
+    places = [xxhash.xxh64_intdigest(np.array(boxes, "<u8").tobytes()) for _, boxes, _ in lines]
+    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), p) for (_, _, t), p in zip(lines, places, strict=True)] + places, "<u8").tobytes()
+
+
 def hashed_lines(keyed: DataFrame) -> DataFrame:
     """`k1, k2, host, path, hashes`: what pairing and aligning need of a page, a few bytes a line."""
 
@@ -176,33 +190,22 @@ def hashed_lines(keyed: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 keys = [url_key(u) for u in b.column(3).to_pylist()]
-                hashes = [np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for _, t in page_lines(h or "")], "<u8").tobytes() for h in b.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array(hashes, pa.binary())], ["k1", "k2", "host", "path", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([digests(h) for h in b.column(4).to_pylist()], pa.binary())], ["k1", "k2", "host", "path", "hashes"])
 
     return keyed.mapInArrow(run, "k1 long, k2 long, host string, path string, hashes binary")
 
 
-def wanted(marks: bytes) -> int:
-    """The mark of the lines that may be main text."""
-    return MAIN if MAIN in marks else OPEN
-
-
 def packed_lines(keyed: DataFrame) -> DataFrame:
-    """`k1, k2, page_id, url, marks, body`: all lines' marks, and the lines that may be main text, deflated for the shuffle."""
+    """`k1, k2, page_id, url, body`: the lines that may be text with marks and boxes, deflated for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                marks, bodies = [], []
-                for h in b.column(4).to_pylist():
-                    lines = page_lines(h or "")
-                    m = bytes(x for x, _ in lines)
-                    marks.append(m)
-                    bodies.append(zlib.compress("\n".join(t for x, t in lines if x == wanted(m)).encode("utf-8", "replace"), 1))
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(marks, pa.binary()), pa.array(bodies, pa.binary())], ["k1", "k2", "page_id", "url", "marks", "body"])
+                bodies = [zlib.compress(json.dumps(page_lines(h or ""), ensure_ascii=False).encode("utf-8", "replace"), 1) for h in b.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(bodies, pa.binary())], ["k1", "k2", "page_id", "url", "body"])
 
-    return keyed.mapInArrow(run, "k1 long, k2 long, page_id long, url string, marks binary, body binary")
+    return keyed.mapInArrow(run, "k1 long, k2 long, page_id long, url string, body binary")
 
 
 def in_url_order(parsed: DataFrame, tasks: int) -> DataFrame:
@@ -216,59 +219,76 @@ def in_url_order(parsed: DataFrame, tasks: int) -> DataFrame:
     placed = materialize(light.withColumn("at", F.monotonically_increasing_id()), "order")
     part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    first, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        first.append(total)
-        total += sizes.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in first or [0]]), (part + 1).cast("int"))
-    return placed.select((offset + inside).alias("seq"), "k1", "k2", "host", "path", "hashes")
+    numbers = sorted(sizes)
+    first = zip(numbers, accumulate((sizes[p] for p in numbers), initial=0), strict=False)
+    starts = F.broadcast(placed.sparkSession.createDataFrame([(int(p), n) for p, n in first], "part long, first long"))
+    return placed.withColumn("part", part.cast("long")).join(starts, "part").select((F.col("first") + inside).alias("seq"), "k1", "k2", "host", "path", "hashes")
+
+
+def verdicts(own: bytes, others: list[bytes]) -> bytes:
+    """Of each line of `own`, whether over half of the `others` share it, and whether over half have its box."""
+    lines, places = np.frombuffer(own, "<u8").reshape(2, -1)
+    shared, repeats = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    for other in others:
+        theirs, there = np.frombuffer(other, "<u8").reshape(2, -1)
+        shared += shared_lines(lines.tolist(), theirs.tolist())
+        repeats += np.isin(places, there)
+    return (SHARED * (2 * shared > len(others)) + BOX_REPEATS * (2 * repeats > len(others))).astype(np.uint8).tobytes()
+
+
+def chosen(lines: list[tuple[int, tuple[int, ...], str]], says: bytes) -> list[str]:
+    """The lines that are main text, from marks, boxes and what the nearest pages say of each."""
+    want = MAIN if any(mark == MAIN for mark, _, _ in lines) else OPEN
+    rows = [(tuple(boxes), text, said) for (mark, boxes, text), said in zip(lines, says.ljust(len(lines), b"\0"), strict=False) if mark == want]
+    own: Counter[tuple[int, ...]] = Counter()
+    for place, text, said in rows:
+        own[place] += len(text) if want == MAIN or not said & SHARED else 0
+    body = max(own, key=own.__getitem__, default=())  # the first of those with the most
+    total, frame = Counter(place for place, _, _ in rows), Counter(place for place, _, said in rows if said & SHARED)
+    if not own[body] or want == MAIN and 2 * frame[body] >= total[body]:  # the nearest pages are copies
+        return [text for _, text, _ in rows]
+    out = []
+    for place, text, said in rows:
+        around = body[: len(place)] == place
+        slot = want == OPEN and said & BOX_REPEATS and total[place] == 1 and place[: len(body)] != body
+        if around and (want == MAIN or not said & SHARED) or not around and not slot and 2 * frame[place] < total[place] and (want == MAIN or not said & SHARED):
+            out.append(text)
+    return out
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tasks: int | None = None) -> DataFrame:
     """Per row: `page_id, url, text, n_chars`; blocks joined by two newlines, in page order.
 
-    A page with an article or main element gives the lines inside it that no markup marks as a frame part. One
-    without gives the lines that no markup marks and that its nearest page of the host does not share; if
-    every line would go so (a copy of the neighbour), all stay. Null or empty pages give an empty text; null
-    URLs are one host; rows that repeat share one pairing; an empty table gives no rows; other columns
-    are ignored.
+    Lines that over half of the nearest pages share are frame. Boxes go when at least half of their lines are frame,
+    the body and those around it excepted. In a page with an article or main element only lines inside it count, the
+    body is the box with the most text, its frame lines stay, as articles quote each other, and no box goes if half of
+    the body is frame (copies side by side). In a page without, the body is the box with the most text that is not
+    frame; frame lines go, and so do boxes outside the body that most nearest pages have too and that hold one line
+    (a slot for an advert); if every line is frame, all stay.
+    A page alone on its host keeps all that its elements allow. Null or empty pages give an empty text; null
+    URLs are one host; rows that repeat share one pairing; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = keyed_pages(pages, id_col, url_col, html_col)
     order = in_url_order(hashed_lines(keyed).distinct(), tasks)
-    near = order.select("seq", "host", "path", "hashes")
-    before = near.select((F.col("seq") + 1).alias("seq"), F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("hashes").alias("b_hashes"))
-    after = near.select((F.col("seq") - 1).alias("seq"), F.col("host").alias("a_host"), F.col("path").alias("a_path"), F.col("hashes").alias("a_hashes"))
-    both = order.join(before, "seq", "left").join(after, "seq", "left").select("k1", "k2", "host", "path", "hashes", "b_host", "b_path", "b_hashes", "a_host", "a_path", "a_hashes")
+    beside = F.array(*[F.col("seq") + d for d in range(-REACH, REACH + 1) if d])
+    near = order.select(F.explode(beside).alias("seq"), F.struct("host", "hashes").alias("page"))
+    both = order.join(near.groupBy("seq").agg(F.collect_list("page").alias("near")), "seq", "left")  # 2 * REACH pages at most
+    both = both.select("k1", "k2", "hashes", F.transform(F.filter("near", lambda p: p["host"] == F.col("host")), lambda p: p["hashes"]).alias("near"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = []
-            for host, path, own, b_host, b_path, b_own, a_host, a_path, a_own in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                sides = [(prefix(path, p), h) for x, p, h in ((b_host, b_path, b_own), (a_host, a_path, a_own)) if x == host]
-                other = max(sides, key=lambda s: s[0])[1] if sides else b""  # the one before, if alike
-                gone.append(shared_lines(np.frombuffer(own, "<u8").tolist(), np.frombuffer(other, "<u8").tolist()).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.binary())], ["k1", "k2", "shared"])
+            says = [verdicts(own, near or []) for own, near in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(says, pa.binary())], ["k1", "k2", "says"])
 
-    shared = both.mapInArrow(compare, "k1 long, k2 long, shared binary")
+    says = both.mapInArrow(compare, "k1 long, k2 long, says binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            page, url, marks, bodies, common = (c.to_pylist() for c in b.columns)
-            texts = ["\n\n".join(chosen(m, zlib.decompress(z).decode("utf-8").split("\n"), s or b"")) for m, z, s in zip(marks, bodies, common, strict=True)]
+            page, url, bodies, said = (c.to_pylist() for c in b.columns)
+            texts = ["\n\n".join(chosen(json.loads(zlib.decompress(z)), x or b"")) for z, x in zip(bodies, said, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = packed_lines(keyed).join(shared, ["k1", "k2"], "left").select("page_id", "url", "marks", "body", "shared")
+    rows = packed_lines(keyed).join(says, ["k1", "k2"], "left").select("page_id", "url", "body", "says")
     return rows.mapInArrow(join, "page_id long, url string, text string, n_chars long")
-
-
-def chosen(marks: bytes, lines: list[str], shared: bytes) -> list[str]:
-    """The lines that are main text, of those that may be, from all lines' marks and which of them the neighbour shares."""
-    want = wanted(marks)
-    if want == MAIN:
-        return lines if MAIN in marks else []
-    flags = [s for m, s in zip(marks, shared.ljust(len(marks), b"\0"), strict=False) if m == OPEN]
-    if not flags:
-        return []
-    return [t for t, s in zip(lines, flags, strict=True) if not s] or lines

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sessionlens.llm import html_text as h
 from sessionlens.llm.queries import op10_html
 
-ARTICLE = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Home<li>About</ul></nav><div class='ad'>Buy</div><article><header><h1>Big &amp; news</h1></header><p><b>One\n two<br>three<p>Four&nbsp;five<div class='comments'>me too</div></article><footer>&copy; x</footer></body></html>"
+ARTICLE = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Home<li>About</ul></nav><div class='ad'>Buy</div><article><header><h1>Big &amp; news</h1></header><p><b>One\n two<br>three<p>Four&nbsp;five<div class='comments'><p>Comments<p>me too {0}</div></article><footer>&copy; x</footer></body></html>"
 
 
 def texts(spark, rows):
@@ -14,11 +14,61 @@ def texts(spark, rows):
 
 def test_article_and_empty_pages(spark):
     got = texts(spark, [(1, "http://a/x/1", ARTICLE), (2, None, None), (3, "http://a/x/2", ""), (None, "::bad[", "<p>only")])
-    assert got[1] == "Big & news\n\nOne two three\n\nFour five"
+    assert got[1] == "Big & news\n\nOne two three\n\nFour five\n\nComments\n\nme too {0}"  # nothing to compare with
     assert got[2] == got[3] == "" and got[None] == "only"
     assert texts(spark, []) == {}
 
 
+def test_comments_in_articles_go_by_their_shared_heading(spark):
+    rows = [(i, f"http://a/x/{i}", ARTICLE.replace("{0}", f"says {i}").replace("Four", f"Four {i}").replace("One", f"One {i}").replace("Big", f"Big {i}")) for i in range(5)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Big {i} & news\n\nOne {i} two three\n\nFour {i} five" for i in range(5))
+
+
+def test_frames_of_pages_without_an_article(spark):
+    page = (
+        "<body><div class=top>Site</div><div role=navigation>Menu {0}</div><div class=promo>Buy {0} now</div><div class='box'><p>Letters<p>Reader {0}</div>"
+        "<div class=text><h2 id=share-price>Price {0}</h2><p>{0} is a long line of text<div class=comments-off>Note {0}, of which more than one line follows<p>last {0}</div></div><div>Imprint</div></body>"
+    ).format
+    rows = [(i, f"http://b/{i}", page(f"w{i}")) for i in range(6)]
+    got = texts(spark, [*rows, (50, "http://c/1", page("alone"))])
+    assert all(got[i] == f"Price w{i}\n\nw{i} is a long line of text\n\nNote w{i}, of which more than one line follows\n\nlast w{i}" for i in range(6))
+    assert got[50].startswith("Site\n\nBuy alone now") and "Menu" not in got[50]
+
+
+def test_decisions_follow_a_plain_pairing(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda k: "".join(r.choice("ab") for _ in range(k))
+    rows = []
+    for i in range(120):
+        lines = "".join(f"<{t}><p>{r.choice([t, t, t, word(2)])}</p><p>{word(r.choice([1, 9]))}</p></{t.split()[0]}>" for t in ["div", "div id=x", "section", "section class=y", "ul"] if r.random() < 0.8)
+        rows.append((i, f"http://{r.choice('mn')}/{word(3)}", r.choice(["", "<article>"]) + lines))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS k1", "'x' AS text", "2 AS seq", "'h' AS host")
+    keys = {k["page_id"]: (k["k1"], k["k2"]) for k in h.keyed_pages(df, "page_id", "url", "html").collect()}
+    order = sorted(rows, key=lambda x: (*h.url_key(x[1]), *keys[x[0]]))
+    got = {x["page_id"]: x["text"] for x in h.main_text(df, tasks=4).collect()}
+    changed = 0
+    for at, (i, url, page) in enumerate(order):
+        near = [order[k] for k in range(max(0, at - 2), at + 3) if k != at and k < len(order) and h.url_key(order[k][1])[0] == h.url_key(url)[0]]
+        own, says = [(b, t) for _, b, t in h.page_lines(page)], []
+        hits = [longest(own, [(b, t) for _, b, t in h.page_lines(p)]) for _, _, p in near]
+        for n, (b, _) in enumerate(own):
+            homes = sum(b in [x for _, x, _ in h.page_lines(p)] for _, _, p in near)
+            says.append((2 * sum(n in x for x in hits) > len(near)) + 2 * (2 * homes > len(near)))
+        want = h.chosen(h.page_lines(page), bytes(says))
+        changed += want != [t for _, _, t in h.page_lines(page)]
+        assert got[i] == "\n\n".join(want)
+    assert changed > 10
+
+
+def longest(a, b):
+    """Places in `a` of the longest common subsequence that the operator picks; another test holds its length against all subsequences."""
+    names = {x: n for n, x in enumerate(dict.fromkeys([*a, *b]))}
+    return {i for i, x in enumerate(h.shared_lines([names[x] for x in a], [names[x] for x in b])) if x}
+
+
 def test_shared_lines_of_nearest_pages_go(spark):
     page = "<div>Site name</div><div>{0} one</div><div>{0} two</div><div>Imprint</div>".format
     rows = [(i, f"http://host/{'ab'[i % 2]}/{i}", page(f"p{i}")) for i in range(20)]
