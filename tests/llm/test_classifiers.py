@@ -1,5 +1,8 @@
 """Held-out accuracy of the classifiers, and their edge cases."""
 
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +41,23 @@ def test_kernel_tolerates_gaps_and_insertions():
     assert "idiot" in toxicity.units_of("you i d i o t") and toxicity.units_of("") == set()
 
 
+def occurrences(word):
+    """Every four signs of `<word>` in order within a span, with the decayed weight, scaled to length 1; punctuation only makes gaps."""
+    s = f"<{word}>"
+    found = [(s[a] + s[b] + s[c] + s[d], toxicity.DECAY ** (d - a + 1)) for a, b, c, d in combinations(range(len(s)), 4) if d - a < toxicity.SPAN and "-" not in (s[a], s[b], s[c], s[d])]
+    norm = sum(w * w for _, w in found) ** 0.5
+    return [(x, w / norm) for x, w in found]
+
+
+def test_kernel_equals_the_sum_over_all_subsequences():
+    r = random.Random(5)
+    units = ["".join(r.choice("abc1-") for _ in range(r.randrange(2, 12))) for _ in range(30)]
+    got = toxicity.kernel(units, units[:8])
+    for i, u in enumerate(units):
+        for j, v in enumerate(units[:8]):
+            assert got[i, j] == pytest.approx(sum(x * y for a, x in occurrences(u) for b, y in occurrences(v) if a == b), abs=1e-4)
+
+
 def test_models_without_labels_and_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, "a\n\nb" * 5000, "z")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
