@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, licenses, mixing, packing, quality, secrets, simhash, toxicity
+from . import ann, exact_dedup, filter_audit, html_text, licenses, mixing, packing, prefix_trie, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -74,8 +74,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_licenses, op3_simhash, op4_exact_dedup, op5_quality, op6_packing, op7_secrets, op8_nearest, op9_mixing, op10_html)
+    f.__name__: f for f in (op1_toxicity, op2_licenses, op3_simhash, op4_exact_dedup, op5_quality, op6_packing, op7_secrets, op8_nearest, op9_mixing, op10_html, op12_prefix_trie, op13_filter_audit)
 }
 
 
@@ -107,4 +115,32 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_prefix_trie": """
+WITH ids AS (SELECT conv_id, xor(list_reduce([4294967295::ubigint] || list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint),
+    lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::ubigint ELSE 0::ubigint END))), 4294967295::ubigint) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (SELECT conv_id, coalesce(first.turns, [])[1:h] || own.turns[h + 1:] AS turns FROM ids JOIN own USING (conv_id) LEFT JOIN own first ON first.conv_id = ids.conv_id - ids.conv_id % 100),
+steps AS (SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns[1:depth] AS path FROM built),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, depth > 0 AS below, coalesce(length(path[depth].text), 0) AS points,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM steps GROUP BY path, depth),
+parents AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.below AND p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE below GROUP BY 1),
+leaves AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN children USING (path)),
+sums AS (SELECT above AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * points)::bigint AS saved_tokens FROM (SELECT n_children, n_convs, points, unnest(list_transform(range(depth + 1), lambda d: path[1:d])) AS above FROM leaves) GROUP BY above)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM leaves JOIN sums USING (path)""",
+    "op13_filter_audit": """
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+masks AS (SELECT part, doc_id, (len(ws) < 100)::int + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::int AS mask FROM words),
+known AS (SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM masks LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step::int AS step, 1 << (ascii(filter_order[step]) - 65) AS bit, coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)), 0)::int AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+counts AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::bigint AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::bigint AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::bigint AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::bigint AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::bigint AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::bigint AS toxic_lost,
+    sum(CASE WHEN mask & bit <> 0 THEN n * 120 // bit_count(mask) ELSE 0 END)::bigint AS shapley FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley FROM counts""",
 }
