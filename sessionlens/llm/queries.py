@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, filter_audit, html_text, licenses, mixing, packing, prefix_trie, quality, secrets, simhash, toxicity
+from . import ann, exact_dedup, filter_audit, html_text, licenses, mixing, packing, prefix_trie, quality, secrets, set_join, simhash, toxicity
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.shingle_join(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -83,7 +87,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_licenses, op3_simhash, op4_exact_dedup, op5_quality, op6_packing, op7_secrets, op8_nearest, op9_mixing, op10_html, op12_prefix_trie, op13_filter_audit)
+    f.__name__: f for f in (op1_toxicity, op2_licenses, op3_simhash, op4_exact_dedup, op5_quality, op6_packing, op7_secrets, op8_nearest, op9_mixing, op10_html, op11_set_join, op12_prefix_trie, op13_filter_audit)
 }
 
 
@@ -115,6 +119,18 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_set_join": """
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS shingles FROM words),
+texts AS (SELECT min(doc_id) AS node, max(len(shingles)) AS n, any_value(shingles) AS shingles, list(doc_id) AS ids FROM sets GROUP BY list_sort(shingles)),
+terms AS (SELECT node, n, unnest(shingles) AS term FROM texts),
+pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS common, any_value(a.n + b.n) AS sizes FROM terms a JOIN terms b ON a.term = b.term AND a.node <> b.node AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 90 * (sizes - common)),
+reach(node, other) AS (SELECT node, node FROM texts UNION SELECT node, b FROM reach JOIN links ON other = a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+members AS (SELECT node, unnest(ids) AS doc_id FROM texts WHERE n > 0)
+SELECT doc_id, len(shingles) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN members USING (doc_id) LEFT JOIN least USING (node)""",
     "op12_prefix_trie": """
 WITH ids AS (SELECT conv_id, xor(list_reduce([4294967295::ubigint] || list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint),
     lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::ubigint ELSE 0::ubigint END))), 4294967295::ubigint) % 6 AS h
