@@ -1,12 +1,15 @@
-"""What a piece of source text calls, declares and imports, read without a parser.
+"""What a piece of source text calls, declares and imports: Python and TypeScript by patterns, Go by its grammar.
 
-Comments and strings are blanked first, in place, so positions and line ends stay. Patterns then find names.
+For patterns, comments and strings are blanked first, in place, so positions and line ends stay. Patterns then find names.
 Each function handles one text; Spark deals the texts out.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+from . import go_syntax
 
 # Words of the languages, and names that are always there.
 PYTHON_WORDS = """False None True and as assert async await break class continue def del elif else except finally for from global if
@@ -38,7 +41,6 @@ _S = r"[\t\n\f\r ]"
 MASKS = {
     "python": re.compile(r"#[^\n]*|" + "|".join(rf"{q}(?:\\.|(?!{q}).)*(?:{q}|\Z)" for q in ('"""', "'''", '"', "'")), re.S),
     "typescript": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|" + "|".join(rf"{q}(?:\\.|(?!{q}).)*(?:{q}|\Z)" for q in ("`", '"', "'")), re.S),
-    "go": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*(?:`|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)", re.S),
 }
 NAME = {"python": r"[A-Za-z_]\w*", "typescript": r"[A-Za-z_$]\w*"}
 
@@ -157,10 +159,16 @@ def imports(masked: str, language: str) -> tuple[list[str], bool]:
     return out, False
 
 
-def declared(text: str, language: str) -> list[str]:
-    """Every name that a file binds, imports included."""
+def declarations(text: str, language: str) -> Iterator[tuple[str, str, int | None]]:
+    """`(kind, name, position)` of every name that a file binds, imports included; Go's are those of its top level, by kind and place."""
     if language == "go":
-        return go_declared(text)
+        yield from go_syntax.declarations(text)
+    else:
+        yield from (("name", n, None) for n in declared(text, language))
+
+
+def declared(text: str, language: str) -> list[str]:
+    """Every name that a file of a language read by patterns binds, imports included."""
     m = mask(text, language)
     out = {x[1] for rx in SINGLE[language] for x in rx.finditer(m)} | {n for rx in LISTS[language] for x in rx.finditer(m) for n in bound(x[1])}
     return sorted(out | {n for n, _, d in calls(m) if d} | set(imports(m, language)[0]))
@@ -169,7 +177,7 @@ def declared(text: str, language: str) -> list[str]:
 def candidates(text: str, language: str) -> list[str]:
     """Bare calls of a snippet in first-seen order: three letters or more, no builtin, no declaration, no parameter of its own."""
     if language == "go":
-        return go_candidates(text)
+        return go_syntax.exported_calls(text)
     m = mask(text, language)
     found = calls(m)
     local = {n for rx in PARAMETERS[language] for x in rx.finditer(m) for n in bound(x[1])}
@@ -181,44 +189,3 @@ def candidates(text: str, language: str) -> list[str]:
 
 def imported(text: str, language: str) -> tuple[list[str], bool]:
     return imports(mask(text, language), language) if language != "go" else ([], False)
-
-
-def balanced(masked: str) -> bool:
-    """Brackets of a Go text close in order; such a text may parse."""
-    stack = []
-    for c in re.findall(r"[()\[\]{}]", masked):
-        if c in "([{":
-            stack.append(c)
-        elif not stack or stack.pop() + c not in ("()", "[]", "{}"):
-            return False
-    return not stack
-
-
-def go_candidates(text: str) -> list[str]:
-    """Bare calls of exported names in Go: `Name(` with no selector before it, that no `func` declares. Unbalanced text has none."""
-    m = mask(text, "go")
-    if not balanced(m):
-        return []
-    out = {}
-    for x in re.finditer(r"(?<![\w.])([A-Z]\w{2,})\(", m):
-        head = m[: x.start()].rstrip()
-        if not head.endswith(".") and not re.search(r"\bfunc(?:\s*\([^()]*\))?$", head):
-            out[x[1]] = None
-    return list(out)
-
-
-def go_declared(text: str) -> list[str]:
-    """Top-level functions, methods, types, variables and constants of a Go file; none of a file that does not balance."""
-    m = mask(text, "go")
-    if not balanced(m) or not re.search(r"^\s*package\s+\w+", m, re.M):
-        return []
-    out = set(re.findall(r"^func\s*(?:\([^()]*\)\s*)?([A-Za-z_]\w*)", m, re.M)) | set(re.findall(r"^type\s+([A-Za-z_]\w*)", m, re.M))
-    for x in re.finditer(r"^(?:var|const)\s+([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)", m, re.M):
-        out |= set(re.split(r"\s*,\s*", x[1]))
-    for x in re.finditer(r"^(?:var|const|type)\s*\(", m, re.M):
-        body, depth = m[x.end() : closing(m, x.end() - 1)], 0
-        for line in body.split("\n"):
-            if not depth and (n := re.match(r"\s*([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)", line)):
-                out |= set(re.split(r"\s*,\s*", n[1]))
-            depth += sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
-    return sorted(out)

@@ -217,13 +217,6 @@ def weakening_edits(docs: DataFrame, block: int = 512) -> DataFrame:
     return said.unionByName(edits)
 
 
-@query()
-def d2_test_integrity(spark, sf_dir):
-    """Edits of test files built from documents, with conversations' turns between; tests hold it against a hand loop."""
-    events = weakening_edits(table(spark, sf_dir, "documents"))
-    return TestIntegrity().scan(Frames(events, None)).select("session_id", "severity", "confidence", "title", "detail")
-
-
 @query("""SELECT session_id, CASE WHEN pressed THEN 2 ELSE 1 END AS severity, 2 AS confidence, 'a_test.py: 1 assertion(s) removed' AS title,
  CASE WHEN pressed THEN 'near "make the tests pass" context: please make the tests pass' ELSE '' END AS detail
 FROM (SELECT source || ':' || (doc_id // 512)::varchar AS session_id, bool_or(doc_id % 9 = 0) OVER (PARTITION BY source, doc_id // 512 ORDER BY doc_id RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS pressed FROM documents)""")
@@ -256,6 +249,41 @@ def d4_undefined_calls(spark, sf_dir):
     return HallucinatedApi().scan(calling_edits(table(spark, sf_dir, "pages"))).select("session_id", "severity", "confidence", "title")
 
 
+def go_edits(pages: DataFrame) -> Frames:
+    """Go files and edits, one of each a page, with its whole html as comments.
+
+    A page's file declares a method of its name; that of every fourth page does not parse, and so declares nothing. The edit calls
+    the page after it by bare name, in statements; every third edit is an interface with such a method, and every seventh does not parse.
+    """
+    from .bindings import as_events
+
+    id_ = F.col("page_id")
+    html = F.concat(F.lit("// "), F.replace(F.coalesce("html", F.lit("")), F.lit("\n"), F.lit("\n// ")), F.lit("\n"))
+    name = lambda n: F.concat(F.lit("Call"), n.cast("string"))
+    body = F.concat(html, F.lit("package pages\n\nfunc (p *Page[T]) "), name(id_), F.when(id_ % 4 == 0, "(x int) { y := 1 2 }\n").otherwise("(x int) { y := `Quoted(1)` }\n"))
+    interface = F.concat(F.lit("type I interface { "), name(id_ + 1), F.lit("(x int) error }\n"))
+    called = F.concat(F.lit("if x := "), name(id_ + 1), F.lit("(y); x != nil {\n\tp.Selected(x)\n}\n"), F.when(id_ % 7 == 0, "z := 1 2\n").otherwise(""))
+    session, path = F.floor(id_ / 256).cast("string"), F.concat(F.lit("/repo/p"), id_.cast("string"), F.lit(".go"))
+    events = as_events(pages, session_id=session, seq=id_, kind=F.lit("tool_call"), tool=F.lit("Edit"), ts=F.to_timestamp(F.lit(BASE)), uuid=id_.cast("string"), text=F.lit(""), file_path=path, old_string=F.lit("x"), new_string=F.concat(html, F.when(id_ % 3 == 0, interface).otherwise(called)))
+    sessions = pages.select(session.alias("session_id"), F.lit("/repo").alias("cwd")).distinct()
+    return Frames(events, sessions, pages.select(F.lit("/repo").alias("cwd"), path.alias("path"), body.alias("text")))
+
+
+@query("""SELECT (page_id // 256)::varchar AS session_id, 1 AS severity, 1 AS confidence, 'Call' || (page_id + 1)::varchar || '(...) is not defined anywhere in the repo' AS title
+FROM pages WHERE page_id % 3 <> 0 AND page_id % 7 <> 0 AND NOT ((page_id + 1) % 4 <> 0 AND page_id + 1 IN (SELECT page_id FROM pages))""")
+def d4_go_calls(spark, sf_dir):
+    """Bare exported calls in Go that no file which parses declares."""
+    return HallucinatedApi().scan(go_edits(table(spark, sf_dir, "pages"))).select("session_id", "severity", "confidence", "title")
+
+
+@query("""SELECT '/repo/p' || page_id::varchar || '.go' AS path, kind, CASE kind WHEN 'package' THEN 'pages' ELSE 'Call' || page_id::varchar END AS name FROM pages, (VALUES ('package'), ('method')) k(kind) WHERE page_id % 4 <> 0""")
+def x8_go_symbols(spark, sf_dir):
+    """What Go files declare, a row each."""
+    from ..operators.symbols import file_declarations
+
+    return file_declarations(go_edits(table(spark, sf_dir, "pages")).files).select("path", "kind", "name")
+
+
 @query(f"""WITH {LOOPS_SQL}, named AS (SELECT DISTINCT e.session_id, e.uuid FROM edits e JOIN loops l USING (session_id, file_path)),
 per AS (SELECT e.session_id, count(DISTINCT e.uuid) AS n, count(DISTINCT n.uuid) AS named FROM edits e LEFT JOIN named n ON n.session_id = e.session_id AND n.uuid = e.uuid GROUP BY ALL)
 SELECT session_id, n - named AS clean_events FROM per""")
