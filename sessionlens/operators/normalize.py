@@ -37,6 +37,11 @@ def classify(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("fate", F.when(line.isNull(), "malformed").when(F.coalesce(line["isSidechain"], F.lit(False)), "sidechain").otherwise(main))
 
 
+def session_lines(decoded: DataFrame) -> DataFrame:
+    """Decoded lines that are not blank, with `session_id` and `fate`."""
+    return classify(name_sessions(decoded.where("NOT blank").drop("blank")))
+
+
 def usage_once(lines: DataFrame) -> DataFrame:
     """`session_id, line_no`: the lines whose usage counts, the first that decodes of each message id (the line's own where empty)."""
     used = lines.where("fate = 'event' AND line.type = 'assistant' AND line.usage IS NOT NULL")

@@ -120,7 +120,7 @@ def a1_session_rollup(spark, sf_dir):
 
 @query("SELECT conv_id::varchar AS session_id, turn::bigint * 1000000 AS seq, CASE role WHEN 'user' THEN 'prompt' ELSE 'assistant_text' END AS kind, text FROM conversations WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\\S') AND (role = 'assistant' OR NOT regexp_matches(trim(text), '^(<|Caveat:|\\[Request interrupted)'))")
 def s8_decode_flatten(spark, sf_dir):
-    decoded = normalize.classify(normalize.name_sessions(lines.decode(log_lines(spark, sf_dir))))
+    decoded = normalize.session_lines(lines.decode(log_lines(spark, sf_dir)))
     return normalize.flatten(decoded).where("text <> ''").select("session_id", "seq", "kind", "text")
 
 
@@ -132,7 +132,7 @@ SELECT conv_id::varchar AS session_id, count(*) FILTER (cut) AS malformed_lines,
 FROM l LEFT JOIN s USING (conv_id) GROUP BY ALL""")
 def a6_session_diagnostics(spark, sf_dir):
     # system lines have a message here, and neither a boundary nor metadata: they are ignored unless cut short
-    decoded = normalize.classify(normalize.name_sessions(lines.decode(log_lines(spark, sf_dir))))
+    decoded = normalize.session_lines(lines.decode(log_lines(spark, sf_dir)))
     s = normalize.session_rows(decoded, normalize.flatten(decoded))
     ignored = decoded.groupBy("session_id").agg(F.count_if(F.col("fate") == "ignored").alias("odd_lines"))
     return s.join(ignored, "session_id").select("session_id", "malformed_lines", "odd_lines", "versions", "usage.input", "usage.output")

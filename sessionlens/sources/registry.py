@@ -32,12 +32,12 @@ class JsonLines:
         return lines.list_sessions(spark, root, cwd)
 
     def load(self, spark: SparkSession, paths: str | list[str]) -> Frames:
-        decoded = normalize.classify(normalize.name_sessions(lines.decode(lines.read_lines(spark, paths))))
+        decoded = normalize.session_lines(lines.read_decoded(spark, paths))
         events = normalize.flatten(decoded)
         return Frames(events, normalize.session_rows(decoded, events, self.name))
 
     def first_prompts(self, spark: SparkSession, paths: list[str]) -> DataFrame:
-        return lines.first_prompts(lines.read_lines(spark, paths)).withColumnRenamed("session_path", "path")
+        return lines.first_prompts(lines.read_decoded(spark, paths)).withColumnRenamed("session_path", "path")
 
 
 class ChatStore:
