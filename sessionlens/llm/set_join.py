@@ -2,9 +2,9 @@
 
 Two sets of sizes a and b with a Jaccard similarity of p in a hundred differ in at most (a + b)(100 - p)/(100 + p)
 elements. Sizes go into classes, each with the largest such difference K. The domain of shingles is dealt into
-(K + 1)/2 partitions, so in one of them two similar sets differ in at most one element; a partition has three cells, and
-of its three pairs of cells one is then equal. Each pair's content gives a signature. Sets that share one are candidates;
-parity sketches, which never differ in more bits than the sets in elements, discard most, and whole sets decide.
+(K + 1)/2 partitions, so in one of them two similar sets differ in at most one element; a partition has `pieces` cells, and
+of its subsets that leave one cell out, one is then equal. Each subset's content gives a signature. Sets that share one are
+candidates; parity sketches, which never differ in more bits than the sets in elements, discard most, and whole sets decide.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ CROWD = 48
 BLOCK = 512
 #: Rows of a table that may be broadcast.
 SMALL = 100_000
-SALTS = 16
 _DRAW = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +59,7 @@ def shingle_set(text: str | None, shingle: int = 3) -> np.ndarray:
 class SizeClasses:
     """Size classes at a similarity of `percent`; `pieces` cells a partition, of which all but one make a signature."""
 
-    def __init__(self, percent: int = 90, step: float = 1.4, pieces: int = 3):
+    def __init__(self, percent: int = 90, step: float = 1.4, pieces: int = 2):
         self.percent, self.step, self.pieces = percent, step, pieces
         self.upper = [1]  # largest size of each class
 
@@ -129,14 +128,6 @@ def may_be_similar(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-def beside(rows: DataFrame, few: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows whose key is in `few`, of `size` rows with distinct keys: broadcast up to `SMALL`, else by salted keys."""
-    if size <= SMALL:
-        return rows.join(F.broadcast(few), key)
-    salted = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(salted, [key, "_salt"]).drop("_salt")
-
-
 def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """`(a, b)` of `rows(sig, m, node, comp, n, sk)` of crowded signatures: pairs of different components that may be similar.
 
@@ -214,9 +205,7 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Then all signatures, between the components that are there so far.
     placed = nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), F.explode("sigs").alias("sig"))
     met = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "m")
-    met = materialize(met, "met")
-    shared = beside(placed, met, "sig", met.count()).join(about, "node")
-    shared = materialize(shared, "shared")
+    shared = materialize(placed.join(met, "sig").join(about, "node"), "shared")  # a signature of very many sets is a skewed key, which Spark splits
     few = shared.where(F.col("m") <= CROWD)
     p, q = few.alias("p"), few.alias("q")
     close = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")) & may_be_similar("p", "q", percent))
