@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -54,6 +54,12 @@ def edit_excerpt() -> Column:
     return F.concat(blank_if_null(F.col("tool")), F.lit(" "), blank_if_null(F.col("file_path")), F.lit(": "), truncate(trimmed(text), 240))
 
 
+def first_few(rows: DataFrame, keys: list[str], order: str, shown: Column, most: int = 5) -> DataFrame:
+    """`few`: what is shown of the first rows of each key, `most` of them. Spark drops the others before it shuffles."""
+    ranked = rows.select(*keys, order, shown.alias("_shown")).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_nth") <= most)
+    return ranked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_nth", "_shown"))), lambda x: x["_shown"]).alias("few"))
+
+
 def level(names: tuple[str, ...], name: str) -> int:
     return names.index(name)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, human_tokens, trimmed
 from ..operators.episodes import edit_episodes, first_reversals, tokens_between
-from .base import CONFIDENCE, SEVERITY, Frames, edit_excerpt, evidence, findings
+from ..sources.tables import written
+from .base import CONFIDENCE, SEVERITY, Frames, edit_excerpt, evidence, findings, first_few
 
 
 class Rework:
@@ -17,30 +18,33 @@ class Rework:
         self.episode_threshold = episode_threshold
 
     def loops(self, events: DataFrame) -> DataFrame:
-        """A row per file that reaches the threshold or is taken back: its episodes, times, edits and tokens."""
-        edits = edit_episodes(events)
-        each = F.struct("seq", "ts", "tool", "uuid", edit_excerpt().alias("excerpt"))
-        files = edits.groupBy("session_id", "file_path").agg(
+        """A row per file that reaches the threshold or is taken back: its episodes, times, ids of edits and tokens, and the edits that are shown."""
+        edits = written(edit_episodes(events).select("session_id", "file_path", "seq", "ts", "tool", "uuid", "episode", "starts", "old_string", "new_string", "replace_all", "edits", edit_excerpt().alias("excerpt")), "edits")
+        keys = ["session_id", "file_path"]
+        files = edits.groupBy(*keys).agg(
             F.max("episode").alias("episodes"),
             F.min_by("ts", "seq").alias("first_ts"),
             F.max_by("ts", "seq").alias("last_ts"),
             F.transform(F.sort_array(F.collect_list(F.when(F.col("starts"), F.struct("seq", "ts")))), lambda x: F.coalesce(F.date_format(x["ts"], "HH:mm"), F.lit("00:00"))).alias("times"),
-            F.sort_array(F.collect_list(each)).alias("recs"),
+            F.transform(F.sort_array(F.collect_list(F.struct("seq", "uuid"))), lambda x: x["uuid"]).alias("ids"),
         )
-        files = files.join(first_reversals(edits), ["session_id", "file_path"], "left").where((F.col("episodes") >= self.episode_threshold) | F.col("orig_seq").isNotNull())
-        spent = tokens_between(events, files.select("session_id", "file_path", "first_ts", "last_ts"), "file_path")
-        return files.join(spent, ["session_id", "file_path"])
+        files = files.join(first_reversals(edits), keys, "left").where((F.col("episodes") >= self.episode_threshold) | F.col("orig_seq").isNotNull())
+        files = written(files, "loops")
+        one = F.struct("ts", "tool", "excerpt")
+        few = first_few(edits, keys, "seq", one)
+        pairs = files.where("orig_seq IS NOT NULL").select(*keys, F.explode(F.array("orig_seq", "undo_seq")).alias("seq"), "orig_seq").join(edits, [*keys, "seq"])
+        turns = pairs.groupBy(*keys).agg(F.max(F.when(F.col("seq") == F.col("orig_seq"), one)).alias("orig"), F.max(F.when(F.col("seq") != F.col("orig_seq"), one)).alias("undo"))
+        spent = tokens_between(events, files.select(*keys, "first_ts", "last_ts"), "file_path")
+        return files.join(few, keys).join(turns, keys, "left").join(spent, keys)
 
     def scan(self, frames: Frames) -> DataFrame:
         rows = self.loops(frames.events)
-        at = lambda seq: F.try_element_at(F.filter("recs", lambda r: r["seq"] == F.col(seq)), F.lit(1))
-        rows = rows.withColumn("orig", at("orig_seq")).withColumn("undo", at("undo_seq"))
         swings = F.col("orig_seq").isNotNull()
         clock = lambda c: F.coalesce(F.date_format(c, "HH:mm"), F.lit("00:00"))
         spent = F.when(F.col("tokens_est") > 0, F.concat(F.lit("est. "), human_tokens(F.col("tokens_est")), F.lit(" tokens on repeated work"))).otherwise("")
         turn = F.concat(F.lit("edit at "), clock(F.col("undo.ts")), F.lit(" reverses the edit at "), clock(F.col("orig.ts")), F.lit(" (A→B→A). "), spent)
         pair = F.array(evidence("original edit", F.col("orig.ts"), F.col("orig.excerpt")), evidence("reverting edit", F.col("undo.ts"), F.col("undo.excerpt")))
-        shown = F.transform(F.slice("recs", 1, 5), lambda r, i: evidence(F.concat(F.lit("edit "), (i + 1).cast("string"), F.lit(" ("), r["tool"], F.lit(")")), r["ts"], r["excerpt"]))
+        shown = F.transform("few", lambda r, i: evidence(F.concat(F.lit("edit "), (i + 1).cast("string"), F.lit(" ("), r["tool"], F.lit(")")), r["ts"], r["excerpt"]))
         title = F.concat(base_name(F.col("file_path")), F.lit(" rewritten "), F.col("episodes").cast("string"), F.lit("× ("), F.array_join("times", ", "), F.lit(")"))
         out = rows.select(
             "session_id",
@@ -51,7 +55,7 @@ class Rework:
             F.when(swings, trimmed(turn)).otherwise(spent).alias("detail"),
             "tokens_est",
             F.when(swings, pair).otherwise(shown).alias("evidence"),
-            F.transform("recs", lambda r: r["uuid"]).alias("event_uuids"),
+            F.col("ids").alias("event_uuids"),
             F.col("file_path").alias("emit_key"),
         )
         return findings(out, self.name)
