@@ -97,8 +97,8 @@ def sketch(sets: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
-    """`(row, doc_id, n, digest, sk, firsts, sigs)` of whole texts: size and digest of the set, its sketch and signatures."""
-    schema = "doc_id long, n long, digest binary, sk array<long>, firsts array<long>, sigs array<long>"
+    """`(row, doc_id, h, n, digest, sk, firsts, sigs)` of whole texts: a hash of the text, size and digest of the set, its sketch and signatures."""
+    schema = "doc_id long, h long, n long, digest binary, sk array<long>, firsts array<long>, sigs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
@@ -106,7 +106,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
                 out: list[tuple] = []
-                for text in b.column(1):
+                for text in b.column(2):
                     s = shingle_set(text.as_py(), shingle)
                     if len(s):
                         sigs = classes.signatures(s)
@@ -115,9 +115,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
                     else:
                         out.append((0, b"", [], [], []))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), *(pa.array(list(c), pa.list_(pa.int64())) for c in cols[2:])], ["doc_id", "n", "digest", "sk", "firsts", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), *(pa.array(list(c), pa.list_(pa.int64())) for c in cols[2:])], ["doc_id", "h", "n", "digest", "sk", "firsts", "sigs"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     """Those of `pairs(a, b)` whose whole sets are similar. Sets are read again, from the texts of the nodes that pairs name."""
     pairs = materialize(pairs.distinct(), "pairs")
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(named.join(nodes.select("node", "doc_id", "digest"), "node"), "wanted")
+    wanted = materialize(named.join(nodes.select("node", "doc_id", "h", "digest"), "node"), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +173,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    read = texts.join(wanted, F.col("text").isNotNull() & texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text", "digest")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    read = texts.join(wanted, (texts.h == wanted.h) & texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text", "digest")
     whole = materialize(read.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
     of = lambda end: whole.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
     return materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")

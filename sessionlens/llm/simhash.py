@@ -9,9 +9,10 @@ many fingerprints share is split by the same principle once more, on the bits th
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import connected_components
+from .set_join import shingle_set
 
 BITS = 64
 #: Work of one probe, which is shuffled and sorted, in candidates, which are compared where they meet.
 PROBE = 30
 #: Bytes of a sketch: as many minimum hashes, one byte kept of each.
 SKETCH = 256
+#: How far below the similarity two sketches' agreement may lie for the sets themselves to be compared: four deviations at 0.8.
+SLACK = 0.1
 #: Rows of a table that may be broadcast; beyond it joins go by salted keys.
 SMALL = 100_000
 SALTS = 16
@@ -81,22 +85,27 @@ def sketch(text: str | None, shingle: int = 5) -> bytes:
     return (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
-    """`(doc_id, fp)`, fp as a signed long; whole texts, null as empty. `sketched`: fp of distinct words, and `sk`, the text's sketch."""
+    """`(doc_id, fp)`, fp as a signed long; whole texts, null as empty. `sketched`: fp of distinct words, `sk`, the text's sketch, and `digest`, that of its five-word set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"doc_id": b.column(0), "fp": pa.array([signed(fingerprint(t.as_py(), shingle, distinct=sketched)) for t in b.column(1)], pa.int64())}
             if sketched:
                 out["sk"] = pa.array([sketch(t.as_py()) for t in b.column(1)], pa.binary())
+                out["digest"] = pa.array([set_digest(shingle_set(t.as_py(), 5)) for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", sk binary" * sketched)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", sk binary, digest binary" * sketched)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -244,19 +253,38 @@ def unpacked(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
 
+def jaccards(one: bytes, others: list[bytes]) -> np.ndarray:
+    """Exact similarity of a set with each of others; sets are sorted hashes, empty ones equal."""
+    x = np.frombuffer(one, np.uint64)
+    sizes = np.array([len(o) // 8 for o in others])
+    flat = np.frombuffer(b"".join(others), np.uint64)
+    if not len(x) or not len(flat):
+        return (sizes == len(x)).astype(float)
+    hit = np.concatenate(([0], np.cumsum(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat)))
+    ends = np.cumsum(sizes)
+    both = hit[ends] - hit[ends - sizes]
+    return both / (len(x) + sizes - both)
+
+
 def forest(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
-    """Links of nodes of `left` with nodes of `right` within `radius` bits, and alike if asked, but only those that join parts not joined yet."""
+    """Links of nodes of `left` with nodes of `right` within `radius` bits, and alike if asked, but only those that join parts not joined yet.
+
+    Alike are texts whose sets are; sketches say which sets to compare.
+    """
     if not len(left) or not len(right):
         return []
     a, b = (side["fp"].to_numpy(np.int64).view(np.uint64) for side in (left, right))
     nodes, of = np.unique(np.concatenate([left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)]), return_inverse=True)
     of_left, of_right, part, out = of[: len(a)], of[len(a) :], np.arange(len(nodes)), []
     sketches = (unpacked(left["sk"].tolist()), unpacked(right["sk"].tolist())) if similarity else None
+    sets = (left["set"].tolist(), right["set"].tolist()) if similarity else None
     for i, x in enumerate(a):
         own = part[of_left[i]]
         near = np.flatnonzero((np.bitwise_count(x ^ b) <= radius) & (part[of_right] != own))
         if sketches is not None and len(near):
-            near = near[(sketches[1][near] == sketches[0][i]).mean(axis=1) >= similarity]
+            near = near[(sketches[1][near] == sketches[0][i]).mean(axis=1) >= similarity - SLACK]
+            if len(near):
+                near = near[jaccards(sets[0][i], [sets[1][y] for y in near]) >= similarity]
         if len(near):
             met, first = np.unique(part[of_right[near]], return_index=True)
             out += [(int(nodes[of_left[i]]), int(nodes[of_right[y]])) for y in near[first]]
@@ -264,16 +292,45 @@ def forest(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: flo
     return out
 
 
-def alike(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those links `(a, b)` whose sketches agree in `similarity` of their bytes or more."""
+def alike(links: DataFrame, nodes: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Those links `(a, b)` whose five-word sets are alike. Sketches discard what is far below; sets decide."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = (unpacked(b.column(2).to_pylist()) == unpacked(b.column(3).to_pylist())).mean(axis=1)
-            yield b.select([0, 1]).filter(pa.array(same >= similarity))
+            yield b.select([0, 1]).filter(pa.array(same >= similarity - SLACK))
+
+    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [bool(jaccards(x, [y])[0] >= similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
+    def with_ends(links: DataFrame, table: DataFrame, col: str) -> DataFrame:
+        of = lambda end: table.select(F.col("node").alias(end), F.col(col).alias(f"{col}_{end}"))
+        return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", f"{col}_a", f"{col}_b")
+
+    near = materialize(with_ends(links, nodes, "sk").mapInArrow(may_be, "a long, b long"), "maybe")
+    sets = sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
+    return with_ends(near, sets, "set").mapInArrow(are, "a long, b long")
+
+
+def sets_from(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """A reader of `(node, set)`, the sets of the nodes asked for, from the texts of one row of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            keep = pa.array([set_digest(s) == d.as_py() for s, d in zip(found, b.column(2), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"]).filter(keep)  # an id may have several texts
+
+    def read(wanted: DataFrame) -> DataFrame:
+        ids = materialize(wanted.join(nodes.select("node", F.col("least").alias("_id"), "digest"), "node"), "wanted")
+        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+        texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+        found = texts.join(ids, "_id").select("node", "text", "digest")
+        return materialize(found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
 
-    of = lambda end: nodes.select(F.col("node").alias(end), F.col("sk").alias(f"sk_{end}"))
-    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
+    return read
 
 
 def marked(rows: DataFrame, marks: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -298,11 +355,11 @@ def sub_cells(rows: DataFrame, groups: list[list[int]], radius: int) -> DataFram
     return out.withColumn("subkey", F.col("fp").bitwiseAND(F.col("_mask"))).drop("_mask")
 
 
-def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pairs: int = 1 << 14, crowded: int = 2048, block: int = 16384, similarity: float | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pairs: int = 1 << 14, crowded: int = 2048, block: int = 16384, similarity: float | None = None, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`(a, b)`: links between nodes that have the components of all links within `radius` bits.
 
-    `nodes` has a distinct `node` for each fingerprint `fp`. With a `similarity`, links must also have sketches
-    (`sk`) that agree so far. A partition value gives all its verified links unless its members times its probes
+    `nodes` has a distinct `node` for each fingerprint `fp`. With a `similarity`, links must also have five-word sets, of
+    `sets_of`, that are so far alike. A partition value gives all its verified links unless its members times its probes
     exceed `pairs`, or it has under 16 members. Beyond that it is dense, mostly a group of near copies: a task takes its members and
     probes and gives the links of a spanning forest, fewer than its nodes. Dense values of over `crowded` members are
     first split on the other bits (`sub_cells`) where that shrinks the pairs to compare fourfold, and what has over
@@ -330,7 +387,7 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
         same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]
         close = (F.col("p.node") < F.col("q.node")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius)
         links = p.join(q, [*same, close]).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-        return alike(links, nodes, similarity) if similarity else links
+        return alike(links, nodes, similarity, sets_of) if similarity else links
 
     if not many:
         return verified(asked, index, VALUE)
@@ -368,7 +425,9 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
     left = dealt(marked(left, shares, CELL, n_cells), "i", "j", F.col("shares"), by_size)
     right = dealt(marked(right, of_right, CELL, n_cells).where("blocks IS NOT NULL"), "j", "i", by_size, F.col("blocks"))
     if similarity:
-        left, right = (side.join(nodes.select("node", "sk"), "node") for side in (left, right))
+        held = materialize(left.select("node").unionByName(right.select("node")).distinct(), "crowd")
+        about = materialize(held.join(nodes.select("node", "sk"), "node").join(sets_of(held), "node"), "crowd_sets")
+        left, right = (side.join(about.select("node", F.col("sk").alias("sk"), F.col("set").alias("set")), "node") for side in (left, right))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(a, b, radius, similarity), columns=["a", "b"], dtype="int64")
@@ -381,28 +440,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: `doc_id, fingerprint` (16 lowercase hex digits), `component_id` (smallest doc_id reachable).
 
     Without a `similarity`, rows with equal fingerprints are one node, and links run between distinct ones. With a
-    `similarity`, fingerprints are of distinct words, rows are one node only if their sketches are equal too, and
-    a link also needs that Jaccard similarity of the texts' five-word shingles, as estimated from sketches. Null or empty texts have fingerprint
-    zero and link like any other. Null ids never name a component. Ids repeat as their rows do; an empty table
-    gives no rows; other columns are ignored.
+    `similarity`, fingerprints are of distinct words, rows are one node only if their sets of five-word shingles are equal too, and
+    a link also needs that Jaccard similarity of those sets. Null or empty texts have fingerprint
+    zero and link like any other. Null ids never name a component, and with a `similarity` a node of such rows alone
+    has no links, as sets are read by id. Ids repeat as their rows do; an empty table gives no rows; other columns are ignored.
     """
-    same = ["fp", "sk"] if similarity else ["fp"]
+    same = ["fp", "digest"] if similarity else ["fp"]
     rows = materialize(fingerprints(docs, id_col, text_col, shingle, bool(similarity)), "fingerprints")
-    nodes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    links = materialize(near_links(nodes, radius, similarity=similarity), "near")
+    one = [F.min("doc_id").alias("least"), *([F.min("sk").alias("sk")] if similarity else [])]
+    nodes = materialize(rows.groupBy(*same).agg(*one).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    links = materialize(near_links(nodes, radius, similarity=similarity, sets_of=sets_from(docs, nodes, id_col, text_col) if similarity else None), "near")
     named = nodes.join(connected_components(links), "node", "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_text = named.join(least, "root").select(*same, "component_id")
     return rows.join(by_text, same).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each component of near copies: that with the smallest id; all columns as they were.
 
-    Fingerprints of distinct words propose, as an edit changes few of them; sketches of five-word shingles verify.
+    Fingerprints of distinct words propose, as an edit changes few of them; sets of five-word shingles decide.
     Rows with a null id are kept, as nothing names them. Of rows that repeat an id that stays, one is kept.
     """
-    components = simhash_components(docs, id_col, text_col, radius=radius, similarity=similarity)
+    components = simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius=radius, similarity=similarity)
     stay = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).withColumn("_stay", F.col(id_col).cast("long")).join(stay, "_stay", "left_semi").dropDuplicates(["_stay"])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

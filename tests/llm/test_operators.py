@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sessionlens.llm import ann, exact_dedup, html_text, licenses, mixing, packing, quality, secrets, simhash, toxicity
+from sessionlens.llm import ann, exact_dedup, html_text, licenses, mixing, packing, quality, secrets, set_join, simhash, toxicity
 from sessionlens.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -64,9 +64,11 @@ def test_near_links_have_all_components(spark, monkeypatch, radius, crowded, sim
     r = np.random.default_rng(1)
     base = [*r.integers(-(2**62), 2**62, 4), *(r.integers(0, 2**20, 8) << 40)]  # values that share 40 bits are crowded, and split on the others
     fps = [int(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in r.choice(60, r.integers(0, 4), False)] or [np.int64(0)])) for b in base for _ in range(8)]
-    sketches = [bytes(int(x) for x in np.where(r.random(simhash.SKETCH) < 0.9, 5, r.integers(0, 255, simhash.SKETCH))) for _ in fps]
-    nodes = spark.createDataFrame(list(zip(range(len(fps)), fps, sketches, strict=True)), "node long, fp long, sk binary")
-    links = {tuple(x) for x in simhash.near_links(nodes, radius, pairs=4 * crowded, crowded=crowded, block=16, similarity=similarity).collect()}
+    texts = [" ".join(f"w{k}" if r.random() < 0.985 else f"x{r.integers(0, 99)}" for k in range(120)) for _ in fps]
+    sets = [set_join.shingle_set(t, 5) for t in texts]
+    nodes = spark.createDataFrame([(i, fp, simhash.sketch(t)) for i, (fp, t) in enumerate(zip(fps, texts, strict=True))], "node long, fp long, sk binary")
+    whole = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, set binary")
+    links = {tuple(x) for x in simhash.near_links(nodes, radius, pairs=4 * crowded, crowded=crowded, block=16, similarity=similarity, sets_of=lambda wanted: whole.join(wanted, "node")).collect()}
 
     def parts(pairs):
         root = list(range(len(fps)))
@@ -76,7 +78,7 @@ def test_near_links_have_all_components(spark, monkeypatch, radius, crowded, sim
         return root
 
     def alike(a, b):
-        return similarity is None or np.mean([x == y for x, y in zip(sketches[a], sketches[b], strict=True)]) >= similarity
+        return similarity is None or len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= similarity
 
     n = range(len(fps))
     want = {(a, b) for a in n for b in n if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= radius and alike(a, b)}
