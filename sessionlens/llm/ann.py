@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-GRAPH = "shard int, vectors binary, edges binary, entry int, ids array<array<bigint>>, width int"
+GRAPH = "shard int, band int, vectors binary, edges binary, entry int, ids array<array<bigint>>, width int"
+#: Binary orders of magnitude in a shard, and those by which a vector must exceed another for the other to change no distance.
+#: Within both together no square of a double underflows.
+BAND, APART = 200, 80
 
 
 def distances(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -27,9 +30,14 @@ def distances(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def scaled(x: np.ndarray) -> np.ndarray:
-    """Vectors times a power of two, so that squares of the largest component neither overflow nor lose their bits."""
-    return np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0.0))[1]))
+def magnitudes(x: np.ndarray) -> np.ndarray:
+    """The binary exponent of each vector's largest component."""
+    return np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+
+
+def band() -> Column:
+    """Which `BAND` powers of two the largest component of `v` lies in."""
+    return F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x)))) / BAND).cast("int")
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,6 +83,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, bea
         seen = flat.ravel()[np.minimum(found, flat.size - 1)] == want.ravel()
         near[seen.reshape(near.shape)] = -1
         d = distances(x, near, q[live])
+        d[d >= far[:, -1:]] = np.inf  # what only equals the beam's last stays out, or equal ones would push each other out for ever
         all_d = np.concatenate([far, d], axis=1)
         top = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
         part = np.take_along_axis(all_d, top, 1)
@@ -162,7 +171,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def build_index(rows: DataFrame, copies: int, shard_mb: int = 32, spread: int = 8, least: int = 4096, degree: int = 24, beam: int = 48, alpha: float = 1.2) -> DataFrame:
     """One graph a shard (`GRAPH`), over distinct vectors dealt out by hash; each carries its `copies` smallest ids.
 
-    A shard holds about `shard_mb` of vectors, which a task builds in memory; shards are `spread` at least, where
+    Vectors of a shard are of one band of magnitudes, so that one huge vector does not blur the others. A shard holds about `shard_mb` of vectors, which a task builds in memory; shards are `spread` at least, where
     each has `least` vectors. Rows with equal vectors are one node, so a vector that very many rows share neither crowds the graph nor
     a task: a rank filter on it, which Spark applies before the shuffle too, keeps its smallest ids.
     """
@@ -174,11 +183,11 @@ def build_index(rows: DataFrame, copies: int, shard_mb: int = 32, spread: int =
 
     def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(f["v"].to_numpy()).astype(np.float64)
-        edges, entry = build_graph(scaled(x), degree, beam, alpha)
-        return pd.DataFrame({"shard": [key[0]], "vectors": [x.astype("<f8").tobytes()], "edges": [edges.astype("<i4").tobytes()], "entry": [entry], "ids": [[list(map(int, i)) for i in f["ids"]]], "width": [x.shape[1]]})
+        edges, entry = build_graph(np.ldexp(x, -magnitudes(x).max()), degree, beam, alpha)
+        return pd.DataFrame({"shard": [key[0]], "band": [key[2]], "vectors": [x.astype("<f8").tobytes()], "edges": [edges.astype("<i4").tobytes()], "entry": [entry], "ids": [[list(map(int, i)) for i in f["ids"]]], "width": [x.shape[1]]})
 
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("size", F.size("v"))
-    return materialize(dealt.groupBy("shard", "size").applyInPandas(build, GRAPH), "graphs")
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("size", F.size("v")).withColumn("band", band())
+    return materialize(dealt.groupBy("shard", "size", "band").applyInPandas(build, GRAPH), "graphs")
 
 
 def search_index(graphs: DataFrame, queries: DataFrame, k: int, beam: int | None = None, block: int = 32768) -> DataFrame:
@@ -186,7 +195,8 @@ def search_index(graphs: DataFrame, queries: DataFrame, k: int, beam: int | None
 
     Without a `beam` it is 16 times the fourth root of a shard's vectors (128 for 4,096, 256 for 65,536), which
     holds recall as shards grow. Queries go in blocks of about `block`, so a graph is copied once for each; a block and a shard are one
-    task's beam search, and the shards' answers meet by rank. Scores are Euclidean distances of the original vectors in doubles; ties go
+    task's beam search, and the shards' answers meet by rank. Where a query and a shard are far apart in size, the smaller side changes no distance:
+    the shard's shortest vectors are the nearest to a small query, and all are as far from a large one. Scores are Euclidean distances of the original vectors in doubles; ties go
     to the smaller id.
     """
     blocks = max(1, -(-queries.count() // block))
@@ -201,16 +211,24 @@ def search_index(graphs: DataFrame, queries: DataFrame, k: int, beam: int | None
             x = np.frombuffer(row.vectors, "<f8").reshape(-1, row.width)
             edges = np.frombuffer(row.edges, "<i4").reshape(len(x), -1)
             wide = max(beam or round(16 * len(x) ** 0.25), k + 1)
-            power = -int(np.frexp(np.abs(x).max())[1])
-            small = np.ldexp(x, power)
-            for at in range(0, len(qs), 512):
-                q = np.stack(qs["v"].to_numpy()[at : at + 512]).astype(np.float64)
-                found = beam_search(small, edges, row.entry, np.ldexp(q, power), wide)[0]
-                d = np.where(found >= 0, euclidean(x[found], q[:, None, :]), np.inf)
-                order = np.argsort(d, axis=1, kind="stable")[:, : 2 * (k + 1)]
-                for own, nodes, ds in zip(qs["id"].to_numpy()[at : at + 512], np.take_along_axis(found, order, 1), np.take_along_axis(d, order, 1), strict=True):
-                    mine = [(s, int(i)) for node, s in zip(nodes, ds, strict=True) if node >= 0 for i in row.ids[node] if i != own]
-                    out += [(int(own), i, float(s)) for s, i in sorted(mine)[:k]]
+            sizes, asked = magnitudes(x), np.stack(qs["v"].to_numpy()).astype(np.float64)
+            least = np.array([i[0] for i in row.ids])
+            side = np.where(magnitudes(asked) >= sizes.max() + APART, 1, np.where(magnitudes(asked) <= sizes.min() - APART, -1, 0))
+            for of in np.unique(side):
+                every, own_ids = asked[side == of], qs["id"].to_numpy()[side == of]
+                if of:  # all are as far from a large query; to a small one the shortest are the nearest
+                    chosen = np.lexsort((least, least if of > 0 else euclidean(x, np.zeros(row.width))))[: 2 * (k + 1)]
+                else:
+                    power = -max(sizes.max(), magnitudes(every).max())
+                    small = np.ldexp(x, power)
+                for at in range(0, len(every), 512):
+                    q = every[at : at + 512]
+                    found = np.broadcast_to(chosen, (len(q), len(chosen))) if of else beam_search(small, edges, row.entry, np.ldexp(q, power), wide)[0]
+                    d = np.where(found >= 0, euclidean(x[found], q[:, None, :]), np.inf)
+                    order = np.argsort(d, axis=1, kind="stable")[:, : 2 * (k + 1)]
+                    for own, nodes, ds in zip(own_ids[at : at + 512], np.take_along_axis(found, order, 1), np.take_along_axis(d, order, 1), strict=True):
+                        mine = [(s, int(i)) for node, s in zip(nodes, ds, strict=True) if node >= 0 for i in row.ids[node] if i != own]
+                        out += [(int(own), i, float(s)) for s, i in sorted(mine)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     met = left.groupBy("block", "shard", "width").cogroup(right.groupBy("block", "shard", "width")).applyInPandas(search, "query_id long, vec_id long, score double")

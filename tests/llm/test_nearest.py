@@ -59,3 +59,24 @@ def test_odd_rows(spark):
     assert got[0] == [(i, 0.0) for i in range(1, 11)]
     assert got[100] == [(i, 1.0) for i in range(10)]  # the smaller of its two vectors asks
     assert ann.nearest(frame(spark, rows).limit(0), frame(spark, rows).limit(0)).count() == 0
+
+
+def test_vectors_of_mixed_size(spark):
+    """Huge and tiny vectors beside ordinary ones, in every shard, and as queries."""
+    r = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(2400, 32)))]
+    odd = {7: 1e170, 200: 1e170, 300: 1e-200, 411: 1e-200, 500: 1e60, 611: 1e61, 777: 1e300, 900: 1e-310, 1000: 1e30} | {i: 1e170 for i in range(1201, 1260)}
+    rows = [(i, [x * odd.get(i, 1.0) for x in v]) for i, v in rows]
+    got = answers(frame(spark, rows), spread=6, least=400)
+    hits = {q: len({i for i, _ in brute(rows, q)} & {i for i, _ in got[q]}) / 10 for q in range(0, 2400, 100)}
+    assert np.mean(list(hits.values())) >= 0.95
+    assert all(hits[q] == 1.0 for q in (200, 300, 500, 900)), hits
+    assert all(s == pytest.approx(math.dist(rows[q][1], rows[i][1]), rel=1e-12) for q in got for i, s in got[q])
+
+
+def test_equal_distances_end():
+    """One-hot vectors are all as far from each other: a search among more of them than its beam holds ends."""
+    x = np.eye(300)
+    edges, entry = ann.build_graph(x, degree=8, beam=16)
+    ids, far = ann.beam_search(x, edges, entry, x[:50], 32)
+    assert (ids[:, :11] >= 0).all() and np.all(np.isclose(far[ids >= 0], 2) | np.isclose(far[ids >= 0], 0))
