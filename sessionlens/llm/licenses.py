@@ -9,7 +9,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -123,7 +123,7 @@ def notice_scores(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     """`(path, license, score)`: for each file the licence of the template nearest to any of its lines, blocks or its whole text, where the cosine reaches `threshold`.
 
     Comment signs are no terms, so headers count as their words. Parts without any term that a match must hold (`signature`)
-    are passed over, which loses none. Ties go to the smaller licence name. Null paths and texts give no row.
+    are passed over, which loses none. Each row's text is scored by itself, equal rows as one, and the best of a path counts. Ties go to the smaller licence name. Null paths and texts give no row.
     Only the template table, whose size is the templates' own, is broadcast.
     """
     spark = files.sparkSession
@@ -132,14 +132,16 @@ def notice_scores(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
     must = rf"(?i)(?<![a-z])(?:{'|'.join(map(re.escape, signature(rows, threshold)))})(?![a-z])"
     body = F.col(text_col)
-    found = files.where(body.rlike(must) & F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), F.posexplode(F.filter(units(body), lambda x: x.rlike(must))).alias("part", "value"))
-    terms = found.select("path", "part", F.explode(F.regexp_extract_all(F.lower("value"), F.lit(f"({TERM})"), F.lit(1))).alias("term"))
-    weigh = (1 + F.log(F.count(F.lit(1)).cast("double"))).alias("tf")
-    counts = materialize(terms.groupBy("path", "part", "term").agg(weigh), "terms")
-    weighed = counts.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norms = weighed.groupBy("path", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(vectors, "term").groupBy("path", "part", "license", "nth").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, ["path", "part"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    found = files.where(body.rlike(must) & F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), F.xxhash64(body).alias("text"), F.posexplode(F.filter(units(body), lambda x: x.rlike(must))).alias("part", "value"))
+    bag = ["path", "text", "part"]
+    # the empty term, once a row, tells how many equal rows a bag holds
+    terms = found.select(*bag, F.explode(F.array_append(F.regexp_extract_all(F.lower("value"), F.lit(f"({TERM})"), F.lit(1)), F.lit(""))).alias("term"))
+    counts = materialize(terms.groupBy(*bag, "term").agg(F.count(F.lit(1)).cast("double").alias("n")), "terms")
+    times = F.max(F.when(F.col("term") == "", F.col("n"))).over(Window.partitionBy(*bag))
+    weighed = counts.withColumn("n", F.col("n") / times).where("term <> ''").join(known, "term", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("idf", F.lit(unseen)))
+    norms = weighed.groupBy(*bag).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(vectors, "term").groupBy(*bag, "license", "nth").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dots.join(norms, bag).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     top = cosine.groupBy("path").agg(F.max("score").alias("top"))
     return cosine.join(top, "path").where("score = top").groupBy("path").agg(F.min("license").alias("license"), F.max("score").alias("score"))
 

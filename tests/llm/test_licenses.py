@@ -46,3 +46,11 @@ def test_signature_loses_nothing_and_empty_table(spark):
         assert sum(w * w for a, i, t, w in rows if (a, i) == k and t in must) > 1 - 0.8**2
     empty = spark.createDataFrame([], "path string, text string")
     assert licenses.scan_licenses(empty).count() == 0 and scan(spark, [("a", None), ("b", "")]) == {"a": (None, "none", None), "b": (None, "none", None)}
+
+
+def test_rows_of_one_path_do_not_mix(spark):
+    """Two texts of a path are scored apart; rows that repeat change no score; of licences with equal scores the smaller name counts."""
+    alone = licenses.scan_licenses(spark.createDataFrame([("a/x", licenses.TEXTS["MIT"] + " ok then")], "path string, text string")).first()
+    files = [("a/x", licenses.TEXTS["MIT"] + " ok then"), ("a/x", "license " + "other words " * 50), ("b/x", MIT), ("b/x", GPL)] + [("c/x", licenses.TEXTS["MIT"] + " ok then")] * 3
+    rows = licenses.scan_licenses(spark.createDataFrame(files, "path string, text string").repartition(4)).collect()
+    assert sorted((r.path, r.license, r.score) for r in rows) == [("a/x", "MIT", alone.score)] * 2 + [("b/x", "GPL-3.0", 1.0)] * 2 + [("c/x", "MIT", alone.score)] * 3

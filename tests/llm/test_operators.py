@@ -65,9 +65,11 @@ def test_near_links_have_all_components(spark, monkeypatch, radius, crowded, sim
     base = [*r.integers(-(2**62), 2**62, 4), *(r.integers(0, 2**20, 8) << 40)]  # values that share 40 bits are crowded, and split on the others
     fps = [int(b ^ np.bitwise_or.reduce([np.int64(1) << np.int64(k) for k in r.choice(60, r.integers(0, 4), False)] or [np.int64(0)])) for b in base for _ in range(8)]
     texts = [" ".join(f"w{k}" if r.random() < 0.985 else f"x{r.integers(0, 99)}" for k in range(120)) for _ in fps]
+    if similarity:  # in dense values sketches decide: texts are far above the similarity, or far below
+        texts = [" ".join(f"{'ab'[r.random() < 0.5]}{k}" if i % 4 == 0 else f"w{k}" for k in range(120)) for i in range(len(fps))]
     sets = [set_join.shingle_set(t, 5) for t in texts]
     nodes = spark.createDataFrame([(i, fp, simhash.sketch(t)) for i, (fp, t) in enumerate(zip(fps, texts, strict=True))], "node long, fp long, sk binary")
-    whole = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, set binary")
+    whole = spark.createDataFrame([(i, simhash.short_set(s)) for i, s in enumerate(sets)], "node long, set binary")
     links = {tuple(x) for x in simhash.near_links(nodes, radius, pairs=4 * crowded, crowded=crowded, block=16, similarity=similarity, sets_of=lambda wanted: whole.join(wanted, "node")).collect()}
 
     def parts(pairs):

@@ -63,7 +63,7 @@ def test_near_dedup_follows_five_word_similarity(stages):
         alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
         near[a], near[b] = max(near[a], alike), max(near[b], alike)
         assert alike < 0.9 or not {a, b} <= ids  # bits may miss a pair, the rarer the more alike
-    assert all(near[x] >= 0.8 for x in set(sets) - ids) and len(ids) == len(kept)  # sets decide
+    assert all(near[x] >= 0.75 for x in set(sets) - ids) and len(ids) == len(kept)  # sets decide, and sketches where very many meet
 
 
 def test_near_dedup_recall(spark):
