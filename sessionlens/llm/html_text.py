@@ -36,7 +36,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 BOX = frozenset("html body div section article main header ul ol dl table details fieldset center".split())
 #: Landmark roles whose elements are no text, as their element names.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*))", re.S)
+#: What follows a tag's name: with quoted values, and, where a quote never closes, up to the next sign that ends a tag.
+_REST, _PLAIN_REST = re.compile(r"((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"), re.compile(r"([^>]*)>")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title")}
 _NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -58,7 +60,7 @@ def page_lines(page: str) -> list[tuple[int, tuple[int, ...], str]]:
     stack: list[tuple[str, int, tuple[int, ...]]] = []
     opened: Counter[str] = Counter()
     held: list[str] = []
-    mark, at = OPEN, 0
+    mark, at, rest = OPEN, 0, _REST
     boxes: tuple[int, ...] = ()
 
     def end_line() -> None:
@@ -69,11 +71,13 @@ def page_lines(page: str) -> list[tuple[int, tuple[int, ...], str]]:
 
     while True:
         m = _TAG.search(page, at)
-        held.append(page[at : m.start()] if m else page[at:])
-        if not m:
+        attributes = m and m[2] and (rest.match(page, m.end()) or (rest := _PLAIN_REST).match(page, m.end()))  # an open quote is looked for once
+        if m is None or (m[2] and not attributes):
+            held.append(page[at:])
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        held.append(page[at : m.start()])
+        at = attributes.end() if attributes else m.end()
+        name, said = (m[2] or "").lower(), attributes[1] if attributes else ""
         if not name:
             continue
         if name in INLINE:
@@ -89,7 +93,7 @@ def page_lines(page: str) -> list[tuple[int, tuple[int, ...], str]]:
                     mark, boxes = outer
                     break
             continue
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or said.rstrip().endswith("/"):
             continue
         if name in _RAW:
             close = _RAW[name].search(page, at)
@@ -100,10 +104,10 @@ def page_lines(page: str) -> list[tuple[int, tuple[int, ...], str]]:
             opened[top] -= 1
         stack.append((name, mark, boxes))
         opened[name] += 1
-        named = {k.lower(): (a or b or c) for k, a, b, c in _NAMED.findall(m[3])} if m[3] else {}
+        named = {k.lower(): (a or b or c) for k, a, b, c in _NAMED.findall(said)} if said else {}
         if name in BOX and len(boxes) < DEPTH:
             boxes = (*boxes, xxhash.xxh64_intdigest(f"{name} {named.get('class', '')} {named.get('id', '')}".encode("utf-8", "replace")))
-        if name in DROPPED or (name == "header" and mark != MAIN) or named.get("role", "").lower() in ROLES or (m[3] and _HIDDEN.search(m[3])):
+        if name in DROPPED or (name == "header" and mark != MAIN) or named.get("role", "").lower() in ROLES or (said and _HIDDEN.search(said)):
             mark = PART_OF_FRAME
         elif name in ("article", "main") and mark == OPEN:
             mark = MAIN

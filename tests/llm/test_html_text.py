@@ -114,3 +114,17 @@ def test_query_matches_articles(spark):
         body = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>|<br>", lambda m: " " if m[0] == "<br>" else "", x))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
         assert r["text"] == "\n\n".join(x for x in blocks if x) and r["n"] == r["n_chars"]
+
+
+def test_open_quotes_take_linear_time():
+    """A quote that never closes ends with its tag, and a page full of them is read once."""
+    import time
+
+    from sessionlens.llm.html_text import page_lines
+
+    assert [x[2] for x in page_lines('<p>one</p><a href="x>two</a><p>three</p>')] == ["one", "two", "three"]
+    assert [x[2] for x in page_lines('<p title="a > b">one</p><p>2 < 3 <b')] == ["one", "2 < 3 <b"]
+    for piece in ('<a "', "<a '\"", '<p class="', "<a <b", "<!", "< ", '<a x="1">'):
+        began = time.time()
+        page_lines(piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 8, piece
