@@ -73,6 +73,8 @@ def load(spark: SparkSession, listed, cwd: str):
 def analyze(spark: SparkSession, a: argparse.Namespace, roots: dict[str, str]) -> int:
     picked = registry.pick_session(registry.list_all(spark, roots, a.cwd), a.session, a.agent)
     frames = load(spark, picked, a.cwd)
+    if unread := frames.sessions.where("error IS NOT NULL").first():
+        raise LookupError(unread["error"])
     found = report.all_findings(frames)
     session, rows = render.report_rows(report.reports(frames, found), found)
     if a.html:

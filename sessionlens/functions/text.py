@@ -68,11 +68,23 @@ def listing_prompt(c: Column) -> Column:
     return F.replace(truncate(c, 60), F.lit("\n"), F.lit(" "))
 
 
+#: Signs with an escape of their own in quoted text.
+ESCAPES = {"\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+_UNPRINTED = r"[\p{C}\p{Z}&&[^ ]]"
+
+
 def quoted(c: Column) -> Column:
-    """In double quotes, with quotes, backslashes and control characters escaped."""
+    """In double quotes; quotes, backslashes and signs that do not print are escaped, the latter by number where they have no escape of their own."""
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for sign, name in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+    for sign, name in ESCAPES.items():
         out = F.replace(out, F.lit(sign), F.lit(name))
+
+    def numbered(sign: Column) -> Column:
+        n = F.ascii(sign)
+        digits = lambda size: F.lpad(F.lower(F.hex(n)), size, "0")
+        return F.when(~sign.rlike(_UNPRINTED), sign).when(n < 128, F.concat(F.lit("\\x"), digits(2))).when(n < 65536, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+
+    out = F.when(out.rlike(_UNPRINTED), F.array_join(F.transform(F.split(out, ""), numbered), "")).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 

@@ -110,4 +110,4 @@ def session_rows(lines: DataFrame, events: DataFrame, agent: str = "jsonl") -> D
     out = diag.join(roll, "session_id", "left").join(odd, "session_id", "left")
     zero = F.lit(0).cast("bigint")
     usage = F.struct(*[F.coalesce(c, zero).alias(c) for c in ("input", "output", "cache_creation", "cache_read")])
-    return out.select("session_id", "path", "cwd", "git_branch", F.lit(agent).alias("agent"), "start", "end", "versions", F.coalesce("unrecognized", F.create_map().cast("map<string,bigint>")).alias("unrecognized"), "malformed_lines", "sidechain_events", F.coalesce("compacted", F.lit(False)).alias("compacted"), F.coalesce("events", zero).alias("events"), usage.alias("usage"))
+    return out.select("session_id", "path", "cwd", "git_branch", F.lit(agent).alias("agent"), "start", "end", "versions", F.coalesce("unrecognized", F.create_map().cast("map<string,bigint>")).alias("unrecognized"), "malformed_lines", "sidechain_events", F.coalesce("compacted", F.lit(False)).alias("compacted"), F.coalesce("events", zero).alias("events"), usage.alias("usage"), F.lit(None).cast("string").alias("error"))

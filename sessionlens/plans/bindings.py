@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detectors.base import EVENTS
+from ..sources.tables import shared_folder
 
 #: Minutes after this instant are the times of dialogue turns.
 BASE = "2024-01-01 00:00:00"
@@ -97,3 +100,23 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 4).cast("string")).alias("id"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), F.struct(F.length("text").alias("input_tokens"), (F.col("turn") + 1).alias("output_tokens")).alias("usage")))).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
     line = F.concat(F.lit('{"type":"'), "role", F.lit('","version":"2.'), (F.col("turn") % 3).cast("string"), F.lit('.7","uuid":"'), F.col("turn").cast("string"), F.lit('","message":'), message, F.when((F.col("role") == "system") & (F.col("conv_id") % 3 == 0), "").otherwise("}"))
     return c.select(F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("session_path"), F.col("turn").cast("int").alias("line_no"), line.alias("value"))
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as log files in the shared folder, 64 a file, and their folder: prompts, answers with a tool call, results of tools, lines of subagents and summaries, blank lines."""
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    id_, turn, text = F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    log = F.floor(id_ / 64)
+    own = lambda *fields: F.to_json(F.struct(*fields))
+    block = lambda kind, **cols: F.to_json(F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in cols.items()]))
+    edit = own(F.concat(F.lit("/repo/"), turn.cast("string"), F.lit(".py")).alias("file_path"), F.lit("old").alias("old_string"), text.alias("new_string"))
+    call = F.concat(F.lit('{"type":"tool_use","id":"t","name":"Edit","input":'), edit, F.lit("}"))
+    blocks = lambda *b: F.concat(F.lit('{"content":['), *[x for y in b for x in (y, F.lit(","))][:-1], F.lit("]}"))
+    user = F.when(turn % 4 == 2, blocks(block("tool_result", tool_use_id=F.lit("t")), block("text", text=text))).otherwise(own(text.alias("content")))
+    message = F.when(F.col("role") == "assistant", blocks(block("text", text=text), call, block("thinking", text=text))).otherwise(user)
+    kind = F.when(F.col("role") == "system", "summary").otherwise(F.col("role"))
+    line = F.concat(F.lit('{"type":"'), kind, F.lit('","sessionId":"log'), log.cast("string"), F.lit('","uuid":"'), id_.cast("string"), F.lit(":"), turn.cast("string"), F.lit('","isSidechain":'), (id_ % 5 == 4).cast("string"), F.lit(',"message":'), message, F.lit("}"), F.when(turn % 3 == 1, "\n").otherwise(""))
+    folder = f"{shared_folder(spark)}/sessionlens-logs-{uuid.uuid4().hex}"
+    rows = c.select(log.alias("log"), "conv_id", "turn", line.alias("value")).repartition("log").sortWithinPartitions("log", "conv_id", "turn", "value")
+    rows.select("log", "value").write.partitionBy("log").text(folder)
+    return folder

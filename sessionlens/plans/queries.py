@@ -15,9 +15,9 @@ from ..detectors.test_integrity import TestIntegrity
 from ..functions import patterns as P
 from ..functions import rx, text
 from ..operators import directives, episodes, lookback, normalize, predicates, weakening
-from ..sources import lines
+from ..sources import lines, registry
 from . import report
-from .bindings import BASE, EDITS_SQL, FENCED_SQL, dialogue, edit_log, fenced_log, log_lines, table
+from .bindings import BASE, EDITS_SQL, FENCED_SQL, dialogue, edit_log, fenced_log, log_files, log_lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -138,6 +138,21 @@ def a6_session_diagnostics(spark, sf_dir):
     return s.join(ignored, "session_id").select("session_id", "malformed_lines", "odd_lines", "versions", "usage.input", "usage.output")
 
 
+@query("""WITH c AS (SELECT *, coalesce(text, '') AS t, (conv_id // 64)::varchar AS log, conv_id % 5 = 4 AS side FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT *, row_number() OVER w - 1 + count(*) FILTER (turn % 3 = 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line_no FROM c WINDOW w AS (PARTITION BY log ORDER BY conv_id, turn)),
+real AS (SELECT *, regexp_matches(t, '\\S') AS said, role <> 'user' OR NOT regexp_matches(trim(t), '^(<|Caveat:|\\[Request interrupted)') AS prompts FROM l WHERE NOT side),
+e AS (SELECT log, line_no, 0 AS pos, 'compaction' AS kind, '' AS text, NULL AS file_path, NULL AS new_string FROM real WHERE role = 'system'
+UNION ALL SELECT log, line_no, 0, 'tool_result', '', NULL, NULL FROM real WHERE role = 'user' AND turn % 4 = 2
+UNION ALL SELECT log, line_no, CASE WHEN turn % 4 = 2 THEN 1 ELSE 0 END, 'prompt', t, NULL, NULL FROM real WHERE role = 'user' AND said AND prompts
+UNION ALL SELECT log, line_no, 0, 'assistant_text', t, NULL, NULL FROM real WHERE role = 'assistant' AND said
+UNION ALL SELECT log, line_no, 1, 'tool_call', '', '/repo/' || turn::varchar || '.py', t FROM real WHERE role = 'assistant')
+SELECT 'log' || log AS session_id, (line_no * 1000000 + pos)::bigint AS seq, kind, text, file_path, new_string FROM e""")
+def s6_log_files(spark, sf_dir):
+    """Events of log files that Spark writes from the conversations and reads again in splits: calls, results, summaries; subagents' lines left out."""
+    loaded = registry.SOURCES["jsonl"].load(spark, log_files(spark, sf_dir))
+    return loaded.events.select("session_id", "seq", "kind", "text", "file_path", "new_string")
+
+
 @query("""SELECT l_orderkey::varchar AS session_id, l_linenumber AS line_no FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber) = 1""")
 def w5_usage_once(spark, sf_dir):
     """Order lines as a session's lines with usage; three message ids an order, one of them empty, whose lines go by a uuid they share."""

@@ -62,10 +62,10 @@ def reports(frames: Frames, found: DataFrame) -> DataFrame:
 
 
 def trend(sessions: DataFrame, found: DataFrame) -> DataFrame:
-    """A row per session with a count per detector, oldest first, sessions of unknown start last."""
+    """A row per session with a count per detector, oldest first, sessions of unknown start last; `error` says why one could not be read."""
     labels = [x[0] for x in P.SECTIONS]
     counts = found.groupBy("session_id").pivot("detector", labels).count()
-    rows = sessions.select("session_id", "agent", "path", "start", duration().alias("duration"), "events", fresh_tokens(F.col("usage")).alias("tokens")).join(counts, "session_id", "left").na.fill(0, labels)
+    rows = sessions.select("session_id", "agent", "path", "start", duration().alias("duration"), "events", fresh_tokens(F.col("usage")).alias("tokens"), (F.col("error") if "error" in sessions.columns else F.lit(None).cast("string")).alias("error")).join(counts, "session_id", "left").na.fill(0, labels)
     return rows.orderBy(F.asc_nulls_last("start"), "session_id")
 
 

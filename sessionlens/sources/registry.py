@@ -47,7 +47,8 @@ class ChatStore:
         return kv.list_workspaces(spark, root, cwd)
 
     def load(self, spark: SparkSession, paths: str | list[str]) -> Frames:
-        items = kv.read_items(spark.read.format("binaryFile").load(paths))
+        files = spark.read.format("binaryFile").load(paths)
+        items = kv.read_items(files)
         rows = kv.chat_events(items)
         shape = spark.createDataFrame([], EVENTS).schema
         events = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape])
@@ -55,8 +56,9 @@ class ChatStore:
         roll = rows.groupBy("session_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("events"))
         zero = F.lit(0).cast("bigint")
         usage = F.struct(*[zero.alias(c) for c in ("input", "output", "cache_creation", "cache_read")])
-        both = roll.join(odd, "session_id", "full")
-        sessions = both.select("session_id", F.col("session_id").alias("path"), F.lit("").alias("cwd"), F.lit("").alias("git_branch"), F.lit(self.name).alias("agent"), "start", "end", F.array().cast("array<string>").alias("versions"), F.coalesce("unrecognized", F.create_map().cast("map<string,bigint>")).alias("unrecognized"), zero.alias("malformed_lines"), zero.alias("sidechain_events"), F.lit(False).alias("compacted"), F.coalesce("events", zero).alias("events"), usage.alias("usage"))
+        both = files.select(F.col("path").alias("session_id")).join(roll.join(odd, "session_id", "full").withColumn("_read", F.lit(True)), "session_id", "left")
+        error = F.when(F.col("_read").isNull(), "the store holds no chat that can be read")
+        sessions = both.select("session_id", F.col("session_id").alias("path"), F.lit("").alias("cwd"), F.lit("").alias("git_branch"), F.lit(self.name).alias("agent"), "start", "end", F.array().cast("array<string>").alias("versions"), F.coalesce("unrecognized", F.create_map().cast("map<string,bigint>")).alias("unrecognized"), zero.alias("malformed_lines"), zero.alias("sidechain_events"), F.lit(False).alias("compacted"), F.coalesce("events", zero).alias("events"), usage.alias("usage"), error.alias("error"))
         return Frames(events, sessions)
 
     def first_prompts(self, spark: SparkSession, paths: list[str]) -> DataFrame:
