@@ -7,11 +7,13 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions import patterns as P
 from .plans import report
 from .sinks import render
 from .sources import registry, repo
+from .sources.tables import written
 
 VERSION = "1.0"
 
@@ -75,7 +77,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace, roots: dict[str, str]) -
     frames = load(spark, picked, a.cwd)
     if unread := frames.sessions.where("error IS NOT NULL").first():
         raise LookupError(unread["error"])
-    found = report.all_findings(frames)
+    found = written(report.all_findings(frames), "findings")
     session, rows = render.report_rows(report.reports(frames, found), found)
     if a.html:
         with open(a.html, "w", encoding="utf-8") as f:
@@ -89,7 +91,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace, roots: dict[str, str]) -
 
 def trend(spark: SparkSession, a: argparse.Namespace, roots: dict[str, str]) -> int:
     frames = load(spark, registry.newest(registry.list_all(spark, roots, a.cwd), a.limit), a.cwd)
-    rows = report.trend(frames.sessions, report.all_findings(frames))
+    rows = written(report.trend(frames.sessions, report.all_findings(frames)), "trend").orderBy(F.asc_nulls_last("start"), "session_id")
     if a.json:
         print(render.trend_json(rows, VERSION))
     else:
