@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distance import distances
+
 #: Stands for an unknown time where times are compared.
 ZERO_TIME = "0001-01-01 00:00:00"
 
@@ -28,10 +30,19 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def similarity(a: Column, b: Column, most: int = 4096) -> Column:
-    """1 minus edit distance over the longer length, on the first `most` bytes; 1 if equal, 0 if either is empty."""
+    """1 minus edit distance over the longer length, on the first `most` bytes; 1 if equal, 0 if either is empty. Only those bytes leave the JVM."""
+    x, y = F.substring(a.cast("binary"), 1, most), F.substring(b.cast("binary"), 1, most)
+    alike = 1 - distances(x, y) / F.greatest(F.length(x), F.length(y))
+    return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(alike)
+
+
+def more_similar(a: Column, b: Column, than: float, most: int = 4096) -> Column:
+    """Whether `similarity` is above `than`. The JVM fills only the band of distances that allow it, and none where the lengths do not."""
     x, y = F.substring(byte_view(a), 1, most), F.substring(byte_view(b), 1, most)
-    longer = F.greatest(F.length(x), F.length(y))
-    return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(x, y) / longer)
+    longer, shorter = F.greatest(F.length(x), F.length(y)), F.least(F.length(x), F.length(y))
+    near = F.levenshtein(x, y, int((1 - than) * most) + 1)  # -1 if farther
+    within = F.when(1 - (longer - shorter) / longer <= than, F.lit(-1)).otherwise(near)
+    return F.when(a == b, F.lit(than < 1)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(than < 0)).otherwise((within >= 0) & (1 - within / longer > than))
 
 
 def base_name(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ZERO_TIME, blank_if_null, similarity
+from ..functions.text import ZERO_TIME, blank_if_null, more_similar
 from .predicates import fresh_tokens, is_file_edit
 
 
@@ -38,7 +38,7 @@ def first_reversals(edits: DataFrame, least_bytes: int = 24, alike: float = 0.9)
     earlier = f.withColumn("_nth", F.dense_rank().over(again)).where(F.col("_nth") <= 2).select("session_id", "file_path", F.col("seq").alias("i_seq"), F.col("pos").alias("i_pos"), F.col("old").alias("i_old"), F.col("new").alias("key"))
     later = f.where("old <> ''").select("session_id", "file_path", F.col("seq").alias("j_seq"), F.col("pos").alias("j_pos"), F.col("old").alias("key"), F.col("new").alias("j_new"))
     exact = F.col("j_new") == F.col("i_old")
-    near = (F.octet_length("j_new") >= least_bytes) & (F.octet_length("i_old") >= least_bytes) & (similarity(F.col("j_new"), F.col("i_old")) > alike)
+    near = (F.octet_length("j_new") >= least_bytes) & (F.octet_length("i_old") >= least_bytes) & more_similar(F.col("j_new"), F.col("i_old"), alike)
     pairs = later.join(earlier, ["session_id", "file_path", "key"]).where((F.col("i_seq") < F.col("j_seq")) & (exact | near))
     first = F.min(F.struct("j_seq", "j_pos", "i_seq", "i_pos")).alias("m")
     return pairs.groupBy("session_id", "file_path").agg(first).select("session_id", "file_path", F.col("m.i_seq").alias("orig_seq"), F.col("m.j_seq").alias("undo_seq"))

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text
+from sessionlens.functions.distance import edit_distance
 from sessionlens.plans import queries
 
 
@@ -41,6 +42,37 @@ def test_every_pair_has_a_row(spark, tmp_path):
     assert any(min(map(len, x)) >= 2000 for x in expected.values())
 
 
+def test_bits_agree_with_the_table_of_distances():
+    rng = random.Random(7)
+    sizes = [0, 1, 2, 29, 30, 31, 63, 64, 65, 130, 200]
+    for _ in range(600):
+        a, b = (bytes(rng.choice(b"abc\0\xff") for _ in range(rng.choice(sizes))) for _ in range(2))
+        assert edit_distance(a, b) == edit_distance(b, a) == distance(a, b)
+    long = bytes(rng.randrange(256) for _ in range(4096))
+    assert edit_distance(long, long[7:] + b"1234567") == 14
+
+
+def test_band_decides_as_the_whole_distance(spark):
+    rng = random.Random(9)
+    rows = [("", "a"), ("a", ""), ("", ""), ("é" * 20, "é" * 19 + "e"), ("x" * 9000, "x" * 8000), (None, "a")]
+    for size in (5, 10, 20, 30, 400, 4095, 4096, 5000):
+        for part in (0.05, 0.095, 0.1, 0.105, 0.5):
+            a = "".join(rng.choice("abcdefgh") for _ in range(size))
+            b = list(a)
+            for i in rng.sample(range(size), int(part * min(size, 4096))):
+                b[i] = rng.choice(["", "Z", "YY"]) if size < 4000 else "Z"
+            rows.append((a, "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.more_similar(F.col("a"), F.col("b"), 0.9).alias("near"), text.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        if r.a is None:
+            assert r.near is None and r.s is None
+        else:
+            assert r.near == (r.s > 0.9)
+            if len(r.a) < 500:
+                assert r.s == alike(r.a, r.b)
+    assert len({r.near for r in got}) == 3
+
+
 def test_only_bytes_after_4096_are_left_out(spark):
     one = spark.createDataFrame([("a" * 4096 + "b", "a" * 4096 + "c")], "a string, b string").select(text.similarity(F.col("a"), F.col("b")).alias("s")).first()
     assert one.s == 1.0
