@@ -211,12 +211,17 @@ def primal(marks: list[str], share: np.ndarray, bias: float) -> KernelMachine:
     return KernelMachine(table.astype(np.float32), bias)
 
 
-def fit_kernel_machine(rows: list[tuple[str, int]], landmarks: int = 400, negatives: int = 6000, rounds: int = 3) -> KernelMachine:
+def fit_kernel_machine(rows: list[tuple[str, int]], landmarks: int = 400, negatives: int = 6000, rounds: int = 3, frequent: int = 20_000, ordinary: int = 150_000, witnesses: int = 1200) -> KernelMachine:
     """Fit on labelled texts, sentence by sentence.
 
     First witnesses are units that positive texts hold too often for chance and clean ones never. Each round
     adds, for positive texts without one, the worst unit of their sentences if the machine calls it an insult,
     and the clean units that it errs on. A quarter of the texts is left out, to place the score's curve.
+
+    `rows` is a bounded sample, and so is what the fit makes of it, whatever the table's size: `landmarks` units span the
+    machine's space; of clean units, `negatives` take part from the start and as many are added a round, found among the
+    `frequent` commonest and `ordinary` others by hash; landmarks of positive texts are chosen among `witnesses` units, which
+    keeps their kernel's square small. Scoring has no such bounds. Without positive or clean rows nothing is an insult.
     """
     tested = [r for r in rows if hash_of(r[0]) % 4 == 0]
     rows = [r for r in rows if hash_of(r[0]) % 4]
@@ -230,15 +235,15 @@ def fit_kernel_machine(rows: list[tuple[str, int]], landmarks: int = 400, negati
     strong = [u for u in clean if of_pos[u] >= chance] or clean[:10]
     if not strong or not of_neg:
         return silent
-    often = sorted(of_neg, key=lambda u: (-of_neg[u], u))[:20_000]
-    ordinary = [*often, *sorted(of_neg, key=hash_of)[:150_000]]
+    often = sorted(of_neg, key=lambda u: (-of_neg[u], u))[:frequent]
+    checked = [*often, *sorted(of_neg, key=hash_of)[:ordinary]]
     plain = [u[:PIECE] for u in dict.fromkeys([*often[: negatives // 2], *sorted(of_neg, key=hash_of)[: negatives // 2]])]
     fixed = set(strong)
     bags = [b for t in pos if not fixed & units_of(t) for b in [{u for s in sentences(t) for u in units_of(s) if u not in of_neg}] if b]
     suspects = {u for b in bags for u in b}
     found, hard = [], []
     for _ in range(rounds):
-        marks = spread([u[:PIECE] for u in [*strong, *found][:1200]], landmarks // 2)
+        marks = spread([u[:PIECE] for u in [*strong, *found][:witnesses]], landmarks // 2)
         marks += (hard or plain)[: landmarks - len(marks)]
         value, vector = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
@@ -250,7 +255,7 @@ def fit_kernel_machine(rows: list[tuple[str, int]], landmarks: int = 400, negati
         out = primal(marks, root @ w[:-1], float(w[-1]))
         seen = out.decide(suspects)
         found = sorted({max(b, key=lambda u: (seen[u], u)) for b in bags if max(seen[u] for u in b) > 0})
-        wrong = out.decide(ordinary)
+        wrong = out.decide(checked)
         hard = list(dict.fromkeys([*hard, *(u[:PIECE] for u in sorted((u for u in wrong if wrong[u] > -0.6), key=lambda u: (-wrong[u], u))[:negatives])]))
     worst, label = np.array(out.worst([t for t, _ in tested])), np.array([y for _, y in tested])
     if len(set(label.tolist())) < 2:
@@ -282,7 +287,7 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> KernelMachine:
-    """Fit on up to `most` labelled documents of either class, none of the held-out fifth."""
+    """Fit on up to `most` labelled documents of either class, of at most 20,000 code points each, none of the held-out fifth; `fit_kernel_machine` has the other bounds."""
     return fit_kernel_machine(labelled_sample(docs, labels, "toxic", most, id_col=id_col, text_col=text_col)[0])
 
 
@@ -304,6 +309,11 @@ def score_toxicity(docs: DataFrame, model: KernelMachine, id_col: str = "doc_id"
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: `doc_id, held_out, score, predicted`; see `score_toxicity` for edge cases."""
+    """Per row: `doc_id, held_out, score, predicted`.
+
+    A text without units (null, empty, white space only) scores as one whose worst unit is no insult at all: near 0, and never
+    1. Repeated rows repeat; null ids pass through and count as empty text in the held-out fifth; other columns are ignored; an
+    empty table gives no rows, and without labels every score is low.
+    """
     scored = score_toxicity(docs, fit_toxicity(docs, labels, most, id_col, text_col), id_col, text_col)
     return scored.select("doc_id", (id_bucket("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
