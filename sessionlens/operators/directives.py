@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import rx
 from ..functions.text import ZERO_TIME, base_name, blank_if_null, trimmed
+from ..sources.tables import written
 from .predicates import bare_path, is_file_edit, path_matches, shell_mutates
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """The right side of a join by sorted shuffles at every size.
+
+    Logs repeat themselves, so their files are far smaller than their rows: going by file sizes, Spark sends tables to
+    the driver for a broadcast that are many times what it takes them for.
+    """
+    return df.hint("merge")
+
+
 def known_time(c: Column) -> Column:
     """Unknown times are before all others."""
     return F.coalesce(c, F.to_timestamp(F.lit(ZERO_TIME)))
@@ -27,17 +37,18 @@ def clean_path(path: Column) -> Column:
 
 
 def extract_directives(prompts: DataFrame) -> DataFrame:
-    """`session_id, seq, ts, n, kind, path, sentence` of `prompts(session_id, seq, ts, text)`; `n` keeps their order.
+    """`session_id, seq, ts, n, kind, path, sentence` of `prompts(session_id, seq, ts, text)`, with its other columns; `n` keeps their order.
 
     In each sentence the fence patterns come first, then the exclusive one; every match counts.
     """
-    rows = prompts.select("session_id", "seq", "ts", F.posexplode(split_sentences(F.col("text"))).alias("s", "sentence"))
+    about = [c for c in prompts.columns if c != "text"]
+    rows = prompts.select(*about, F.posexplode(split_sentences(F.col("text"))).alias("s", "sentence"))
     def of(kind: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all("sentence", F.lit(rx.java(pattern)), F.lit(1)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("path")))
 
     found = [*(of("fence", p) for p in P.FENCES), of("exclusive", P.EXCLUSIVE)]
-    rows = rows.select("session_id", "seq", "ts", "s", "sentence", F.posexplode(F.concat(*found)).alias("m", "d"))
-    rows = rows.select("session_id", "seq", "ts", (F.col("s").cast("long") * 100000 + F.col("m")).alias("n"), "d.kind", clean_path(F.col("d.path")).alias("path"), "sentence")
+    rows = rows.select(*about, "s", "sentence", F.posexplode(F.concat(*found)).alias("m", "d"))
+    rows = rows.select(*about, (F.col("s").cast("long") * 100000 + F.col("m")).alias("n"), "d.kind", clean_path(F.col("d.path")).alias("path"), "sentence")
     return rows.where("path IS NOT NULL")
 
 
@@ -61,7 +72,7 @@ def first_after(rows: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame
     clear = F.when(F.col("next.at") > F.col("at"), F.col("next.seq"))
     open_ = F.coalesce(F.col("most") > F.col("at"), F.lit(False)) & clear.isNull()
     asked = [*keys, "seq", "n"]
-    left = seen.where(open_).select(*asked, "at").join(marks.select(*keys, F.col("seq").alias("m_seq"), known_time(F.col("ts")).alias("m_at")), keys).where("m_seq > seq AND m_at > at")
+    left = seen.where(open_).select(*asked, "at").join(sorted_side(marks.select(*keys, F.col("seq").alias("m_seq"), known_time(F.col("ts")).alias("m_at"))), keys).where("m_seq > seq AND m_at > at")
     return seen.where(~open_).select(*asked, clear.alias("mark")).unionByName(left.groupBy(*asked).agg(F.min("m_seq").alias("mark")))
 
 
@@ -78,18 +89,20 @@ def path_gram(path: Column) -> Column:
 def path_mentions(paths: DataFrame, prompts: DataFrame) -> DataFrame:
     """`session_id, path, seq, ts`: the prompts whose text holds a path of `paths(session_id, path)`, both in lower case.
 
-    An inverted index of prompts: runs of path signs that have a slash or a dot, by the short pieces of them that a
-    path could be looked up by. A path is looked up by one piece; the run that holds it decides.
+    An inverted index of prompts: runs of path signs that have a slash or a dot, each once a session, by the short pieces
+    of them that a path could be looked up by. A path is looked up by one piece; the run that holds it decides.
     """
     runs = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(f"({_PATH_SIGNS})"), F.lit(1)), lambda t: t.rlike("[/.]")))
-    rows = prompts.select("session_id", "seq", "ts", F.explode(runs).alias("run"))
+    rows = written(prompts.select("session_id", "seq", "ts", F.explode(runs).alias("run")), "runs")
+
     def pieces(size: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - (size - 1))), lambda i: F.substring(F.col("run"), i, F.lit(size)))
 
     grams = F.array_distinct(F.filter(F.concat(*map(pieces, range(1, _GRAM + 1))), lambda g: g.rlike("[/.]")))
-    index = rows.select("session_id", "seq", "ts", "run", F.explode(grams).alias("gram"))
-    found = index.join(paths.select("session_id", "path", path_gram(F.col("path")).alias("gram")), ["session_id", "gram"]).where(F.col("run").contains(F.col("path")))
-    return found.select("session_id", "path", "seq", "ts").distinct()
+    index = rows.select("session_id", "run").distinct().select("session_id", "run", F.explode(grams).alias("gram"))
+    asked = paths.select("session_id", "path", path_gram(F.col("path")).alias("gram"))
+    found = index.join(sorted_side(asked), ["session_id", "gram"]).where(F.col("run").contains(F.col("path"))).select("session_id", "run", "path")
+    return rows.join(sorted_side(found), ["session_id", "run"]).select("session_id", "path", "seq", "ts").distinct()
 
 
 def superseded(directives: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -100,17 +113,17 @@ def superseded(directives: DataFrame, prompts: DataFrame) -> DataFrame:
     """
     asks = directives.select("session_id", "seq", "n", "ts", F.lower("path").alias("path"))
     reopening = prompts.where(rx.matches(F.col("text"), P.REOPENING)).select("session_id", "seq", "ts")
-    named = path_mentions(asks.select("session_id", "path").distinct(), prompts)
+    named = written(path_mentions(asks.select("session_id", "path").distinct(), prompts), "mentions")
     ended = first_after(asks, reopening, ["session_id"]).unionByName(first_after(asks, named, ["session_id", "path"]).drop("path"))
     first = ended.groupBy("session_id", "seq", "n").agg(F.min("mark").alias("mark"))
     by = prompts.select("session_id", F.col("seq").alias("mark"), F.col("ts").alias("superseded_at"), F.col("text").alias("superseded_by"))
-    return directives.join(first, ["session_id", "seq", "n"], "left").join(by, ["session_id", "mark"], "left").select(*directives.columns, "superseded_at", "superseded_by")
+    return directives.join(sorted_side(first), ["session_id", "seq", "n"], "left").join(sorted_side(by), ["session_id", "mark"], "left").select(*directives.columns, "superseded_at", "superseded_by")
 
 
 def session_directives(events: DataFrame) -> DataFrame:
-    prompts = compaction_sides(events).where("kind = 'prompt'").select("session_id", "seq", "ts", "text", "pre_compaction")
-    found = extract_directives(prompts).join(prompts.select("session_id", "seq", "pre_compaction"), ["session_id", "seq"])
-    return superseded(found, prompts)
+    """Directives of a log's prompts and what ends them. Prompts and directives are written once and read as often as the searches ask."""
+    prompts = written(compaction_sides(events).where("kind = 'prompt'").select("session_id", "seq", "ts", "text", "pre_compaction"), "prompts")
+    return superseded(written(extract_directives(prompts), "directives"), prompts)
 
 
 def time_bins(calls: DataFrame, most: int) -> DataFrame:
@@ -134,8 +147,8 @@ def violations(directives: DataFrame, events: DataFrame, most: int = 4096) -> Da
     last = F.col("bins") - 1
     begin = F.greatest(F.lit(0), bin_of(F.unix_micros(known_time(F.col("ts")))))
     end = F.least(last, F.coalesce(bin_of(F.unix_micros("superseded_at")), last))
-    held = directives.join(bins, "session_id").where(begin <= end).withColumn("_bin", F.explode(F.sequence(begin, end))).drop("begins", "width", "bins")
-    placed = calls.join(bins, "session_id").withColumn("_bin", bin_of(F.unix_micros("e_ts"))).drop("begins", "width", "bins")
+    held = directives.join(sorted_side(bins), "session_id").where(begin <= end).withColumn("_bin", F.explode(F.sequence(begin, end))).drop("begins", "width", "bins")
+    placed = calls.join(sorted_side(bins), "session_id").withColumn("_bin", bin_of(F.unix_micros("e_ts"))).drop("begins", "width", "bins")
     path, target, command = F.col("path"), blank_if_null(F.col("file_path")), blank_if_null(F.col("command"))
     is_fence, up = F.col("directives_kind") == "fence", bare_path(path)
     open_path = up.endswith("/") | up.contains("*")
@@ -146,7 +159,7 @@ def violations(directives: DataFrame, events: DataFrame, most: int = 4096) -> Da
     other = F.col("tool").isin("Edit", "MultiEdit", "NotebookEdit") & (target != "") & ~path_matches(path, target)
     until = F.col("superseded_at")
     during = (F.col("e_ts") > known_time(F.col("ts"))) & (until.isNull() | (F.col("e_ts") <= until))
-    return held.join(placed, ["session_id", "_bin", "_key"]).where(during & F.when(is_fence, fence).otherwise(other)).drop("_bin", "_key")
+    return held.join(sorted_side(placed), ["session_id", "_bin", "_key"]).where(during & F.when(is_fence, fence).otherwise(other)).drop("_bin", "_key")
 
 
 def broken_directives(events: DataFrame) -> DataFrame:

@@ -108,6 +108,18 @@ def test_one_long_session(spark):
     assert directives.violations(held, ev).count() == want > 1000
 
 
+def test_nothing_is_broadcast(spark):
+    """Logs that repeat themselves are small files of many rows: whatever Spark takes their size for, no table goes to the driver."""
+    rows = [r for i in range(0, 40, 4) for r in (prompt("s", i, i, "Do not modify a.go."), edit("s", i + 1, i + 1, "/r/a.go"), prompt("s", i + 2, i + 2, "go on"))]
+    ev = events(spark, rows).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for df in (directives.session_directives(ev), directives.broken_directives(ev).drop("edits"), Instructions().scan(Frames(ev, None))):
+            assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_evidence_is_bounded(spark):
     """Very many actions: all ids, five excerpts."""
     rows = [prompt("s", 0, 1_700_000_000, "Never touch a.go.")] + [edit("s", i, 1_700_000_000 + i, "/r/a.go" if i % 2 else f"/r/b{i % 4}.go", new=f"n{i}" + "x" * 300) for i in range(1, 20_001)]
