@@ -30,8 +30,8 @@ BITS = 64
 PROBE = 30
 #: Bytes of a sketch: as many minimum hashes, one byte kept of each.
 SKETCH = 256
-#: How far below the similarity two sketches' agreement may lie for the sets themselves to be compared: four deviations at 0.8.
-SLACK = 0.1
+#: Minimum hashes that give a bit each to a node's short sketch, two long integers; unlike sets differ in half of the bits.
+SHORT = 128
 #: Rows of a table that may be broadcast; beyond it joins go by salted keys.
 SMALL = 100_000
 SALTS = 16
@@ -156,10 +156,16 @@ def masks_of(groups: list[list[int]]) -> list[int]:
     return [signed(sum(1 << b for b in g)) for g in groups]
 
 
+def carried(nodes: DataFrame) -> list[str]:
+    """The columns that go with a fingerprint: its node, and a short sketch if the nodes have one."""
+    return ["node", "fp", *(c for c in ("lo", "hi") if c in nodes.columns)]
+
+
 def values(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """`(part, key, node, fp)`: each fingerprint's value in every partition."""
+    """`(part, key, node, fp)`, with the short sketch: each fingerprint's value in every partition."""
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    return nodes.select("node", "fp", F.explode(keys).alias("k")).select("k.part", "k.key", "node", "fp")
+    of = carried(nodes)
+    return nodes.select(*of, F.explode(keys).alias("k")).select("k.part", "k.key", *of)
 
 
 def choose_groups(nodes: DataFrame, rows: int, both: np.ndarray, radius: int, most: int = 5) -> list[list[int]]:
@@ -226,7 +232,8 @@ def threshold_plan(bits: np.ndarray, ones: np.ndarray, rows: int, groups: list[l
 
 
 def probes(nodes: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]], radius: int, heavy: list[dict[int, int]]) -> DataFrame:
-    """`(part, key, node, fp)`: the partition values that each fingerprint has to look up."""
+    """`(part, key, node, fp)`, with the short sketch: the partition values that each fingerprint has to look up."""
+    of_node = carried(nodes)
     ones = np.clip(np.diag(both) / max(rows, 1), 1e-6, 1 - 1e-6)
     masks = np.array([sum(1 << b for b in g) for g in groups], np.uint64)
 
@@ -238,7 +245,7 @@ def probes(nodes: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]
         for whole in frames:
             for at in range(0, len(whole), 4096):
                 fp = whole["fp"].to_numpy(np.int64)[at : at + 4096].view(np.uint64)
-                node = whole["node"].to_numpy(np.int64)[at : at + 4096]
+                rest = {c: whole[c].to_numpy(np.int64)[at : at + 4096] for c in of_node}
                 bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 keys = fp[:, None] & masks[None, :]
                 plan = threshold_plan(bits, ones, rows, groups, radius, heavy, keys.view(np.int64))
@@ -249,13 +256,35 @@ def probes(nodes: DataFrame, rows: int, both: np.ndarray, groups: list[list[int]
                             if (g, t) not in made:
                                 made[g, t] = flips(members, t)
                             key = (keys[of, g][:, None] ^ made[g, t][None, :]).ravel()
-                            yield pd.DataFrame({"part": np.full(len(key), g, np.int32), "key": key.view(np.int64), "node": np.repeat(node[of], len(made[g, t])), "fp": np.repeat(fp[of].view(np.int64), len(made[g, t]))})
+                            yield pd.DataFrame({"part": np.full(len(key), g, np.int32), "key": key.view(np.int64)} | {c: np.repeat(x[of], len(made[g, t])) for c, x in rest.items()})
+
+    return nodes.select(*of_node).mapInPandas(run, "part int, key long, " + ", ".join(f"{c} long" for c in of_node))
+
+
+def short_sketches(nodes: DataFrame) -> DataFrame:
+    """`(node, fp, lo, hi)`: a bit of each of the first `SHORT` minimum hashes of `sk`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.frombuffer(b"".join(x[:SHORT] for x in b.column(2).to_pylist()), np.uint8).reshape(-1, SHORT) & 1
+            longs = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(longs[:, 0]), pa.array(longs[:, 1])], ["node", "fp", "lo", "hi"])
+
+    return nodes.select("node", "fp", "sk").mapInArrow(run, "node long, fp long, lo long, hi long")
+
 
-    return nodes.select("node", "fp").mapInPandas(run, "part int, key long, node long, fp long")
+def most_differing(similarity: float) -> int:
+    """Bits in which short sketches of sets so far alike may differ: the mean and four deviations."""
+    p = (1 - similarity) / 2
+    return math.floor(SHORT * p + 4 * math.sqrt(SHORT * p * (1 - p)))
 
 
-def unpacked(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+def bits_of(rows: pd.DataFrame, short: bool) -> list[np.ndarray]:
+    return [rows[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", *(("lo", "hi") if short else ()))]
+
+
+def short_differ(x: list[np.ndarray], i: int, y: list[np.ndarray]) -> np.ndarray:
+    return np.bitwise_count(x[1][i] ^ y[1]).astype(np.int64) + np.bitwise_count(x[2][i] ^ y[2])
 
 
 def jaccards(one: bytes, others: list[bytes]) -> np.ndarray:
@@ -271,19 +300,18 @@ def jaccards(one: bytes, others: list[bytes]) -> np.ndarray:
     return both / (len(x) + sizes - both)
 
 
-def forest(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
-    """Links of nodes of `left` with nodes of `right` within `radius` bits, and with sketches alike if asked, but only those that join parts not joined yet."""
+def forest(left: pd.DataFrame, right: pd.DataFrame, radius: int, differ: int | None = None) -> list[tuple[int, int]]:
+    """Links of nodes of `left` with nodes of `right` within `radius` bits, and short sketches within `differ` if asked, but only those that join parts not joined yet."""
     if not len(left) or not len(right):
         return []
-    a, b = (side["fp"].to_numpy(np.int64).view(np.uint64) for side in (left, right))
+    a, b = (bits_of(side, differ is not None) for side in (left, right))
     nodes, of = np.unique(np.concatenate([left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)]), return_inverse=True)
-    of_left, of_right, part, out = of[: len(a)], of[len(a) :], np.arange(len(nodes)), []
-    sketches = (unpacked(left["sk"].tolist()), unpacked(right["sk"].tolist())) if similarity else None
-    for i, x in enumerate(a):
+    of_left, of_right, part, out = of[: len(left)], of[len(left) :], np.arange(len(nodes)), []
+    for i, x in enumerate(a[0]):
         own = part[of_left[i]]
-        near = np.flatnonzero((np.bitwise_count(x ^ b) <= radius) & (part[of_right] != own))
-        if sketches is not None and len(near):
-            near = near[(sketches[1][near] == sketches[0][i]).mean(axis=1) >= similarity]
+        near = np.flatnonzero((np.bitwise_count(x ^ b[0]) <= radius) & (part[of_right] != own))
+        if differ is not None and len(near):
+            near = near[short_differ(a, i, [y[near] for y in b]) <= differ]
         if len(near):
             met, first = np.unique(part[of_right[near]], return_index=True)
             out += [(int(nodes[of_left[i]]), int(nodes[of_right[y]])) for y in near[first]]
@@ -291,36 +319,53 @@ def forest(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: flo
     return out
 
 
-def alike(links: DataFrame, nodes: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`(a, b)` with the components of those links whose five-word sets are alike. Sketches discard what is far below; sets decide.
+def set_forest(rows: pd.DataFrame, radius: int, differ: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of equal `root` whose fingerprints, short sketches and, last, sets are so far alike: only those that join parts not joined yet.
 
-    First each node meets the one whose sketch is nearest, then those of other components, so that few of the pairs of a group are compared.
+    A row meets the rows before it, nearest sketches first; a set is compared while its part is another.
     """
+    out = []
+    for g in (rows.iloc[at] for at in rows.groupby("root").indices.values()):
+        node, bits, sets, part = g["node"].tolist(), bits_of(g, True), g["set"].tolist(), np.arange(len(g))
+        sizes = np.array([len(x) for x in sets], np.int64)
+        for i in range(1, len(g)):
+            before = [x[:i] for x in bits]
+            apart = short_differ(bits, i, before)
+            fits = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-6
+            near = np.flatnonzero(fits & (apart <= differ) & (np.bitwise_count(bits[0][i] ^ before[0]) <= radius))
+            near, size = near[np.argsort(apart[near], kind="stable")], 4
+            while len(near):
+                some, near = near[:size], near[size:]
+                for j in some[jaccards(sets[i], [sets[j] for j in some]) >= similarity].tolist():
+                    if part[j] != part[i]:
+                        out.append((node[j], node[i]))
+                        part[part == part[j]] = part[i]
+                near, size = near[part[near] != part[i]], min(2 * size, 1024)
+    return out
 
-    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = (unpacked(b.column(2).to_pylist()) == unpacked(b.column(3).to_pylist())).mean(axis=1)
-            keep = pa.array(same >= similarity - SLACK)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same)], ["a", "b", "agree"]).filter(keep)
 
-    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = [bool(jaccards(x, [y])[0] >= similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(same, pa.bool_()))
+def alike(links: DataFrame, nodes: DataFrame, radius: int, similarity: float, sets_of: Callable[[DataFrame], DataFrame], block: int = 2048) -> DataFrame:
+    """`(a, b)`, with the components of all links of nodes whose five-word sets are alike; `links` join at least all such nodes.
 
-    def with_ends(links: DataFrame, table: DataFrame, col: str) -> DataFrame:
-        of = lambda end: table.select(F.col("node").alias(end), F.col(col).alias(f"{col}_{end}"))
-        return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", f"{col}_a", f"{col}_b")
+    The components of `links` hold the wanted ones, and a node is in one of them, so its set is carried once however many pairs
+    its group has. Small components share a task; those of over `block` nodes are dealt out in blocks, a task for each two of them.
+    """
+    root = connected_components(links)
+    differ, share = most_differing(similarity), 512
+    total = root.count()
+    sizes = root.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    rows = root.join(sizes, "root").join(nodes, "node").join(sets_of(root.select("node")), "node").select("root", "node", "fp", "lo", "hi", "set", "blocks")
+    none = F.lit(0).cast("long")
+    small = rows.where("blocks = 1").select("*", F.pmod(F.xxhash64("root"), F.lit(-(-total // share) or 1)).alias("cell"), none.alias("i"), none.alias("j"))
+    own = F.pmod(F.xxhash64("node"), "blocks")
+    large = rows.where("blocks > 1").select("*", F.col("root").alias("cell"), own.alias("_own"), F.explode(F.sequence(none, F.col("blocks") - 1)).alias("_other")).where("_own <> _other")
+    large = large.select(*rows.columns, "cell", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(set_forest(rows, radius, differ, similarity), columns=["a", "b"], dtype="int64")
 
-    near = materialize(with_ends(links, nodes, "sk").mapInArrow(may_be, "a long, b long, agree double"), "maybe")
-    sets = sets_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
-    ends = near.select(F.col("a").alias("node"), F.struct("agree", F.col("b").alias("other")).alias("o")).unionByName(near.select(F.col("b").alias("node"), F.struct("agree", F.col("a").alias("other")).alias("o")))
-    best = ends.groupBy("node").agg(F.max("o").alias("o")).select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct()
-    first = materialize(with_ends(best, sets, "set").mapInArrow(are, "a long, b long"), "first")
-    root = connected_components(first)
-    of = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    return first.unionByName(with_ends(apart, sets, "set").mapInArrow(are, "a long, b long"))
+    found = small.unionByName(large).groupBy("blocks", "cell", "i", "j").applyInPandas(linked, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_from(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> Callable[[DataFrame], DataFrame]:
@@ -368,13 +413,17 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
     """`(a, b)`: links between nodes that have the components of all links within `radius` bits.
 
     `nodes` has a distinct `node` for each fingerprint `fp`. With a `similarity`, links must also have five-word sets, of
-    `sets_of`, that are so far alike; within dense values their sketches (`sk`) must agree so far. A partition value gives all its verified links unless its members times its probes
+    `sets_of`, that are so far alike. Short sketches, of `sk`, discard at every place where nodes meet, and sets decide at the end (`alike`),
+    so it is the same for the components whether a value is dense. A partition value gives all its verified links unless its members times its probes
     exceed `pairs`, or it has under 16 members. Beyond that it is dense, mostly a group of near copies: a task takes its members and
     probes and gives the links of a spanning forest, fewer than its nodes. Dense values of over `crowded` members are
     first split on the other bits (`sub_cells`) where that shrinks the pairs to compare fourfold, and what has over
     `block` rows is dealt out in blocks, each pair of blocks with a forest of its own. Nothing is lost to the components, and no
     group is listed pair by pair or held by one task.
     """
+    if similarity:
+        nodes = materialize(short_sketches(nodes), "short")
+    of_node, differ = carried(nodes), most_differing(similarity) if similarity else None
     rows, both = bit_counts(nodes)
     empty = nodes.sparkSession.createDataFrame([], "a long, b long")
     if rows < 2:
@@ -394,12 +443,17 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
     def verified(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
         p, q = p.alias("p"), q.alias("q")
         same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]
-        close = (F.col("p.node") < F.col("q.node")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius)
-        links = p.join(q, [*same, close]).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-        return alike(links, nodes, similarity, sets_of) if similarity else links
+        apart = lambda c: F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}")))
+        close = (F.col("p.node") < F.col("q.node")) & (apart("fp") <= radius)
+        if similarity:
+            close &= apart("lo") + apart("hi") <= differ
+        return p.join(q, [*same, close]).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+    def decided(links: DataFrame) -> DataFrame:
+        return alike(links, nodes, radius, similarity, sets_of) if similarity else links
 
     if not many:
-        return verified(asked, index, VALUE)
+        return decided(verified(asked, index, VALUE))
 
     members = marked(index, dense, VALUE, many).where(F.col("n") > crowded).drop("n")
     cells = materialize(sub_cells(members, groups, radius).groupBy(*CELL).agg(F.count(F.lit(1)).alias("m")), "cells")
@@ -412,7 +466,7 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
     def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows in light cells, and those in dense ones, with the number of members `m`."""
         of = marked(rows, state, VALUE, many).withColumns({"sub": F.lit(-1), "subkey": F.lit(0).cast("long")})
-        cols = [*CELL, "node", "fp"]
+        cols = [*CELL, *of_node]
         parted = marked(sub_cells(of.where("split"), groups, radius).select(*cols), full, CELL, full_many)
         light = of.where("n IS NULL").select(*cols).unionByName(parted.where("m IS NULL").select(*cols))
         return light, of.where("NOT split").select(*cols, F.col("n").alias("m")).unionByName(parted.where("m IS NOT NULL").select(*cols, "m"))
@@ -428,19 +482,17 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
         """Each row in its own block, once for each block of the other side."""
         rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int"))
         one = rows.where(others == 1).withColumn(other, F.lit(0))
-        return one.unionByName(rows.where(others > 1).withColumn(other, F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))).select(*keys, "node", "fp")
+        return one.unionByName(rows.where(others > 1).withColumn(other, F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))).select(*keys, *of_node)
 
     by_size = F.ceil(F.col("m") / block)
     left = dealt(marked(left, shares, CELL, n_cells), "i", "j", F.col("shares"), by_size)
     right = dealt(marked(right, of_right, CELL, n_cells).where("blocks IS NOT NULL"), "j", "i", by_size, F.col("blocks"))
-    if similarity:
-        left, right = (side.join(nodes.select("node", "sk"), "node") for side in (left, right))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(forest(a, b, radius, similarity), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(forest(a, b, radius, differ), columns=["a", "b"], dtype="int64")
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "a long, b long")
-    return links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return decided(links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
@@ -448,7 +500,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Without a `similarity`, rows with equal fingerprints are one node, and links run between distinct ones. With a
     `similarity`, fingerprints are of distinct words, rows are one node only if their sets of five-word shingles are equal too, and
-    a link also needs that Jaccard similarity of those sets, which sketches estimate within dense values (deviation 0.025 at 0.8). Null or empty texts have fingerprint
+    a link also needs that Jaccard similarity of those sets. Null or empty texts have fingerprint
     zero and link like any other. Null ids never name a component, and with a `similarity` a node of such rows alone
     has no links, as sets are read by id. Ids repeat as their rows do; an empty table gives no rows; other columns are ignored.
     """

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,6 +88,30 @@ def test_near_links_have_all_components(spark, monkeypatch, radius, crowded, sim
     assert want and links <= want and parts(links) == parts(want)
 
 
+def test_dense_values_change_no_component(spark):
+    """Texts about the similarity itself: their sets decide in dense values and others, and in components of one block or several."""
+    r = np.random.default_rng(5)
+    sets = [set_join.shingle_set(" ".join(f"w{k}" if r.random() < 0.985 else f"x{r.integers(99)}" for k in range(200)), 5) for _ in range(90)]
+    sketches = [bytes((s[:, None] * simhash._DRAW[None, : simhash.SKETCH]).min(axis=0).astype(">u8").view(np.uint8)[1::8].tolist()) for s in sets]
+    nodes = spark.createDataFrame([(i, int(i % 3), k) for i, k in enumerate(sketches)], "node long, fp long, sk binary")
+    whole = spark.createDataFrame([(i, simhash.short_set(s)) for i, s in enumerate(sets)], "node long, set binary")
+    want = simhash.set_forest(pd.DataFrame({"root": 0, "node": range(90), "fp": 0, "lo": 0, "hi": 0, "set": [simhash.short_set(s) for s in sets]}), 7, 0, 0.8)
+    assert 20 < len(want) < 85
+
+    def parts(pairs):
+        root = list(range(90))
+        for _ in range(90):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    of = lambda wanted: whole.join(wanted, "node")
+    for pairs in (16, 1 << 30):
+        assert parts([tuple(x) for x in simhash.near_links(nodes, 7, pairs=pairs, crowded=8, block=16, similarity=0.8, sets_of=of).collect()]) == parts(want)
+    every = spark.createDataFrame([(0, i) for i in range(1, 90)], "a long, b long")
+    assert parts([tuple(x) for x in simhash.alike(every, simhash.short_sketches(nodes), 7, 0.8, of, block=20).collect()]) == parts(want)
+
+
 def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
     line = " ".join(f"word{i}" for i in range(9))
     texts = [" ".join([line] * 40 + [f"{c}{i}" for i in range(100)]) for c in "abcd"]
