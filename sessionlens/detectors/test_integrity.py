@@ -23,7 +23,8 @@ class TestIntegrity:
         said = F.col("kind").isin("prompt", "assistant_text") & pass_pressure(blank_if_null(F.col("text")))
         placed = nearest_before(events.withColumn("_said", said), "_said")
         edits = placed.where(is_file_edit() & is_test_file(F.col("file_path"))).withColumns({"old": both_diffs("old_string"), "new": both_diffs("new_string")}).where("old <> ''")
-        edits = edits.withColumn("reasons", reasons(F.col("old"), F.col("new"))).where(F.size("reasons") > 0)
+        found = F.explode_outer(F.array(reasons(F.col("old"), F.col("new"))))  # a row each; a plain column would be worked out again in the filter
+        edits = edits.withColumn("reasons", found).where(F.size("reasons") > 0)
         texts = events.select("session_id", F.col("seq").alias("near_seq"), F.col("text").alias("pressure"))
         return edits.drop("text").join(texts, ["session_id", "near_seq"], "left")
 

@@ -35,6 +35,24 @@ WEAKENINGS = (
     (r"\.toStrictEqual\(", r"\.toEqual\(", "toStrictEqual → toEqual"),
     (r"\b(assert|require)\.Equal\(", r"\b(assert|require)\.(NotNil|True)\(", "Equal → NotNil/True"),
 )
+#: For each pattern of weakened tests, words of which a text must hold one for it to match at all.
+NEEDED = dict(
+    zip(
+        (*DECLARATIONS, *SKIPS, *ASSERTIONS),
+        (
+            *(("func Test",), ("def test_",), ("it(", "test("), ("@Test",)),
+            *(("t.Skip",), ("@pytest.mark.skip",), ("@unittest.skip",), ("pytest.skip(",), ("xit(",), ("xdescribe(",), (".skip(",), ("@Disabled",), ("@Ignore",), ("#[ignore]",)),
+            *(("t.Error", "t.Fa"), ("assert.", "require."), ("assert",), ("self.assert",), ("expect(",), ("EXPECT_", "ASSERT_")),
+        ),
+        strict=True,
+    )
+) | dict(
+    zip(
+        (p for strong, weak, _ in WEAKENINGS for p in (strong, weak)),
+        (("assertEqual(",), ("assertTrue(",), ("assertEquals(",), ("assertTrue(",), (".toEqual(",), (".toBe",), (".toStrictEqual(",), (".toEqual(",), (".Equal(",), (".NotNil(", ".True(")),
+        strict=True,
+    )
+)
 PASS_PRESSURE = r"(?i)(make|get|force|just get).{0,40}(tests?|ci|build).{0,20}(pass|green)|fix.{0,30}(failing|broken).{0,10}tests?|tests?.{0,20}(pass|green)"
 REMOVAL = r"\brm\s+(-\w+\s+)*([^\s;|&]+)"
 

@@ -31,3 +31,21 @@ def test_page_files_hold_whole_pages(spark):
 def test_comments_declare_nothing(spark, tmp_path):
     spark.createDataFrame([(1, "u", "a\nconst no = 1;"), (2, "u", "b\ndef no(x):")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.name for r in queries.x7_declared_names(spark, str(tmp_path)).collect()} == {"f1_ts", "f2"}
+
+
+def test_patterns_need_their_words(spark):
+    """Texts without a needed word are not put through the regex engine, and counts are those of the engine all the same."""
+    from pyspark.sql import functions as F
+
+    from sessionlens.functions import patterns as P
+    from sessionlens.functions import rx
+    from sessionlens.operators import weakening
+
+    texts = ["t.Errorf( t.Fail t.Fatalf t.Skip( t.SkipNow(", "assert.Equal(a) require.NotNil(b) assert.True(c)", "  assert x", "self.assertEquals( self.assertEqual( self.assertTrue(", "expect(a).toEqual(b) expect(a).toBeTruthy() .toBeDefined( .toStrictEqual(", "EXPECT_EQ( ASSERT_X(", "func TestA( def test_b( it( 'x' test(\"y\" @Test @Tests"]
+    texts += ["@pytest.mark.skip @unittest.skip pytest.skip( xit( xdescribe( it.skip( test.skip( describe.skip( @Disabled @Ignore #[ignore]", "assert", "t.Fa t.Err", "", None]
+    patterns = [*P.DECLARATIONS, *P.SKIPS, *P.ASSERTIONS, *(x for s, w, _ in P.WEAKENINGS for x in (s, w))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(*[F.array(weakening.times(F.col("t"), p), rx.count(F.col("t"), p)).alias(f"c{i}") for i, p in enumerate(patterns)]).collect()
+    assert all(a == b for r in got for a, b in r) and all(any(r[i][0] for r in got) for i in range(len(patterns)))
+    plan = df.select(weakening.reasons(F.col("t"), F.lit("x"))).where("true")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.lower().count(f"contains(t#") and w in plan for p in patterns for w in P.NEEDED[p])
