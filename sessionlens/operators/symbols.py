@@ -68,11 +68,13 @@ def undefined_calls(events: DataFrame, sessions: DataFrame, files: DataFrame) ->
     that imports everything of a module is passed over.
     """
     edits = events.where(is_file_edit()).withColumn("new", both_diffs("new_string")).withColumn("language", language_of(F.col("file_path")))
-    edits = edits.where("new <> '' AND language IS NOT NULL").join(sessions.where(blank_if_null(F.col("cwd")) != "").select("session_id", "cwd"), "session_id")
+    edits = edits.where("new <> '' AND language IS NOT NULL")
     tree = files.withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL")
     declared = file_declarations(files)
-    edits = edits.join(usable_languages(files, declared), ["cwd", "language"], "left_semi")
-    called = edits.select("session_id", "cwd", "seq", "language", "file_path", F.posexplode(candidate_names("new", "language")).alias("pos", "name"))
+    # names leave their texts before any join, and a tree's languages, one key for all its edits, go to where those are
+    called = edits.select("session_id", "seq", "language", "file_path", F.posexplode(candidate_names("new", "language")).alias("pos", "name"))
+    called = called.join(sessions.where(blank_if_null(F.col("cwd")) != "").select("session_id", "cwd"), "session_id")
+    called = called.join(F.broadcast(usable_languages(files, declared)), ["cwd", "language"], "left_semi")
     edited = tree.join(called.select("cwd", F.col("file_path").alias("path")).distinct(), ["cwd", "path"], "left_semi")
     bound = edited.select("cwd", F.col("path").alias("file_path"), imported_names("text", "language").alias("i"))
     called = called.join(bound.where("i.wild").select("cwd", "file_path"), ["cwd", "file_path"], "left_anti")

@@ -135,3 +135,18 @@ def test_broken_file_declares_nothing():
     assert declarations("package p\nfunc A() { x := 1 2 }\n") == []
     assert declarations("func A() {}\n") == []
     assert read_snippet("(" * 5000) is None
+
+
+def test_calls_leave_their_texts_before_joins(spark):
+    """Edits of one tree have one key, tree and language: neither they nor their texts are dealt out by it."""
+    from sessionlens.operators import symbols
+    from sessionlens.plans import bindings, queries
+
+    frames = queries.go_edits(bindings.table(spark, "/root/testdata/sf0.001", "pages"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = symbols.undefined_calls(frames.events, frames.sessions, frames.files)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x and "language#" in x]  # the tree is a constant here
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
