@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a table of a few numbers that may be broadcast: a few MB.
+SMALL = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """`materialize`, and the number of rows, or of those for which `of` holds, seen as they are written: no job reads them again."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1) if of is None else F.when(of, 1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of `materialize` that nothing reads any more."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import SMALL, counted, discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,20 +14,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round takes the smallest root among a node's neighbours and then follows one pointer, so long chains
     shorten by doubling; it ends when nothing changes. A node with very many links hands its root on in a join
     that Spark may split, and what it hears shrinks to one row a task before it is shuffled. Rounds are cut by tables in the shared
-    folder, and each goes when the next is written; no link or component reaches the driver. Edges with a null
-    end are ignored; an empty list gives no rows.
+    folder, and each goes when the next is written. Roots of up to `SMALL` nodes, two numbers each, are broadcast, so a round
+    deals out its rows once; beyond that no link or component reaches the driver. Edges with a null end are ignored; an empty
+    list gives no rows.
     """
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
     both = materialize(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    before = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.col("node").alias("old"), F.least("node", "m").alias("root")), "roots")
+    before, nodes = counted(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.col("node").alias("old"), F.least("node", "m").alias("root")), "roots")
     while True:
         roots = before.select("node", "root")
-        heard = both.join(roots, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("root").alias("heard"))
-        near = roots.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = materialize(near.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")), "roots")
+        roots = F.broadcast(roots) if nodes <= SMALL else roots
+        heard = both.join(roots, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("root").alias("heard"))
+        near = heard.join(roots, F.col("src") == F.col("node")).select(F.col("src"), F.col("root").alias("old"), F.least("root", "heard").alias("to"))
+        near = near.join(roots, F.col("to") == F.col("node"), "left").select(F.col("src").alias("node"), "old", F.least("to", F.coalesce("root", "to")).alias("root"))
+        near = near.coalesce(-(-nodes // 4096)) if 0 < nodes <= SMALL else near  # few rows need few files
+        after, changed = counted(near, "roots", F.col("old") != F.col("root"))
         discard(before)
-        if after.where("old <> root").limit(1).count() == 0:
+        if not changed:
             discard(both)
             return after.select("node", "root")
         before = after

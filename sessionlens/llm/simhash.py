@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SMALL, counted, materialize
 from .graph import connected_components
 from .set_join import shingle_set
 
@@ -32,8 +32,7 @@ PROBE = 30
 SKETCH = 256
 #: Minimum hashes that give a bit each to a node's short sketch, two long integers; unlike sets differ in half of the bits.
 SHORT = 128
-#: Rows of a table that may be broadcast; beyond it joins go by salted keys.
-SMALL = 100_000
+#: Beyond `SMALL` rows, joins go by keys salted so often.
 SALTS = 16
 _DRAW = np.random.default_rng(7).integers(1, 1 << 63, SKETCH + 8, dtype=np.uint64) | np.uint64(1)
 
@@ -378,8 +377,8 @@ def sets_from(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_set(s) for s in found], pa.binary())], ["node", "set"]).filter(keep)  # an id may have several texts
 
     def read(wanted: DataFrame) -> DataFrame:
-        ids = materialize(wanted.join(nodes.select("node", F.col("least").alias("_id"), "digest"), "node"), "wanted")
-        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+        ids, many = counted(wanted.join(nodes.select("node", F.col("least").alias("_id"), "digest"), "node"), "wanted")
+        ids = F.broadcast(ids) if many <= SMALL else ids
         texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
         found = texts.join(ids, "_id").select("node", "text", "digest")
         return materialize(found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
@@ -436,9 +435,8 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
     for r in counts.where(F.col("n") >= least).collect():
         heavy[r.part][r.key] = r.n
     asked = materialize(probes(nodes, rows, both, groups, radius, heavy), "probes")
-    sought = marked(asked, counts, VALUE, counts.count()).where("n IS NOT NULL").groupBy(*VALUE, "n").agg(F.count(F.lit(1)).alias("p"))
-    dense = materialize(sought.where(F.col("n") * F.col("p") > pairs).drop("p"), "dense")
-    many = dense.count()
+    sought = asked.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("p")).join(counts, VALUE)  # summed first: a row a value, not a row a probe
+    dense, many = counted(sought.where(F.col("n") * F.col("p") > pairs).drop("p"), "dense")
 
     def verified(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
         p, q = p.alias("p"), q.alias("q")
@@ -460,23 +458,24 @@ def near_links(nodes: DataFrame, radius: int = 3, parts: int | None = None, pair
     squares = cells.groupBy(*VALUE).agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("_after"))
     n = F.col("n").cast("double")
     state = materialize(dense.join(squares, VALUE, "left").select(*VALUE, "n", F.coalesce(F.col("_after") * 4 < n * n, F.lit(False)).alias("split")), "crowded")
-    full = materialize(cells.where(F.col("m") * F.col("m") > pairs), "full_cells")
-    full_many = full.count()
+    full, full_many = counted(cells.where(F.col("m") * F.col("m") > pairs), "full_cells")
 
     def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows in light cells, and those in dense ones, with the number of members `m`."""
-        of = marked(rows, state, VALUE, many).withColumns({"sub": F.lit(-1), "subkey": F.lit(0).cast("long")})
+        whole = {"sub": F.lit(-1), "subkey": F.lit(0).cast("long")}
         cols = [*CELL, *of_node]
-        parted = marked(sub_cells(of.where("split"), groups, radius).select(*cols), full, CELL, full_many)
-        light = of.where("n IS NULL").select(*cols).unionByName(parted.where("m IS NULL").select(*cols))
-        return light, of.where("NOT split").select(*cols, F.col("n").alias("m")).unionByName(parted.where("m IS NOT NULL").select(*cols, "m"))
+        of = marked(rows, state, VALUE, many)
+        within = materialize(of.where("n IS NOT NULL").withColumns(whole), "within")  # once, as several joins below read it
+        parted = materialize(marked(sub_cells(within.where("split"), groups, radius).select(*cols), full, CELL, full_many), "parted")
+        light = of.where("n IS NULL").withColumns(whole).select(*cols).unionByName(parted.where("m IS NULL").select(*cols))
+        return light, within.where("NOT split").select(*cols, F.col("n").alias("m")).unionByName(parted.where("m IS NOT NULL").select(*cols, "m"))
 
     light_p, left = kinds(asked)
     light_q, right = kinds(index)
     links = verified(light_p, light_q, CELL)
-    shares = materialize(left.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares")), "shares")
+    shares, n_cells = counted(left.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares")), "shares")
     of_right = shares.select(*[F.col(c).alias(c) for c in CELL], F.col("shares").alias("blocks"))
-    n_cells, keys = shares.count(), [*CELL, "i", "j"]
+    keys = [*CELL, "i", "j"]
 
     def dealt(rows: DataFrame, own: str, other: str, blocks: Column, others: Column) -> DataFrame:
         """Each row in its own block, once for each block of the other side."""

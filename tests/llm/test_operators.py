@@ -257,3 +257,29 @@ def test_classifiers_and_pages_on_rough_rows(spark, rough):
     pages = spark.createDataFrame([(1, None, "<p>a</p>"), (2, "http://h/x", None), (2, "http://h/x", None), (None, "http://[", ""), (3, "http://h/y", "<p>" + "word " * 200_000 + "</p>")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html_text.main_text(pages).collect())
     assert got == [(0, 0), (1, 1), (2, 0), (2, 0), (3, 5 * 200_000 - 1)]
+
+
+def rows_of_joins(spark, first, keys):
+    """Rows that inner joins by `keys` made in all executions from number `first` on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for at in range(first, store.executionsCount()):
+        run = store.executionsList(at, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and keys.fullmatch(node.desc()):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_probes_are_summed_before_they_meet_counted_values(spark):
+    """The join that finds dense values makes a row a value at most, however many probes ask for it."""
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 11, 1500)).astype(np.int64)  # few bits vary: values have many members, probes meet many of them
+    nodes = spark.createDataFrame([(i, int(x) * 0x10000100001) for i, x in enumerate(fps)], "node long, fp long")
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    links = simhash.near_links(nodes, 3, pairs=1 << 30)  # none is dense
+    assert links.count() > len(fps)
+    assert 0 < rows_of_joins(spark, first, re.compile(r".*Join \[part#\w+, key#\w+\], \[part#\w+, key#\w+\], Inner(, Build\w+)?(, false)?.*", re.S)) < 4 * len(fps)
