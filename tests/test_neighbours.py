@@ -76,3 +76,13 @@ def test_band_decides_as_the_whole_distance(spark):
 def test_only_bytes_after_4096_are_left_out(spark):
     one = spark.createDataFrame([("a" * 4096 + "b", "a" * 4096 + "c")], "a string, b string").select(text.similarity(F.col("a"), F.col("b")).alias("s")).first()
     assert one.s == 1.0
+
+
+def test_no_more_bytes_are_dealt_out_than_are_compared(spark, tmp_path, monkeypatch):
+    rows = [(i, "a", t) for i, t in enumerate(["é" * 9000, "é" * 9000, "é" * 9001, "x" + "é" * 9000, "", "", "y", "x" * 4096, "x" * 4097])]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, whole = [], queries.neighbours
+    monkeypatch.setattr(queries, "neighbours", lambda docs: seen.append(docs) or whole(docs))
+    got = {r.doc_id: r.similarity for r in queries.x13_similarity(spark, str(tmp_path)).collect()}
+    assert seen[0].select(F.max(F.octet_length("text"))).first()[0] == 4096
+    assert got == {i: round(alike(rows[i][2], rows[i - 1][2]), 9) for i in range(1, len(rows))}
