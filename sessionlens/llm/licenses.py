@@ -119,20 +119,50 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, BLOCK_END), F.array(text)))
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words, as a tree of their letters, so that few are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[:1], []).append(w[1:])
+    return "|".join(re.escape(h) + (f"(?:{any_of(rest)})" if any(rest) else "") for h, rest in heads.items())
+
+
+def may_match(value: Column, idf: dict[str, float], unseen: float, threshold: float) -> Column:
+    """Whether the terms of a part that templates have may be `threshold` of its length; if not, no cosine reaches that.
+
+    Of a part's vector, only known terms meet a template. Its d known terms, n with repeats, have squares of at most
+    d * (1 + ln(n / d))^2 of the largest idf together, as (1 + ln n)^2 is concave; each distinct unknown term has the square of its idf at least.
+    """
+    least = threshold * threshold
+    distinct = lambda x: F.size(F.array_distinct(x))
+
+    def holds(terms: Column, known: Column) -> Column:
+        d = F.greatest(distinct(known), F.lit(1))
+        most = max(idf.values(), default=0.0) ** 2 * d * F.pow(1 + F.log(F.size(known) / d), F.lit(2))
+        return (distinct(terms) - distinct(known)) * unseen**2 * least <= (1 - least) * most
+
+    # arrays of one element name a value, so that it is worked out once
+    named = lambda x, of: F.exists(F.array(x), of)
+    terms = F.regexp_extract_all(F.lower(value), F.lit(f"({TERM})"), F.lit(1))
+    return named(terms, lambda t: named(F.filter(t, lambda x: x.isin(*idf)), lambda known: (F.size(known) > 0) & holds(t, known)))
+
+
 def notice_scores(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, path_col: str = "path", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """`(path, license, score)`: for each file the licence of the template nearest to any of its lines, blocks or its whole text, where the cosine reaches `threshold`.
 
-    Comment signs are no terms, so headers count as their words. Parts without any term that a match must hold (`signature`)
-    are passed over, which loses none. Each row's text is scored by itself, equal rows as one, and the best of a path counts. Ties go to the smaller licence name. Null paths and texts give no row.
+    Comment signs are no terms, so headers count as their words. Parts without any term that a match must hold (`signature`),
+    or with too many terms that no template has (`may_match`), are passed over in their own row, which loses none. Each row's text is scored by itself, equal rows as one, and the best of a path counts. Ties go to the smaller licence name. Null paths and texts give no row.
     Only the template table, whose size is the templates' own, is broadcast.
     """
     spark = files.sparkSession
     rows, idf, unseen = template_vectors(templates)
     vectors = F.broadcast(spark.createDataFrame(rows, "license string, nth int, term string, weight double"))
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    must = rf"(?i)(?<![a-z])(?:{'|'.join(map(re.escape, signature(rows, threshold)))})(?![a-z])"
+    lowest = threshold - 1e-6  # scores are rounded
+    must = rf"(?i)(?<![a-z])(?:{any_of(signature(rows, lowest))})(?![a-z])"
     body = F.col(text_col)
-    found = files.where(body.rlike(must) & F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), F.xxhash64(body).alias("text"), F.posexplode(F.filter(units(body), lambda x: x.rlike(must))).alias("part", "value"))
+    fits = lambda x: x.rlike(must) & may_match(x, idf, unseen, lowest)
+    found = files.where(body.rlike(must) & F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), F.xxhash64(body).alias("text"), F.posexplode(F.filter(units(body), fits)).alias("part", "value"))
     bag = ["path", "text", "part"]
     # the empty term, once a row, tells how many equal rows a bag holds
     terms = found.select(*bag, F.explode(F.array_append(F.regexp_extract_all(F.lower("value"), F.lit(f"({TERM})"), F.lit(1)), F.lit(""))).alias("term"))
